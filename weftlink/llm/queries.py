@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules, secret_scan, sharding
+from . import near_dedup, quality_classifier, quality_rules, secret_scan, sharding
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir), quality_rules.Rules(tokenizer_path("piece_bpe_32k.model")))
 
@@ -50,5 +54,5 @@ placed AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHA
 SELECT d.doc_id, d.slot, CAST(t.i AS INTEGER) AS shard FROM placed d JOIN turns t ON t.slot = d.slot AND t.n > 0
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_sharding, op8_quality_rules, op9_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_sharding, op7_near_dedup, op8_quality_rules, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {"op5_sharding": SHARDING_SQL}
