@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality_classifier, quality_rules, secret_scan, sharding
+from . import bpe, near_dedup, quality_classifier, quality_rules, secret_scan, sharding
 from .common import documents
 
 
@@ -37,6 +37,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.bpe_round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+    return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
 SHARDING_SQL = f"""
 WITH RECURSIVE shards AS (
   SELECT i, CAST('0x' || substr(md5('shard-' || i || '#start'), 1, 8) AS BIGINT) % {sharding.SLOTS} AS start,
@@ -54,5 +61,5 @@ placed AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHA
 SELECT d.doc_id, d.slot, CAST(t.i AS INTEGER) AS shard FROM placed d JOIN turns t ON t.slot = d.slot AND t.n > 0
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_sharding, op7_near_dedup, op8_quality_rules, op9_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_sharding, op7_near_dedup, op8_quality_rules, op9_quality_classifier, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op5_sharding": SHARDING_SQL}
