@@ -97,3 +97,21 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, max_documents: int, max_bytes: int) -> tuple[list[bytes], list[int]]:
+    """Texts and labels for training: of the rows outside the held-out fold, those of the smallest hashes of their ids.
+
+    At most `max_documents` of them and `max_bytes` of text, none of over an eighth of that.
+    """
+    chosen = labels.where((remainder("doc_id", folds) != 0) & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+    # at most max_documents pairs of numbers: a bounded broadcast
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= max_bytes // 8)
+    table = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("label", "text").toArrow()
+    texts, found, used = table.column("text").cast(pa.binary()).to_pylist(), table.column("label").to_pylist(), 0
+    for i, text in enumerate(texts):
+        used += len(text)
+        if used > max_bytes:
+            return texts[:i], found[:i]
+    return texts, found

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VOCAB_ENTRIES, Ids, id_and_text, mix, ragged, remainder, steps
+from .common import VOCAB_ENTRIES, Ids, id_and_text, labelled_sample, mix, ragged, remainder, steps
 
 SCHEMA = "doc_id long, score double"
 
@@ -137,21 +137,6 @@ class Scorer:
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, s: Settings) -> tuple[list[bytes], list[int]]:
-    """The bounded labelled sample; see Settings for its bounds."""
-    chosen = labels.where((remainder("doc_id", s.folds) != 0) & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_documents)
-    # the sample has at most max_documents pairs of numbers: a bounded broadcast
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= s.max_bytes // 8)
-    table = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
-    texts, found, used = table.column("text").cast(pa.binary()).to_pylist(), table.column("label").to_pylist(), 0
-    for i, text in enumerate(texts):
-        used += len(text)
-        if used > s.max_bytes:
-            return texts[:i], found[:i]
-    return texts, found
-
-
 def _score(weights: np.ndarray, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights, s)
@@ -163,7 +148,7 @@ def _score(weights: np.ndarray, s: Settings):
 
 def classify_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted for every row. One pass over the input without a shuffle, after the sample's."""
-    texts, found = sample(docs, labels, label, s)
+    texts, found = labelled_sample(docs, labels, label, s.folds, s.max_documents, s.max_bytes)
     if len(set(found)) < 2:
         share = sum(found) / len(found) if found else 0.5
         scored = id_and_text(docs).select("doc_id", F.lit(share).cast("double").alias("score"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, near_dedup, quality_classifier, quality_rules, secret_scan, sharding
+from . import bpe, decontamination, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, toxicity
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -65,5 +69,5 @@ placed AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHA
 SELECT d.doc_id, d.slot, CAST(t.i AS INTEGER) AS shard FROM placed d JOIN turns t ON t.slot = d.slot AND t.n > 0
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op5_sharding, op7_near_dedup, op8_quality_rules, op9_quality_classifier, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op5_sharding, op6_toxicity, op7_near_dedup, op8_quality_rules, op9_quality_classifier, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontamination.ORACLE_SQL, "op5_sharding": SHARDING_SQL}
