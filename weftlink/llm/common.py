@@ -92,10 +92,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/weftlink-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it back: its lineage ends there and no executor's loss undoes it."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, token_files, toxicity
+from . import bpe, decontamination, near_dedup, pitman_yor, quality_classifier, quality_rules, secret_scan, sharding, token_files, toxicity
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.language_model_scores(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir))
 
@@ -73,5 +77,5 @@ placed AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHA
 SELECT d.doc_id, d.slot, CAST(t.i AS INTEGER) AS shard FROM placed d JOIN turns t ON t.slot = d.slot AND t.n > 0
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_token_files, op5_sharding, op6_toxicity, op7_near_dedup, op8_quality_rules, op9_quality_classifier, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_model, op3_secret_scan, op4_token_files, op5_sharding, op6_toxicity, op7_near_dedup, op8_quality_rules, op9_quality_classifier, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontamination.ORACLE_SQL, "op5_sharding": SHARDING_SQL}
