@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,11 @@ def remainder(id_col: str, n: int):
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cuts Arrow batches so that the text of each part stays near `limit` bytes (one longer text is a part of its own)."""
+    """Cuts Arrow batches so that the text of each part stays near `limit` bytes (one longer text is a part of its own); null texts are empty."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.binary() if not pa.types.is_large_string(batch.column(column).type) else pa.large_binary())
-        ends = np.cumsum(np.asarray(texts.value_lengths() if hasattr(texts, "value_lengths") else pa.compute.binary_length(texts), dtype=np.int64))
+        given = batch.column(column)
+        texts = pc.fill_null(given.cast(pa.large_binary() if pa.types.is_large_string(given.type) else pa.binary()), b"")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < len(texts):
             base = ends[start - 1] if start else 0

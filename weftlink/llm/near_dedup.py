@@ -253,3 +253,13 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
 
 def _given(column: Column) -> Column:
     return F.when(column != _NULL, column)
+
+
+def deduplicated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each component, with all columns: that of its smallest id. Rows of one id and text are one.
+
+    Of rows with a null id all are kept if one is.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
+    keep = near_duplicates(docs, s, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(_NULL)).alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").dropDuplicates(["_key", text_col]).drop("_key")

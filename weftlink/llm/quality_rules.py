@@ -141,28 +141,34 @@ def _fertility(model_path: str) -> Fertility:
     return Fertility(model_path)
 
 
+def _judged(batches: Iterator[pa.RecordBatch], rules: Rules, id_col: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Each step's rows and their measures and verdicts, in SCHEMA's order."""
+    tokens = _fertility(rules.model_path)
+    for part, texts in steps(batches, text_col):
+        if len(tokens.ids) > VOCAB_ENTRIES:
+            tokens.clear()
+        known, lists = len(tokens.ids), []
+        for text in texts:
+            words = text.split()
+            lists.append(np.fromiter(map(tokens.ids.__getitem__, words), np.int64, len(words)))
+        tokens.learn(list(tokens.ids)[known:])
+        rows = []
+        for doc, text, ids in zip(part.column(id_col).to_pylist(), texts, lists, strict=True):
+            n = len(ids)
+            chars = len(text.decode("utf-8", "replace")) - (len(text) - len(text.translate(None, SPACES)))
+            repeated = repeated_words(mix(ids.astype(np.uint64)))
+            failed = n < rules.min_words or 100 * repeated > rules.max_repeat_percent * n
+            script = script_of(text)
+            pieces, of_bytes, bits = tokens.measure(ids) if n else (0, 0, 0.0)
+            band = rules.bands[script]
+            fits = pieces > 0 and band.chars_low <= chars / pieces <= band.chars_high and of_bytes <= band.byte_share * pieces and (pieces < band.entropy_from or bits >= band.entropy)
+            rows.append((doc, n, chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeated, failed, not failed and fits, script, pieces, chars / pieces if pieces else None, of_bytes / pieces if pieces else None, bits if pieces else None))
+        yield part, rows
+
+
 def _measure(rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _fertility(rules.model_path)
-        for part, texts in steps(batches):
-            if len(tokens.ids) > VOCAB_ENTRIES:
-                tokens.clear()
-            known, lists = len(tokens.ids), []
-            for text in texts:
-                words = text.split()
-                lists.append(np.fromiter(map(tokens.ids.__getitem__, words), np.int64, len(words)))
-            tokens.learn(list(tokens.ids)[known:])
-            rows = []
-            for doc, text, ids in zip(part.column("doc_id").to_pylist(), texts, lists, strict=True):
-                n = len(ids)
-                chars = len(text.decode("utf-8", "replace")) - (len(text) - len(text.translate(None, SPACES)))
-                repeated = repeated_words(mix(ids.astype(np.uint64)))
-                failed = n < rules.min_words or 100 * repeated > rules.max_repeat_percent * n
-                script = script_of(text)
-                pieces, of_bytes, bits = tokens.measure(ids) if n else (0, 0, 0.0)
-                band = rules.bands[script]
-                fits = pieces > 0 and band.chars_low <= chars / pieces <= band.chars_high and of_bytes <= band.byte_share * pieces and (pieces < band.entropy_from or bits >= band.entropy)
-                rows.append((doc, n, chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeated, failed, not failed and fits, script, pieces, chars / pieces if pieces else None, of_bytes / pieces if pieces else None, bits if pieces else None))
+        for _, rows in _judged(batches, rules, "doc_id", "text"):
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.string(), pa.int64()] + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -173,3 +179,17 @@ def _measure(rules: Rules):
 def quality_rules(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its counts, fertility and verdicts. One pass over the input, no shuffle."""
     return id_and_text(docs, id_col, text_col).mapInArrow(_measure(rules), SCHEMA)
+
+
+def _keep(rules: Rules, id_col: str, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdict = SCHEMA.split(", ").index("kept boolean")
+        for part, rows in _judged(batches, rules, id_col, text_col):
+            yield part.filter(pa.array([r[verdict] for r in rows], pa.bool_()))
+
+    return run
+
+
+def well_formed(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of documents that the rules keep, with all their columns."""
+    return docs.mapInArrow(_keep(rules, id_col, text_col), docs.schema)

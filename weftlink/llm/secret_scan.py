@@ -262,8 +262,8 @@ def _redact(s: Settings, limits: list[int], text_col: str, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, text_col):
             out = []
-            for raw in texts:
-                if raw is None:
+            for raw, there in zip(texts, part.column(text_col).is_valid().to_pylist(), strict=True):
+                if not there:
                     out.append(None)
                     continue
                 text = _plain(raw)
