@@ -7,10 +7,11 @@ Documents are sets of 64-bit hashes of five-word shingles. Equal sets form a cla
    buckets of the document, in an order fixed for each bucket, before four at a time make a band key.
 2. Candidates. Classes that share a band key share a group. The smallest member of each group is compared with all
    others; a group whose members then belong to one component is done, since more links inside it change nothing. In the
-   rest, further members are compared with all those of other components, in growing numbers, until every pair of a group
-   has been compared or is in one component. No group is gathered in one place and no pairs are left out.
+   rest, every two members of different components are looked at, in the first band that they share: in small groups by
+   their registers, which gives few pairs for verification; in large ones by registers and full sets in place, block
+   against block, so that no large group is gathered in one place and only links leave the block.
 3. Verification. The registers' Jaccard estimate, corrected for chance collisions, drops hopeless pairs (for sets of at
-   least 64 shingles, at eight standard errors below the threshold); the full sets decide the others.
+   least 64 shingles, at four standard errors below the threshold); the full sets decide the others.
 4. Components by alternating large-star and small-star steps, written to the shared folder after each.
 
 Defined results: a text without words has no shingles and is alone; one with fewer than five words is one shingle; a null
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Ids, id_and_text, mix, shingles, steps, written
@@ -46,9 +47,11 @@ class Settings:
     percent: int = 75
     #: Sets below this size are never judged by the estimate.
     estimate_from: int = 64
-    estimate_margin: float = 0.30
-    #: Members of a group that are compared with the others in the second round; fourfold in each later one.
-    pivots: int = 16
+    estimate_margin: float = 0.16
+    #: Groups of more members are compared block by block; members and bytes of sets in a block.
+    small_group: int = 64
+    block_members: int = 2048
+    block_bytes: int = 24 << 20
 
 
 def shingle_set(words: list[bytes], k: int = 5) -> np.ndarray:
@@ -178,6 +181,98 @@ def _confirm(s: Settings):
     return run
 
 
+def _likely(key: int, keys: np.ndarray, regs: np.ndarray, n: np.ndarray, labels: np.ndarray, first: np.ndarray, second: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the members `first` against `second`: pairs of different labels that meet here first and may be similar enough.
+
+    Gives both members and the share of equal registers, for one pair of members once.
+    """
+    out = []
+    for start in range(0, len(first), 32):
+        rows = first[start : start + 32]
+        a, b = (x.ravel() for x in np.meshgrid(rows, second, indexing="ij"))
+        fits = (a != b) & (labels[a] != labels[b]) & (100 * np.minimum(n[a], n[b]) >= s.percent * np.maximum(n[a], n[b]))
+        a, b = a[fits], b[fits]
+        same = keys[a] == keys[b]
+        here = keys[a, same.argmax(axis=1)] == key
+        a, b = a[here], b[here]
+        there = (regs[a] != 0) | (regs[b] != 0)
+        agree = ((regs[a] == regs[b]) & there).sum(axis=1)
+        share = agree / np.maximum(1, there.sum(axis=1))
+        # collisions by chance are fewer than one register, which this leaves room for
+        near = (share >= s.percent / 100 - s.estimate_margin) | (np.minimum(n[a], n[b]) < s.estimate_from)
+        out.append((a[near], b[near], share[near]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+
+
+def _members(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    regs = np.array([np.frombuffer(r["regs"], np.uint16) for r in rows])
+    return np.array([band_keys(x) for x in regs]), regs, np.array([r["n"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64), np.array([r["rep"] for r in rows], np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[dict]]:
+    """Runs of rows that agree in the columns; the input is sorted by them."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            at = tuple(row[c] for c in columns)
+            if rows and at != now:
+                yield rows
+                rows = []
+            now = at
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _near_pairs(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "key"):
+            keys, regs, n, labels, reps = _members(rows)
+            every = np.arange(len(rows))
+            a, b, _ = _likely(rows[0]["key"], keys, regs, n, labels, every, every, s)
+            once = reps[a] < reps[b]
+            yield pa.RecordBatch.from_arrays([pa.array(reps[a][once]), pa.array(reps[b][once])], names=["a", "b"])
+
+    return run
+
+
+def _dense_links(s: Settings):
+    """Links inside one block, or between two: most similar pairs first, none within what is linked already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "key", "i", "j"):
+            keys, regs, n, labels, reps = _members(rows)
+            block = np.array([r["block"] for r in rows])
+            first, second = np.flatnonzero(block == rows[0]["i"]), np.flatnonzero(block == rows[0]["j"])
+            a, b, share = _likely(rows[0]["key"], keys, regs, n, labels, first, second, s)
+            sets, root, found = [np.frombuffer(r["whole"], np.uint64) for r in rows], {}, []
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:  # noqa: B023
+                    root[x] = x = root.get(up, up)  # noqa: B023
+                return x
+
+            for k in np.argsort(-share, kind="stable"):
+                i, j = int(a[k]), int(b[k])
+                x, y = find(int(labels[i])), find(int(labels[j]))
+                if x != y and linked(sets[i], sets[j], s.percent):
+                    root[x] = y
+                    found.append((int(reps[i]), int(reps[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _large_groups(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links between members of different labels in groups of any size, block against block."""
+    whole = sets.select("rep", "regs", "whole", (F.octet_length("whole") / 8).cast("long").alias("n"))
+    sized = members.join(whole.select("rep", "n"), "rep").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / s.block_members), F.ceil(F.sum("n") * 8 / s.block_bytes)).cast("int").alias("blocks"))
+    placed = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = placed.select("key", "rep", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "rep", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(whole, "rep")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_dense_links(s), "a long, b long")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     of = lambda x: sets.select(F.col("rep").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("whole").alias(f"whole_{x}"))
@@ -227,23 +322,15 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = written(confirmed(pairs, sets, s), "confirmed")
     labels = components(links)
-    low, high = 0, s.pivots
-    while True:
-        labelled = members.where("c > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"), "c")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        open_groups = written(labelled.join(mixed, "key"), "open")
-        most = open_groups.agg(F.max("c")).first()[0] or 0
-        if most <= low:
-            break
-        order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))
-        chosen = open_groups.withColumn("place", order).where(F.col("place") <= high).where(F.col("place") > low)
-        pairs = chosen.select("key", F.col("rep").alias("p"), F.col("label").alias("of")).join(open_groups, "key").where("label <> of")
-        pairs = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        found = written(confirmed(pairs, sets, s), "confirmed")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-        low, high = high, high * 4
+    labelled = members.where("c > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"), "c")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    still_open = written(labelled.join(mixed, "key"), "open")
+    small = still_open.where(F.col("c") <= s.small_group).join(sets.select("rep", "regs", (F.octet_length("whole") / 8).cast("long").alias("n")), "rep")
+    pairs = small.select("key", "rep", "label", "n", "regs").repartition("key").sortWithinPartitions("key").mapInArrow(_near_pairs(s), "a long, b long").distinct()
+    found = confirmed(pairs, sets, s).union(_large_groups(still_open.where(F.col("c") > s.small_group), sets, s))
+    found = written(found, "confirmed")
+    if not found.isEmpty():
+        labels = components(links.union(found))
     named_classes = classes.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
     return (
         sketches.select("doc_id", "n", "d1", "d2").join(named_classes, ["d1", "d2"], "left")
