@@ -81,7 +81,8 @@ def key_arrays(mappings: Sequence[Mapping], config: CandidateConfig = CandidateC
 def keys(rows: DataFrame, mappings: Sequence[Mapping], config: CandidateConfig = CandidateConfig()) -> DataFrame:
     """row_id, blocker_id, key: each key of a row once."""
     arrays = key_arrays(identity(mappings), config)
-    tagged = [F.transform(F.array_distinct(a), lambda k, b=b: F.struct(F.lit(b).alias("blocker_id"), k.alias("key"))) for b, a in arrays.items()]
+    tag = lambda blocker: lambda k: F.struct(F.lit(blocker).alias("blocker_id"), k.alias("key"))
+    tagged = [F.transform(F.array_distinct(made), tag(blocker)) for blocker, made in arrays.items()]
     return rows.select("row_id", F.explode(F.concat(*tagged)).alias("k")).select("row_id", "k.blocker_id", "k.key")
 
 
