@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from weftlink.operators import blocking, compare, decide
+from weftlink.sources.tables import materialized
 
 from .model import CandidateConfig, Mapping, Rules, check_mappings, identity
 
@@ -28,6 +29,11 @@ class Match:
     def __post_init__(self) -> None:
         check_mappings(self.mappings, self.a.columns, self.b.columns)
 
+    @staticmethod
+    def _shared(df: DataFrame) -> DataFrame:
+        """Stages that many views read are written once, so that each view's plan starts at a table."""
+        return materialized(df)
+
     @cached_property
     def identity(self) -> list[Mapping]:
         return identity(self.mappings)
@@ -38,7 +44,7 @@ class Match:
 
     @cached_property
     def keys(self) -> tuple[DataFrame, DataFrame]:
-        return tuple(blocking.keys(rows, self.mappings, self.config) for rows in self.rows)
+        return tuple(self._shared(blocking.keys(rows, self.mappings, self.config)) for rows in self.rows)
 
     @cached_property
     def buckets(self) -> DataFrame:
@@ -58,11 +64,11 @@ class Match:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return decide.ranked(self.scored, self.rules)
+        return self._shared(decide.ranked(self.scored, self.rules))
 
     @cached_property
     def kept(self) -> DataFrame:
-        return decide.retained(self.ranked, self.rules)
+        return self._shared(decide.retained(self.ranked, self.rules))
 
     @cached_property
     def automatic(self) -> DataFrame:
@@ -71,4 +77,4 @@ class Match:
     @cached_property
     def fields(self) -> DataFrame:
         """Evidence of the kept pairs, one row for each field, with information classes."""
-        return compare.information(compare.tall(self.kept, self.identity), *(compare.frequencies(r, self.identity) for r in self.rows))
+        return self._shared(compare.information(compare.tall(self.kept, self.identity), *(compare.frequencies(r, self.identity) for r in self.rows)))

@@ -235,8 +235,53 @@ fields AS (
 """
 
 
+REVIEW = """
+owned AS (SELECT b_row_id, count(DISTINCT a_row_id) AS owners FROM kept GROUP BY b_row_id),
+dec AS (
+  SELECT candidate_id, a_row_id, k.b_row_id, CASE WHEN substr(candidate_id, 11, 1) IN ('0', '1', '2', '3') THEN 'same_entity' ELSE 'different_entity' END AS decision
+  FROM kept k JOIN owned o ON o.b_row_id = k.b_row_id WHERE rank = 1 AND band <> 'auto_match' AND owners = 1 AND substr(candidate_id, 11, 1) IN ('0', '1', '2', '3', '4', '5')),
+def AS (SELECT a_row_id, true AS deferred FROM kept WHERE rank = 1 AND band <> 'auto_match' AND substr(candidate_id, 11, 1) = '6'),
+human AS (SELECT candidate_id, a_row_id, b_row_id, 'human' AS source FROM dec WHERE decision = 'same_entity'),
+links AS (
+  SELECT * FROM human UNION ALL SELECT candidate_id, a_row_id, b_row_id, 'system_matcher' FROM auto
+  WHERE candidate_id NOT IN (SELECT candidate_id FROM dec WHERE decision = 'different_entity') AND a_row_id NOT IN (SELECT a_row_id FROM human) AND b_row_id NOT IN (SELECT b_row_id FROM human)),
+picked AS (
+  SELECT k.*, d.decision, row_number() OVER (PARTITION BY k.a_row_id ORDER BY CASE WHEN d.decision = 'same_entity' THEN 0 WHEN d.decision IS NULL THEN 1 ELSE 2 END, rank) AS pick,
+    count(*) OVER (PARTITION BY k.a_row_id) AS candidates, max(CASE WHEN rank = 1 THEN margin END) OVER (PARTITION BY k.a_row_id) AS top_margin,
+    coalesce(bool_or(d.decision = 'same_entity') OVER (PARTITION BY k.a_row_id), false) AS same, count(d.decision) OVER (PARTITION BY k.a_row_id) AS decided,
+    count(*) FILTER (d.decision = 'different_entity') OVER (PARTITION BY k.a_row_id) AS rejected
+  FROM kept k LEFT JOIN dec d ON d.candidate_id = k.candidate_id),
+items AS (
+  SELECT p.a_row_id, CASE WHEN same THEN 'reviewed_same' WHEN decided > 0 AND rejected = decided THEN 'reviewed_different' WHEN def.deferred THEN 'deferred' ELSE 'needs_review' END AS state,
+    candidates, top_margin, candidate_id, p.b_row_id, rank, score, margin, collision OR owners > 1 AS collision, contradiction
+  FROM picked p JOIN owned o ON o.b_row_id = p.b_row_id LEFT JOIN def ON def.a_row_id = p.a_row_id
+  WHERE pick = 1 AND NOT (p.a_row_id IN (SELECT a_row_id FROM auto) AND decided = 0 AND def.deferred IS NULL))
+"""
+
+
+def survivorship(mappings: Sequence[Mapping] = MAPPINGS) -> str:
+    """CTE vals: raw merge values of every link by field; conf: those that differ."""
+    rows = " UNION ALL ".join(f"SELECT candidate_id, a_row_id, b_row_id, source, '{m.mapping_id}' AS mapping_id, coalesce(x.{m.a_column}, '') AS a_value, coalesce(y.{m.b_column}, '') AS b_value, x.updated_at AS a_time, y.updated_at AS b_time FROM links JOIN a_src x ON x.row_id = a_row_id JOIN b_src y ON y.row_id = b_row_id" for m in mappings if m.merge)
+    ms = lambda c: f"CASE WHEN {c} LIKE '2024%' THEN epoch_ms(CAST(replace(replace({c}, 'T', ' '), 'Z', '') AS TIMESTAMP)) END"
+    return f"""
+vals AS ({rows}),
+conf AS (SELECT *, 'conflict-' || candidate_id || '-' || mapping_id AS conflict_id, {ms("a_time")} AS x, {ms("b_time")} AS y FROM vals WHERE a_value <> b_value),
+ruled AS (
+  SELECT *, CASE mapping_id
+    WHEN 'name' THEN 'A' WHEN 'phone' THEN CASE WHEN a_value = '' THEN 'B' WHEN b_value = '' THEN 'A' END WHEN 'email' THEN CASE WHEN a_value = '' THEN 'B' WHEN b_value = '' THEN 'A' END
+    WHEN 'address' THEN CASE WHEN x IS NULL OR y IS NULL OR x = y THEN NULL WHEN x > y THEN 'A' ELSE 'B' END WHEN 'contact' THEN 'both' END AS chosen,
+    CASE mapping_id WHEN 'name' THEN 'trusted_a' WHEN 'phone' THEN CASE WHEN a_value = '' THEN 'non_null_b' WHEN b_value = '' THEN 'non_null_a' ELSE 'both_present' END
+      WHEN 'email' THEN CASE WHEN a_value = '' THEN 'non_null_b' WHEN b_value = '' THEN 'non_null_a' ELSE 'both_present' END
+      WHEN 'address' THEN CASE WHEN x IS NULL OR y IS NULL THEN 'timestamp_unusable' WHEN x = y THEN 'timestamps_equal' WHEN x > y THEN 'newer_a' ELSE 'newer_b' END WHEN 'contact' THEN 'kept_both' ELSE 'no_rule' END AS reason
+  FROM conf)
+"""
+
+
+TRUTH = "truth AS (SELECT x.row_id AS a_row_id, y.row_id AS b_row_id FROM a_src x JOIN b_src y USING (entity_id))"
+
+
 def chain(upto: str) -> str:
     """WITH clause up to a stage: sources, pairs, scored, kept or fields."""
-    parts = {"sources": prepared(), "pairs": BLOCKING, "scored": scoring(), "kept": RANKING, "fields": tall()}
+    parts = {"sources": prepared(), "pairs": BLOCKING, "scored": scoring(), "kept": RANKING, "fields": tall(), "review": REVIEW, "survive": survivorship(), "truth": TRUTH}
     names = list(parts)
     return "WITH RECURSIVE " + ", ".join(parts[n] for n in names[: names.index(upto) + 1])
