@@ -1,7 +1,8 @@
 """Cuts texts where no byte-level pre-token can cross, so that each distinct piece of text is encoded once.
 
 A pre-token that starts in other characters ends before white space, hence a text may be cut before every ASCII white
-space that follows another character. Texts with white space beyond ASCII are left whole.
+space that follows another character. It may also be cut after a run of letters that an ASCII character ends. Texts with
+white space beyond ASCII are left whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import numpy as np
 
 from .common import Ids
 
-_SEGMENT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: Letters are those of ASCII and of U+00C0-00FF, where U+00D7 and 00F7 are none.
+_SEGMENT = re.compile(rb"[ \t-\r]*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: UTF-8 forms of the white space beyond ASCII: U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 

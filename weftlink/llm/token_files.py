@@ -36,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import VOCAB_ENTRIES, Ids, id_and_text, ragged, shared_dir, steps
+from .common import Ids, id_and_text, ragged, shared_dir, steps
 from .segments import numbered
 
 END = 0
+#: Rounds at the least count end when fewer than one in so many symbols was replaced.
+LEAST_GAIN = 30
+#: Segments that a worker remembers before it starts anew.
+KNOWN_SEGMENTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -80,7 +84,7 @@ class Encoder:
         return np.diff(parts, prepend=-1) - 1, np.delete(flat, parts)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > VOCAB_ENTRIES:
+        if len(self.known) > KNOWN_SEGMENTS:
             self.clear()
         had = len(self.known)
         lists = numbered(texts, self.known)
@@ -114,20 +118,24 @@ def compress(ids: np.ndarray, base: int, least: int) -> tuple[np.ndarray, np.nda
     limit = None
     while len(seq) > 1:
         keys = (seq[:-1] << np.uint64(32)) | seq[1:]
-        ordered = np.sort(keys)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(edge, len(ordered)))
-        most = int(counts.max())
+        slots = _slot(keys)
+        held = np.bincount(slots, minlength=1 << 20)  # no less than any pair's count
+        most = int(held.max())
         if most < least:
             break
         limit = max(least, most // 4) if limit is None else max(least, min(limit // 4, most))
-        pairs = ordered[edge[counts >= limit]]
-        hit = np.zeros(1 << 20, bool)
-        hit[_slot(pairs)] = True
-        at = np.flatnonzero(hit[_slot(keys)])
-        rule = np.searchsorted(pairs, keys[at])
-        right_ones = pairs[np.minimum(rule, len(pairs) - 1)] == keys[at]
-        at, rule = at[right_ones], rule[right_ones]
+        at = np.flatnonzero(held[slots] >= limit)
+        near = keys[at]
+        ordered = np.sort(near)
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        pairs = ordered[edge[np.diff(np.append(edge, len(ordered))) >= limit]]
+        if not len(pairs):
+            if limit == least:
+                break
+            continue
+        rule = np.searchsorted(pairs, near)
+        known = pairs[np.minimum(rule, len(pairs) - 1)] == near
+        at, rule = at[known], rule[known]
         # overlapping pairs: every other one of a run, from the left
         start = np.concatenate([[True], np.diff(at) > 1]) if len(at) else np.zeros(0, bool)
         offset = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0)) if len(at) else at
@@ -140,7 +148,7 @@ def compress(ids: np.ndarray, base: int, least: int) -> tuple[np.ndarray, np.nda
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        if limit == least and most < 2 * least:
+        if limit == least and len(at) * LEAST_GAIN < len(keys):
             break
     empty = [np.empty(0, np.uint32)]
     return seq.astype(np.uint32), np.concatenate(left or empty), np.concatenate(right or empty)
