@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Ids, id_and_text, steps
+from .common import Ids, id_and_text, release, steps
 from .segments import numbered
 
 #: Bytes of the longest pre-token that goes through the recursive query.
 LONGEST = 200
 #: Pre-tokens in one recursive query, and in each of the two generations that a worker remembers.
-AT_ONCE, REMEMBERED = 60_000, 400_000
+AT_ONCE, REMEMBERED = 40_000, 200_000
 
 _MERGE = """
 WITH RECURSIVE tokens(w, pos, tok, nxt, prev, done) AS (
@@ -55,7 +55,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class Coder:
     def __init__(self, ranks_path: str, pattern: str):
-        import duckdb
         import regex
 
         self.ranks, self.pattern = read_ranks(ranks_path), regex.compile(pattern)
@@ -65,13 +64,27 @@ class Coder:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        self.db.register("m", pa.table({"pair": left * 65536 + right, "merged": merged}))
-        self.db.register("v", pa.table({"id": list(self.bytes_of), "entry": [f"{i}:{b.hex()}" for i, b in self.bytes_of.items()]}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocabulary AS SELECT * FROM v")
+        self.merges = pa.table({"pair": left * 65536 + right, "merged": merged})
+        self.vocabulary = pa.table({"id": list(self.bytes_of), "entry": [f"{i}:{b.hex()}" for i, b in self.bytes_of.items()]})
+        self.db = None
         self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.older: dict[bytes, tuple[int, bytes, bytes]] = {}
 
+    def open(self) -> None:
+        """A database for one task; what is known of pre-tokens outlasts it."""
+        import duckdb
+
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        self.db.register("m", self.merges)
+        self.db.register("v", self.vocabulary)
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocabulary AS SELECT * FROM v")
+
+    def close(self) -> None:
+        if self.db:
+            self.db.close()
+        self.db = None
+        release()
+
     def _by_heap(self, piece: bytes) -> list[int]:
         """The same contraction for one long piece: a heap of (rank, place) over a linked list of parts."""
         parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
@@ -106,6 +119,8 @@ class Coder:
                 self.known[p] = len(ids), ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
             else:
                 ask.append(p)
+        if ask and not self.db:
+            self.open()
         for i in range(0, len(ask), AT_ONCE):
             some = ask[i : i + AT_ONCE]
             sizes = np.fromiter(map(len, some), np.int64, len(some))
@@ -150,13 +165,16 @@ _SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 def _encode(ranks_path: str, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
-        for part, texts in steps(batches):
-            rows = own.encode(texts)
-            if digests:
-                ids, decoded = ([hashlib.sha256(r[i]).hexdigest() for r in rows] for i in (1, 2))
-            else:
-                ids, decoded = [r[1].decode() for r in rows], [r[2].decode("utf-8", "replace") for r in rows]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        try:
+            for part, texts in steps(batches):
+                rows = own.encode(texts)
+                if digests:
+                    ids, decoded = ([hashlib.sha256(r[i]).hexdigest() for r in rows] for i in (1, 2))
+                else:
+                    ids, decoded = [r[1].decode() for r in rows], [r[2].decode("utf-8", "replace") for r in rows]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        finally:
+            own.close()
 
     return run
 

@@ -147,6 +147,7 @@ def _full_sets(s: Settings):
                 if np.array([d >> 64, d & 0xFFFFFFFFFFFFFFFF], np.uint64).view(np.int64).tolist() == [a, b]:
                     keep.append(i)
                     blobs.append(x.tobytes())
+            del sets
             yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(keep, pa.int64())), part.column("regs").take(pa.array(keep, pa.int64())), pa.array(blobs, pa.binary())], names=["rep", "regs", "whole"])
 
     return run

@@ -12,14 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import VOCAB_ENTRIES, Ids, id_and_text, mix, ragged, shingles, steps
+from .common import VOCAB_ENTRIES, Ids, id_and_text, mix, ragged, release, shingles, steps
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -135,15 +134,9 @@ class Fertility:
         return len(flat), int(np.count_nonzero(self.is_byte[flat])), float(max(0.0, -(p * np.log2(p)).sum()))
 
 
-@lru_cache(maxsize=2)
-def _fertility(model_path: str) -> Fertility:
-    """One table for each Python worker; tasks that follow find the words of earlier ones."""
-    return Fertility(model_path)
-
-
 def _judged(batches: Iterator[pa.RecordBatch], rules: Rules, id_col: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
     """Each step's rows and their measures and verdicts, in SCHEMA's order."""
-    tokens = _fertility(rules.model_path)
+    tokens = Fertility(rules.model_path)
     for part, texts in steps(batches, text_col):
         if len(tokens.ids) > VOCAB_ENTRIES:
             tokens.clear()
@@ -164,6 +157,8 @@ def _judged(batches: Iterator[pa.RecordBatch], rules: Rules, id_col: str, text_c
             fits = pieces > 0 and band.chars_low <= chars / pieces <= band.chars_high and of_bytes <= band.byte_share * pieces and (pieces < band.entropy_from or bits >= band.entropy)
             rows.append((doc, n, chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeated, failed, not failed and fits, script, pieces, chars / pieces if pieces else None, of_bytes / pieces if pieces else None, bits if pieces else None))
         yield part, rows
+    del tokens
+    release()
 
 
 def _measure(rules: Rules):
