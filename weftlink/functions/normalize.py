@@ -11,13 +11,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Company endings that names lose, and street words that addresses shorten.
 SUFFIXES = ("co", "company", "corp", "corporation", "inc", "incorporated", "llc", "ltd", "limited")
 STREET_WORDS = {"avenue": "ave", "boulevard": "blvd", "drive": "dr", "road": "rd", "street": "st"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(values: pd.Series) -> pd.Series:
     """Compatibility form, stripped and case-folded."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip().casefold())

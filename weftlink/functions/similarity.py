@@ -7,11 +7,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .normalize import tokens
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def character_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Twice the matching blocks' length over both lengths (longest block first, then its two sides); 0 if one is empty.
 
