@@ -39,7 +39,9 @@ class Settings:
     width: int = 8
     shortest: int = 3
     longest: int = 5
+    #: Passes over the sample: at least `epochs`, and more over a small one until there are `updates` steps.
     epochs: int = 3
+    updates: int = 6000
     rate: float = 0.5
     seed: int = 7
 
@@ -85,8 +87,9 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> tuple[np.ndarra
         used, where = np.unique(np.concatenate([[0, 1], buckets[ragged(first[unique], sizes)]]), return_inverse=True)
         share = np.bincount(where, np.concatenate([[1, repeats(words)], np.repeat(times, sizes)]))
         docs.append((used, (share / share.sum()).astype(np.float32)))
-    done, total = 0, s.epochs * len(docs)
-    for _ in range(s.epochs):
+    epochs = max(s.epochs, -(-s.updates // max(1, len(docs))))
+    done, total = 0, epochs * len(docs)
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             used, share = docs[i]
             rate = s.rate * (1 - done / total)
