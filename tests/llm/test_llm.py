@@ -194,7 +194,8 @@ def test_pipeline_s_stages(spark, tmp_path):
     """Each stage against what its parts say of its own input."""
     import corpus_pipeline
 
-    words = [f"lorem{i} ipsum{i * 7 % 50} dolor{i * 3 % 40}" for i in range(60)]
+    rng = random.Random(9)
+    words = ["".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "st", "wor", "ly", "men"]) for _ in range(3)) for _ in range(120)]
     good = " ".join(words)
     docs = [(1, good), (2, good), (3, "too short"), (4, " ".join(reversed(words)) + " password=abcdef123"), (5, "x " * 80)]
     spark.createDataFrame([(1, "not in any document at all but of at least some ten words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
