@@ -137,6 +137,7 @@ def demand(kept: DataFrame, auto: DataFrame, truth: DataFrame, rules: Rules = Ru
 
 def sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     """Sittings of each user in an event log: a gap starts a new one; length and events of each."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a time without zone is the session zone's
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w))
     starts = events.withColumn("new", F.coalesce((gap > gap_seconds).cast("int"), F.lit(1)))
