@@ -151,6 +151,15 @@ def test_classifiers_learn(spark):
     assert {r.score for r in toxicity.classify_toxicity(d, y.limit(0)).collect()} == {0.5}
 
 
+def test_toxic_dictionary_reads_texts_that_share_their_first_words():
+    """Texts whose 12 alphabetically first words agree are still texts of their own; only those of the same words are one."""
+    texts = [b"a " * 12 + b"plain%d" % i for i in range(30)] + [b"a " * 12 + b"grobian r%d" % i for i in range(10)]
+    toxic, ordinary = toxicity.dictionaries(texts, [0] * 30 + [1] * 10, toxicity.Settings())
+    assert b"grobian" in toxic.split() and {b"plain%d" % i for i in range(30)} <= {*ordinary.split()}
+    again = [b" ".join(reversed(t.split())) for t in texts]
+    assert toxicity.dictionaries(texts + again, ([0] * 30 + [1] * 10) * 2, toxicity.Settings()) == (toxic, ordinary)
+
+
 def test_language_model_is_a_distribution():
     """In every context the known words and the unknown one sum to one."""
     rng = np.random.default_rng(4)

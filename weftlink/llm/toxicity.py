@@ -16,6 +16,7 @@ of both classes every score is the share of label 1 (0.5 without labels).
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -73,7 +74,7 @@ def dictionaries(texts: list[bytes], labels: list[int], s: Settings) -> tuple[by
     once: dict[bytes, tuple[list[bytes], int]] = {}
     for text, label in zip(texts, labels, strict=True):
         words = words_of(text)
-        once.setdefault(b" ".join(sorted(words)[:12]), (words, label))
+        once.setdefault(hashlib.sha256(b" ".join(sorted(words))).digest(), (words, label))
     docs, of_gram, total = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
     for words, label in once.values():
         total[label] += 1
