@@ -180,6 +180,37 @@ def test_language_model_is_a_distribution():
     assert abs(total - 1) < 1e-9
 
 
+def test_a_sweep_seats_every_customer():
+    """Table counts of large and small dishes follow their exact weights, from whatever start."""
+    s, d, rng = pitman_yor.Settings(), pitman_yor.Settings().discounts[2], np.random.default_rng(5)
+    count = np.array([2, 40, 700, 1500, 1500, 3])
+    stirling = {1: np.zeros(1)}
+    with np.errstate(divide="ignore"):
+        for c in range(1, 1500):
+            stirling[c + 1] = np.logaddexp(np.append(stirling[c] + np.log(c - d * np.arange(1, c + 1)), -np.inf), np.insert(stirling[c], 0, -np.inf))
+
+    def moments(c, weight):
+        p = stirling[c] + np.arange(1, c + 1) * np.log(weight)
+        p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+        t = np.arange(1, c + 1)
+        return (p * t).sum(), np.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+
+    shard = pitman_yor.Shard(np.arange(6), np.zeros(6, np.int64), count, 6)
+    for _ in range(3):
+        root, mid, leaf = shard.levels
+        tables = [x.tables(n) for x, n in zip(shard.levels, pitman_yor.RESTAURANTS, strict=True)]
+        customers = [np.bincount(x.restaurant, x.c, n) for x, n in zip(shard.levels, pitman_yor.RESTAURANTS, strict=True)]
+        weight = (s.strengths[2] + d * tables[2][0]) * shard.chances(0.5 / 6, customers, tables, s, 2)[-1]
+        shard.sweep(0.5 / 6, 1.0, s, rng)
+        for c, t, w in zip(count, shard.levels[2].t, weight, strict=True):
+            mean, deviation = moments(int(c), w)
+            assert abs(t - mean) <= 6 * deviation + 1e-6
+    for c, w in ((40, 0.3), (1024, 5.0), (1500, 0.5), (1500, 20.0), (1500, 60.0), (1500, 200.0), (1500, 900.0)):
+        got = pitman_yor.seated(np.full(4000, c), np.full(4000, w), d, rng)
+        mean, deviation = moments(c, w)
+        assert abs(got.mean() - mean) < 5 * deviation / 4000**0.5 + 0.003 * mean and abs(got.std() / deviation - 1) < 0.08, (c, w, got.mean(), mean, got.std(), deviation)
+
+
 def test_lookup_table():
     table = sharding.lookup_table([f"s{i}" for i in range(7)], 211)
     assert sorted({*table}) == [*range(7)] and max(np.bincount(table)) - min(np.bincount(table)) <= 1
