@@ -119,6 +119,17 @@ def test_secret_spans():
     assert secret_scan.thresholds([(0, 100, 5), (0, 0, 95)], 0.001)[0] == 100
 
 
+def test_keys_of_one_class_are_found(spark):
+    """Random small letters, capitals and digits are finds; ordinary words of one class are tested and are none."""
+    rng = random.Random(12)
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("abcdefghijklmnopqrstuvwxyz", 90), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 90), ("0123456789", 20))]
+    words = ["internationalisation", "ANORDINARYLONGLINEINCAPITALS", "anordinarylongwordwithoutclasses", "0" * 20]
+    docs = [(i, f"see {w} here") for i, w in enumerate(keys + words)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secret_scan.scan_secrets(df).collect()} == {i: f"random:4:{4 + len(keys[i])}" if i < 3 else "" for i, _ in docs}
+    assert {r.doc_id: r.text for r in secret_scan.redact_secrets(df).collect()} == {i: "see <secret> here" if i < 3 else t for i, t in docs}
+
+
 def test_secret_digest(spark):
     row = secret_scan.scan_secrets(spark.createDataFrame([(1, "é secret: hunter22 x")], "doc_id long, text string")).first()
     assert (row.n_assign, row.spans, row.base_sha256) == (1, "assign:2:18", hashlib.sha256(b"assign:2:18").hexdigest())

@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control over the whole corpus.
 
 The patterns give spans of the kinds assign, access and hex. The battery looks at every run of encoding characters of at
-least `shortest` characters that mixes character classes. Its encoding is inferred (hex, base32, base36, base64), and
+least `shortest` characters. Its encoding is inferred (decimal, hex, lower or upper case, base32, base36, base64), and
 
 * a chi-squared test of an even spread over the encoding's alphabet, a runs test about the alphabet's middle and a lag-1
   serial correlation test ask whether it looks drawn at random; the smallest of the three p-values times three must reach
@@ -79,6 +79,9 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 _ALPHABETS = {
+    "decimal": "0123456789",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
@@ -102,16 +105,23 @@ def _ordinary() -> np.ndarray:
 
 
 _ORDINARY = _ordinary()
+#: The same for writing in small letters alone or in capitals alone.
+_ONE_CASE = _ORDINARY.copy()
+for _case in (slice(97, 123), slice(65, 91)):
+    _ONE_CASE[_case] -= np.log(np.exp(_ORDINARY[_case]).sum())
 _PLACES = {name: np.array([a.find(chr(i)) for i in range(256)]) for name, a in _ALPHABETS.items()}
 
 
-def encoding(run: bytes) -> str | None:
-    """The smallest encoding that holds the run; None for plain numbers and for words, which mix no classes."""
-    digits = any(c in b"0123456789" for c in run)
-    if not digits and not re.search(rb"[a-z][A-Z]", run) or run.upper() == run.lower():
-        return None
+def encoding(run: bytes) -> str:
+    """The smallest encoding that holds the run."""
+    if re.fullmatch(rb"[0-9]+", run):
+        return "decimal"
     if re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run):
         return "hex"
+    if re.fullmatch(rb"[a-z]+", run):
+        return "lower"
+    if re.fullmatch(rb"[A-Z]+", run):
+        return "upper"
     if re.fullmatch(rb"[A-Z2-7]+", run):
         return "base32"
     if re.fullmatch(rb"[0-9a-z]+", run):
@@ -138,7 +148,7 @@ def battery(run: bytes, name: str) -> tuple[float, float]:
     n = len(places)
     if n < 8:
         return 0.0, 0.0
-    ratio = -n * math.log(size) - float(_ORDINARY[np.frombuffer(run, np.uint8)].sum())
+    ratio = -n * math.log(size) - float((_ONE_CASE if name in ("lower", "upper") else _ORDINARY)[np.frombuffer(run, np.uint8)].sum())
     cells = 8 if n >= 40 else 4
     seen = np.bincount(places * cells // size, minlength=cells)
     width = np.bincount(np.arange(size) * cells // size, minlength=cells) / size
@@ -157,26 +167,24 @@ def battery(run: bytes, name: str) -> tuple[float, float]:
     return min(0.0, -ratio / math.log(10)), min(1.0, 3 * min(spread, runs, serial))
 
 
-def candidates(text: bytes, s: Settings) -> list[tuple[int, int, int, float]]:
-    """(start, end, steps of the p-value, randomness p-value) of each run that has an encoding."""
+def tested(text: bytes, s: Settings) -> list[tuple[int, int, int, float]]:
+    """(start, end, steps of the p-value, randomness p-value) of each run; all of them count in the false-discovery control."""
     out = []
-    marks = text.translate(_CLASSES)
-    if b"d" not in marks and not re.search(rb"[ld][u]", marks):
-        return out
-    at = 0
-    for piece in marks.split(b" "):
-        size = len(piece)
-        if size >= s.shortest and piece.strip(b"l"):
-            run = text[at : at + size]
-            left = size - len(run.lstrip(b"-_/+"))
-            run = run.strip(b"-_/+")
-            if len(run) >= s.shortest and (name := encoding(run)):
-                p, fair = battery(run, name)
-                out.append((at + left, at + left + len(run), min(MOST_STEPS, int(-p * STEPS_PER_TEN)), fair))
-        at += size + 1
+    for m in re.finditer(rb"[^ ]{%d,}" % s.shortest, text.translate(_CLASSES)):
+        run = text[m.start() : m.end()]
+        left = len(run) - len(run.lstrip(b"-_/+"))
+        run = run.strip(b"-_/+")
+        if len(run) >= s.shortest:
+            p, fair = battery(run, encoding(run))
+            out.append((m.start() + left, m.start() + left + len(run), min(MOST_STEPS, int(-p * STEPS_PER_TEN)), fair))
     return out
 
 
+def candidates(text: bytes, s: Settings) -> list[tuple[int, int, int, float]]:
+    """The tested runs that are likelier drawn at random than ordinary writing."""
+    return [x for x in tested(text, s) if x[2] > 0]
+
+
 def band(length: int) -> int:
     return max(i for i, low in enumerate(BANDS) if length >= low)
 
@@ -204,7 +212,7 @@ def _scan(s: Settings):
             rows = []
             for doc, text in zip(part.column("doc_id").to_pylist(), map(_plain, texts), strict=True):
                 base = base_spans(text)
-                runs = [(a, b, p, fair, band(b - a), all(b <= x or y <= a for x, _, y in base)) for a, b, p, fair in candidates(text, s)]
+                runs = [(a, b, p, fair, band(b - a), all(b <= x or y <= a for x, _, y in base)) for a, b, p, fair in tested(text, s)]
                 of = [k for _, k, _ in base]
                 rows.append((doc, of.count(0), of.count(1), of.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), [dict(zip(("start", "kind", "stop"), x, strict=True)) for x in base], [dict(zip(("start", "stop", "step", "fair", "band", "free"), x, strict=True)) for x in runs]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -249,7 +257,7 @@ def _counted(s: Settings):
         counts: dict[tuple[int, int], int] = {}
         for _, texts in steps(batches):
             for text in map(_plain, texts):
-                for a, b, p, _ in candidates(text, s):
+                for a, b, p, _ in tested(text, s):
                     key = (band(b - a), p)
                     counts[key] = counts.get(key, 0) + 1
         rows = [(b, p, n) for (b, p), n in counts.items()]
