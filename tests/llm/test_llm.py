@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from weftlink.llm import bpe, decontamination, near_dedup, pitman_yor, quality_classifier, quality_rules, secret_scan, sharding, token_files, toxicity
@@ -78,10 +79,13 @@ def test_bpe_is_the_library_s(spark):
     coder = bpe.Coder(P("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
     rng = random.Random(5)
-    texts = ["", "it's  a   test\n\n x", "a" * 700, "\x1c!\x1cab", "é\x85\n z", "日本語 12,345!!"] + ["".join(rng.choice("ab 'st\n\t!é1") for _ in range(40)) for _ in range(200)]
-    for text, (n, ids, plain) in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
-        expected = library.encode_ordinary(text)
-        assert (n, ids.decode(), plain) == (len(expected), ",".join(map(str, expected)), text.encode())
+    long = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("etaoin", 900), ("aab", 2000), ("abcdefghijklmnopqrstuvwxyz", 300), ("éèa", 500))]
+    texts = [*long, "", "it's  a   test\n\n x", "a" * 700, "b" * 20001, "\x1c!\x1cab", "é\x85\n z", "日本語 12,345!!"] + ["".join(rng.choice("ab 'st\n\t!é1") for _ in range(40)) for _ in range(200)]
+    for _ in range(2):  # the second time all is known
+        counts, ids, plain = coder.encode(pa.array([t.encode() for t in texts], pa.binary()))
+        for text, *got in zip(texts, counts.tolist(), ids.to_pylist(), plain.to_pylist(), strict=True):
+            expected = library.encode_ordinary(text)
+            assert got == [len(expected), "".join(f"{i}," for i in expected).encode(), text.encode()]
     coder.close()
 
 
@@ -99,12 +103,40 @@ def test_token_files_round_trip(spark):
         start += len(ids)
 
 
+def test_documents_are_read_at_random(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P("byte_bpe_50k.json"))
+    docs = [(i, f"the {i} cats sat on the mat, " * (i % 7)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    token_files.write_tokens(df, P("byte_bpe_50k.json"), str(tmp_path / "t"), 3, token_files.Settings(shard_ids=400))
+    got = {r.doc_id: r.ids for r in token_files.read_documents(spark, str(tmp_path / "t"), [0, 5, 150, 299, 999]).collect()}
+    assert got == {i: [*library.encode(docs[i][1], add_special_tokens=False).ids, 0] for i in (0, 5, 150, 299)}
+
+
+def test_segments_join_to_their_texts():
+    """No cut crosses a pre-token: the library's pattern finds the same in the parts as in the whole."""
+    import regex
+
+    from weftlink.llm import segments
+
+    rng, pattern = random.Random(3), regex.compile(public_tokenizers.PATTERN)
+    texts = ["".join(rng.choice(["a", "b", " ", "\n", "é", "×", ",", "'s", "1", "日", "\u00a0", "\u3000", "\x1c", "Ā"]) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    found, counts = segments.cut(pa.array([t.encode() for t in texts], pa.binary()))
+    parts = iter(found.to_pylist())
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        own = [next(parts).decode() for _ in range(n)]
+        assert "".join(own) == text and [p for s in own for p in pattern.findall(s)] == pattern.findall(text)
+
+
 def test_grammar():
     rng = np.random.default_rng(2)
     for ids in (np.empty(0), np.array([5]), np.full(101, 7), rng.integers(0, 4, 5000)):
         ids = ids.astype(np.uint32)
         symbols, left, right = token_files.compress(ids, 100, 4)
         sizes = token_files.rule_sizes(left, right, 100)
+        pairs = np.unique((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:], return_counts=True)[1] if len(symbols) > 1 else np.zeros(1)
+        assert pairs.max() < 4 or len({*symbols.tolist()}) == 1
         assert (token_files.decode(symbols, left, right, sizes, 100) == ids).all()
         for a, b in ((0, 3), (len(ids) // 2, len(ids) // 2 + 9)):
             assert (token_files.decode_range(symbols, left, right, sizes, 100, a, min(b, len(ids))) == ids[a:b]).all()

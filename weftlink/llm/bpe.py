@@ -1,10 +1,16 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries, one database in each Python worker.
 
-Texts are cut into pre-tokens by the public pattern. The distinct ones that a worker hasn't met are encoded together:
-token-position rows join the merge table, each step contracts every pre-token's leftmost pair of least rank, until none
-is left; an ordered aggregation gives ids and decoded bytes. A pre-token that is itself in the vocabulary is its token.
-Pre-tokens of over `LONGEST` bytes would need a step for each merge over rows by the thousand; the same rule is applied
-to these with a heap.
+Texts are cut into segments and these into pre-tokens by the public pattern; each distinct one that a worker hasn't met
+goes through DuckDB. A pre-token that joins the vocabulary as a whole is its token, as in the library. Those of up to
+`SHORT` bytes go through a query whose token-position rows join the merge table, in which each step contracts every
+pre-token's leftmost pair of least rank, until none is left. Longer ones go through a recursive query that is keyed by
+position, keeps only the rows' latest state, and contracts all places of the pair of least rank in one step (of
+overlapping ones every other, from the left), which comes to the same: a pair that a contraction makes has a higher rank
+than the contracted one. Ordered aggregations give ids and decoded bytes. Batches are bounded by the rows that their
+steps may make, not by a count of pre-tokens.
+
+A step of the keyed query rewrites the rows of the pre-tokens that still change, so a pre-token without any repetition
+takes time in the square of its length: 30,000 random letters take about 17 s, 300,000 equal ones half a second.
 
 Defined results: a null text counts as empty, with no tokens and the hashes of the empty string; texts are valid UTF-8,
 so any text decodes to itself; null ids stay null; repeated rows are encoded alike; other columns are ignored; an empty
@@ -15,25 +21,28 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Ids, id_and_text, release, steps
-from .segments import numbered
+from .common import arrow_steps, id_and_text, ragged, release
+from .segments import Known, begin_in_space, binary, content, cut
 
-#: Bytes of the longest pre-token that goes through the recursive query.
-LONGEST = 200
-#: Pre-tokens in one recursive query, and in each of the two generations that a worker remembers.
-AT_ONCE, REMEMBERED = 40_000, 200_000
+#: Bytes of a pre-token up to which all steps' rows are kept until the end.
+SHORT = 48
+#: Rows that the steps of one query may make, about; bytes of long pre-tokens in one query.
+ROWS, LONG_BYTES = 1_500_000, 64 << 10
+#: Segments and pre-tokens that a worker remembers, and bytes of their results, before it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 700_000, 96 << 20
 
-_MERGE = """
-WITH RECURSIVE tokens(w, pos, tok, nxt, prev, done) AS (
-  SELECT w, pos, tok, lead(tok) OVER v, lag(pos) OVER v, false FROM start WINDOW v AS (PARTITION BY w ORDER BY pos)
+_WHOLE = "SELECT w, id AS tok FROM pieces JOIN vocabulary USING (piece)"
+_STEPWISE = """
+tokens(w, pos, tok, nxt, prev, done) AS (
+  SELECT w, pos, tok, lead(tok) OVER v, lag(pos) OVER v, false FROM start ANTI JOIN whole USING (w) WINDOW v AS (PARTITION BY w ORDER BY pos)
   UNION ALL
   SELECT w, pos, tok, lead(tok) OVER v, lag(pos) OVER v, best IS NULL
   FROM (SELECT t.w, t.pos, b.best, CASE WHEN t.pos = b.best % 65536 THEN b.best // 65536 ELSE t.tok END AS tok
@@ -42,10 +51,39 @@ WITH RECURSIVE tokens(w, pos, tok, nxt, prev, done) AS (
           FROM (SELECT w, pos, merged FROM tokens LEFT JOIN merges ON pair = tok * 65536 + nxt WHERE NOT done)
           GROUP BY w) b ON t.w = b.w
         WHERE NOT t.done AND (b.best IS NULL OR t.prev IS NULL OR t.prev <> b.best % 65536))
-  WINDOW v AS (PARTITION BY w ORDER BY pos))
-SELECT w, string_agg(entry, ',' ORDER BY pos) AS entries
-FROM tokens JOIN vocabulary ON id = tok WHERE done GROUP BY w
+  WINDOW v AS (PARTITION BY w ORDER BY pos)),
+final AS (SELECT w, pos, tok FROM tokens WHERE done)
 """
+# tok is -1 where a token was joined to the one before it
+_KEYED = """
+tokens(w, pos, tok, nxt, merged) USING KEY (w, pos) AS (
+  SELECT w, pos, tok, nxt, merged
+  FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM start ANTI JOIN whole USING (w)) LEFT JOIN merges ON pair = tok * 65536 + nxt
+  UNION
+  (WITH least AS (
+    SELECT w, min(merged) AS merged FROM recurring.tokens WHERE tok >= 0 AND w IN (SELECT w FROM tokens) GROUP BY w HAVING min(merged) IS NOT NULL),
+  live AS (
+    SELECT t.w, t.pos, t.tok, t.merged, coalesce(t.merged = b.merged, false) AS best, coalesce(t.merged = b.merged AND t.tok = t.nxt, false) AS twin
+    FROM recurring.tokens t JOIN least b ON t.w = b.w WHERE tok >= 0),
+  placed AS (SELECT w, pos, twin, row_number() OVER (PARTITION BY w ORDER BY pos) AS place FROM live WHERE w IN (SELECT w FROM live WHERE twin)),
+  runs AS (SELECT w, pos, place - row_number() OVER (PARTITION BY w ORDER BY pos) AS run FROM placed WHERE twin),
+  odd AS (SELECT w, pos, row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 0 AS skipped FROM runs),
+  joined AS (
+    SELECT w, pos, CASE WHEN lag(chosen) OVER (PARTITION BY w ORDER BY pos) THEN -1 WHEN chosen THEN merged ELSE tok END AS tok
+    FROM (SELECT w, pos, tok, merged, best AND NOT coalesce(skipped, false) AS chosen FROM live LEFT JOIN odd USING (w, pos)))
+  SELECT w, pos, tok, nxt, merged
+  FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM joined WHERE tok >= 0) LEFT JOIN merges ON pair = tok * 65536 + nxt
+  UNION ALL SELECT w, pos, -1, NULL, NULL FROM joined WHERE tok < 0)),
+final AS (SELECT w, pos, tok FROM tokens WHERE tok >= 0)
+"""
+_RESULT = """
+SELECT w, count(*) AS n, CAST(string_agg(number, '' ORDER BY pos) AS BLOB) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS plain
+FROM (SELECT * FROM final UNION ALL SELECT w, 0, tok FROM whole) JOIN vocabulary ON id = tok GROUP BY w ORDER BY w
+"""
+
+
+def _query(steps: str) -> str:
+    return f"WITH RECURSIVE whole AS MATERIALIZED ({_WHOLE}), {steps} {_RESULT}"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +91,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Results:
+    """For numbered pieces of text: numbers of tokens, decimal ids (each with a comma after it) and decoded bytes."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.counts = Known(), np.empty(0, np.int64)
+        self.ids = self.plain = pa.array([], pa.large_binary())
+
+    def add(self, counts: np.ndarray, ids: pa.Array, plain: pa.Array) -> None:
+        self.counts, self.ids, self.plain = np.concatenate([self.counts, counts]), pa.concat_arrays([self.ids, ids]), pa.concat_arrays([self.plain, plain])
+
+    def full(self) -> bool:
+        return len(self.known) > REMEMBERED or self.ids.nbytes + self.plain.nbytes > REMEMBERED_BYTES
+
+    def joined(self, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Results of sequences of pieces, `sizes` in each, one after the other."""
+        edges = np.append(0, np.cumsum(sizes))
+        counts = np.diff(np.append(0, np.cumsum(self.counts[numbers]))[edges])
+        out = []
+        for column in (self.ids, self.plain):
+            raw, at = content(pc.take(column, pa.array(numbers)))
+            out.append(binary(raw, at[edges]))
+        return counts, *out
+
+
 class Coder:
     def __init__(self, ranks_path: str, pattern: str):
         import regex
@@ -61,20 +126,19 @@ class Coder:
         if max(self.ranks.values()) >= 65536:
             raise ValueError("pairs are packed with 16 bits for an id")
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.merges = pa.table({"pair": left * 65536 + right, "merged": merged})
-        self.vocabulary = pa.table({"id": list(self.bytes_of), "entry": [f"{i}:{b.hex()}" for i, b in self.bytes_of.items()]})
+        entries = list(self.ranks.items())
+        self.vocabulary = pa.table({"id": pa.array([i for _, i in entries], pa.int64()), "number": [f"{i}," for _, i in entries], "hex": [b.hex() for b, _ in entries], "piece": pa.array([b for b, _ in entries], pa.binary())})
         self.db = None
-        self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.older: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.pieces, self.segments = Results(), Results()
 
     def open(self) -> None:
-        """A database for one task; what is known of pre-tokens outlasts it."""
+        """A database in memory for one task, without a folder to spill to; what is known of pre-tokens outlasts it."""
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("m", self.merges)
         self.db.register("v", self.vocabulary)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocabulary AS SELECT * FROM v")
@@ -85,72 +149,71 @@ class Coder:
         self.db = None
         release()
 
-    def _by_heap(self, piece: bytes) -> list[int]:
-        """The same contraction for one long piece: a heap of (rank, place) over a linked list of parts."""
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-        after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
-        heap = [(r, i, 2) for i in range(len(parts) - 1) if (r := self.ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (r := self.ranks.get(both := parts[i] + parts[after[i]])) is not None:
-                heapq.heappush(heap, (r, i, len(both)))
-
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] is None or j < 0 or len(parts[i]) + len(parts[j]) != size:
-                continue
-            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(i)
-            offer(before[i])
-        return [self.ranks[p] for p in parts if p is not None]
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encodes and decodes pre-tokens: their number of tokens, decimal ids and decoded bytes."""
-        ask = []
-        for p in pieces:
-            if (rank := self.ranks.get(p)) is not None:
-                self.known[p] = 1, b"%d" % rank, self.bytes_of[rank]
-            elif len(p) > LONGEST:
-                ids = self._by_heap(p)
-                self.known[p] = len(ids), ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
-            else:
-                ask.append(p)
-        if ask and not self.db:
+    def _contract(self, pieces: pa.Array, steps: str) -> pa.Table:
+        """One recursive query over pre-tokens; rows in their order."""
+        raw, at = content(pieces)
+        sizes = np.diff(at)
+        where = np.repeat(np.arange(len(sizes)), sizes)
+        self.db.register("pieces", pa.table({"w": np.arange(len(sizes)), "piece": pieces}))
+        self.db.register("start", pa.table({"w": where, "pos": np.arange(len(raw)) - at[where], "tok": self.of_byte[raw]}))
+        out = self.db.sql(_query(steps)).to_arrow_table()
+        self.db.unregister("start")
+        self.db.unregister("pieces")
+        return out
+
+    def learn(self, new: pa.Array) -> None:
+        """Encodes and decodes pre-tokens, shorter ones first."""
+        if not self.db:
             self.open()
-        for i in range(0, len(ask), AT_ONCE):
-            some = ask[i : i + AT_ONCE]
-            sizes = np.fromiter(map(len, some), np.int64, len(some))
-            where = np.repeat(np.arange(len(some)), sizes)
-            place = np.arange(len(where)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("start", pa.table({"w": where, "pos": place, "tok": self.of_byte[np.frombuffer(b"".join(some), np.uint8)]}))
-            for w, entries in self.db.execute(_MERGE).fetchall():
-                ids, texts = zip(*[e.split(":") for e in entries.split(",")], strict=True)
-                self.known[some[w]] = len(ids), ",".join(ids).encode(), bytes.fromhex("".join(texts))
-            self.db.unregister("start")
-
-    def encode(self, texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-        """For each text its number of tokens, decimal ids joined by commas, and the bytes that they decode to."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        ids = Ids()
-        lists = numbered(texts, ids)
-        split = [[p.encode() for p in self.pattern.findall(s.decode("utf-8", "replace"))] for s in ids]
-        new = {p for pieces in split for p in pieces if p not in self.known}
-        old = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in old)
-        self.learn(list(new - old))
-        counts, numbers, plain = [], [], []
-        for pieces in split:
-            found = [self.known[p] for p in pieces]
-            counts.append(sum(f[0] for f in found))
-            numbers.append(b",".join([f[1] for f in found]))
-            plain.append(b"".join([f[2] for f in found]))
-        sizes = np.array(counts, np.int64)
-        return [(int(sizes[x].sum()), b",".join(map(numbers.__getitem__, x)), b"".join(map(plain.__getitem__, x))) for x in lists]
+        sizes = pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(sizes, kind="stable")
+        cost = np.where(sizes[order] <= SHORT, sizes[order] ** 2 / 2 / ROWS, sizes[order] / LONG_BYTES)
+        short, total, at, parts = int((sizes <= SHORT).sum()), np.cumsum(cost), 0, []
+        while at < len(order):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1, side="right")))
+            stop = min(stop, short) if at < short else stop
+            parts.append(self._contract(new.take(pa.array(order[at:stop])), _STEPWISE if at < short else _KEYED))
+            at = stop
+        found = pa.concat_tables(parts)
+        back = pa.array(np.argsort(order))
+        self.pieces.add(*(f(found.column(n).combine_chunks().take(back)) for n, f in (("n", lambda x: x.to_numpy().astype(np.int64)), ("ids", _large), ("plain", _large))))
+
+    def _split(self, new: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pre-tokens of segments, and how many each has; segments that begin in white space are read as one text."""
+        texts, joined = [s.decode("utf-8", "replace") for s in new.to_pylist()], begin_in_space(new)
+        plain, rest = np.flatnonzero(joined), np.flatnonzero(~joined)
+        found = self.pattern.findall("".join([texts[i] for i in plain.tolist()]))
+        pieces = pa.array(found, pa.large_string()).cast(pa.large_binary())
+        lengths = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        wanted = np.cumsum(pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64)[plain])
+        ends = np.cumsum(lengths)
+        last = np.searchsorted(ends, wanted)
+        if len(plain) and (not len(ends) or ends[-1] != wanted[-1] or (ends[last] != wanted).any()):
+            plain, rest, pieces, last = plain[:0], np.arange(len(new)), pieces[:0], last[:0]
+        more = [self.pattern.findall(texts[i]) for i in rest.tolist()]
+        sizes = np.concatenate([np.diff(last, prepend=-1), np.array(list(map(len, more)), np.int64)])
+        pieces = pa.concat_arrays([pieces, pa.array([p for x in more for p in x], pa.large_string()).cast(pa.large_binary())])
+        starts, back = np.cumsum(sizes) - sizes, np.argsort(np.concatenate([plain, rest]))
+        return pieces.take(pa.array(ragged(starts[back], sizes[back]))), sizes[back]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """For each text its number of tokens, decimal ids each with a comma after it, and the bytes that they decode to."""
+        for store in (self.segments, self.pieces):
+            if store.full():
+                store.clear()
+        found, counts = cut(texts)
+        numbers, new = self.segments.known.number(found)
+        if len(new):
+            pieces, sizes = self._split(new)
+            of, unknown = self.pieces.known.number(pieces)
+            if len(unknown):
+                self.learn(unknown)
+            self.segments.add(*self.pieces.joined(of, sizes))
+        return self.segments.joined(numbers, counts)
+
+
+def _large(column: pa.Array) -> pa.Array:
+    return column.cast(pa.large_binary())
 
 
 @lru_cache(maxsize=2)
@@ -166,13 +229,15 @@ def _encode(ranks_path: str, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
         try:
-            for part, texts in steps(batches):
-                rows = own.encode(texts)
-                if digests:
-                    ids, decoded = ([hashlib.sha256(r[i]).hexdigest() for r in rows] for i in (1, 2))
-                else:
-                    ids, decoded = [r[1].decode() for r in rows], [r[2].decode("utf-8", "replace") for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            for part, texts in arrow_steps(batches):
+                counts, *columns = own.encode(texts)
+                out = []
+                for column, cut_off in zip(columns, (1, 0), strict=True):
+                    raw, at = content(column)
+                    view = memoryview(raw)
+                    spans = [view[a : max(a, b - cut_off)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    out.append([hashlib.sha256(x).hexdigest() for x in spans] if digests else [bytes(x).decode("utf-8", "replace") for x in spans])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *(pa.array(x, pa.string()) for x in out)], names=["doc_id", "n_tokens", "ids", "decoded"])
         finally:
             own.close()
 

@@ -42,7 +42,7 @@ def remainder(id_col: str, n: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
-def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def arrow_steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cuts Arrow batches so that the text of each part stays near `limit` bytes (one longer text is a part of its own); null texts are empty."""
     for batch in batches:
         given = batch.column(column)
@@ -52,10 +52,16 @@ def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         while start < len(texts):
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start), texts.slice(start, stop - start).to_pylist()
+            yield batch.slice(start, stop - start), texts.slice(start, stop - start)
             start = stop
 
 
+def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The same with the texts as a list."""
+    for part, texts in arrow_steps(batches, column, limit):
+        yield part, texts.to_pylist()
+
+
 def release() -> None:
     """Gives freed memory back to the system: a reused worker shouldn't hold an earlier stage's peak."""
     pa.default_memory_pool().release_unused()
