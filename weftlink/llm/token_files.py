@@ -34,12 +34,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_steps, id_and_text, ragged, shared_dir
-from .segments import Known, begin_in_space, cut
+from .segments import Known, begin_in_space, content, cut
 
 END = 0
 #: Segments that a worker remembers, and their bytes, before it starts anew.
@@ -81,27 +80,29 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
 
-    def _joined(self, texts: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for segments that begin with white space and don't end in it: a thousand in one call, told apart by their bytes."""
-        rows = ["".join(texts[i : i + 1000]) for i in range(0, len(texts), 1000)]
+        raw, at = content(segments)
+        edges = at[np.append(np.arange(0, len(segments), 1000), len(segments))].tolist()
+        rows = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
         flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
-        ends, wanted = np.cumsum(self.bytes_of[flat]), np.cumsum(lengths)
-        last = np.searchsorted(ends, wanted)
-        if not len(ends) or ends[-1] != wanted[-1] or (ends[last] != wanted).any():
-            return self._each(texts)
+        ends = np.cumsum(self.bytes_of[flat])
+        last = np.searchsorted(ends, at[1:])
+        if not len(ends) or ends[-1] != at[-1] or (ends[last] != at[1:]).any():
+            return self._each([s.decode("utf-8", "replace") for s in segments.to_pylist()])
         return np.diff(last, prepend=-1), flat
 
     def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of each segment, and all ids."""
-        plain, lengths = begin_in_space(new), pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64)
-        every = b"".join(new.to_pylist())
+        plain = begin_in_space(new)
+        every = content(new)[0].tobytes()
         if any(x.encode() in every for x in self.special):
             plain &= [not any(x.encode() in s for x in self.special) for s in new.to_pylist()]
-        texts, parts = [s.decode("utf-8", "replace") for s in new.to_pylist()], []
+        parts = []
         if plain.any():
-            parts.append(self._joined([texts[i] for i in np.flatnonzero(plain).tolist()], lengths[plain]))
+            parts.append(self._joined(new.filter(pa.array(plain))))
         if not plain.all():
-            parts.append(self._each([texts[i] for i in np.flatnonzero(~plain).tolist()]))
+            parts.append(self._each([s.decode("utf-8", "replace") for s in new.filter(pa.array(~plain)).to_pylist()]))
         sizes, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
         starts = np.cumsum(sizes) - sizes
         back = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
@@ -177,8 +178,8 @@ def compress(ids: np.ndarray, base: int, least: int) -> tuple[np.ndarray, np.nda
             at = np.flatnonzero(held[slots] >= limit)
             near, slots = keys[at], slots[at]
         else:
-            at = np.unique(np.concatenate([fresh - 1, fresh]))
-            at = at[(at >= 0) & (at + 1 < len(seq))]
+            at = np.sort(np.concatenate([fresh - 1, fresh]))
+            at = at[(np.diff(at, prepend=-2) > 0) & (at >= 0) & (at + 1 < len(seq))]
             near = (seq[at] << np.uint64(32)) | seq[at + 1]
             slots = _slot(near)
         pairs = _frequent(near, limit)
