@@ -203,30 +203,74 @@ def test_toxic_dictionary_reads_texts_that_share_their_first_words():
     assert toxicity.dictionaries(texts + again, ([0] * 30 + [1] * 10) * 2, toxicity.Settings()) == (toxic, ordinary)
 
 
+def _small_shard(rng, s):
+    context, word = np.divmod(np.unique(rng.integers(0, 6 * 60, 150)), 60)
+    shard = pitman_yor.Shard(context, word, rng.integers(1, 9, len(word)), np.array([0, 0, 1, 1, 1, 2]), np.ones(6), 60)
+    counts = np.bincount(shard.word, shard.c, 60)
+    for _ in range(3):
+        mine = shard.root_customers()
+        root = pitman_yor.root_chances(mine, np.minimum(mine, 1), mine.sum(), (mine > 0).sum(), (counts > 0).sum(), s, s.discounts[0])
+        shard.sweep(root, s, s.discounts, rng)
+    return shard, counts
+
+
 def test_language_model_is_a_distribution():
-    """In every context the known words and the unknown one sum to one."""
-    rng = np.random.default_rng(4)
-    word, context = np.divmod(np.unique(rng.integers(0, 60 * 6, 150)), 6)
-    count = rng.integers(1, 9, len(word))
+    """In every context the known words and the unknown one sum to one, whether they were met there or not."""
     s = pitman_yor.Settings()
-    shard = pitman_yor.Shard(word, context, count, 60)
-    known = len(np.unique(word))
-    for _ in range(3):
-        shard.sweep((1 - s.unknown) / known, 1.0, s, rng)
-    for level, above in zip(shard.levels[1:], shard.levels[:-1], strict=True):
-        assert (np.bincount(level.parent, level.t, len(above.c)) == above.c).all()
-        assert (np.bincount(level.owner, level.size, len(level.c)) == level.c).all() and (level.size > 0).all()
-    tables = [x.tables(n) for x, n in zip(shard.levels, pitman_yor.RESTAURANTS, strict=True)]
-    customers = [np.bincount(x.restaurant, x.c, n) for x, n in zip(shard.levels, pitman_yor.RESTAURANTS, strict=True)]
-    root = shard.chances((1 - s.unknown) / known, customers, tables, s)[0]
-    total = root[np.unique(word)].sum() + (s.strengths[0] + s.discounts[0] * tables[0][0]) * s.unknown / (s.strengths[0] + customers[0][0])
-    assert abs(total - 1) < 1e-9
+    shard, counts = _small_shard(np.random.default_rng(4), s)
+    assert (np.bincount(shard.up, shard.t, len(shard.group)) == shard.above).all()
+    mine, known = shard.root_customers(), int((counts > 0).sum())
+    tables = np.minimum(mine, 1)
+    root = pitman_yor.root_chances(np.append(mine, 0), np.append(tables, 0), mine.sum(), tables.sum(), known, s, s.discounts[0])
+    assert abs(root[np.append(counts > 0, True)].sum() - 1) < 1e-9
+    # all pairs of contexts and words, with the same seatings
+    full = pitman_yor.Shard(np.repeat(np.arange(6), 61), np.tile(np.arange(61), 6), np.zeros(366), np.array([0, 0, 1, 1, 1, 2]), np.ones(6), 61)
+    full.c[shard.context * 61 + shard.word], full.t[:] = shard.c, 0
+    full.t[shard.context * 61 + shard.word] = shard.t
+    full.above[shard.group * 61 + shard.dish_word], full.above_t[:] = shard.above, 0
+    full.above_t[shard.group * 61 + shard.dish_word] = shard.above_t
+    chances = full.chances(root, s, s.discounts).reshape(6, 61)
+    assert np.allclose(chances[:, np.append(counts > 0, True)].sum(1), 1)
+
+
+def test_language_model_against_brute_force(spark):
+    """Base figures from plain counts; scores are alike whether contexts are whole or split over many shards, and know what follows what."""
+    import math
+
+    rng = random.Random(21)
+    follow = {w: [f"w{rng.randrange(40)}" for _ in range(2)] for w in [f"w{i}" for i in range(40)]}
+    docs = []
+    for i in range(400):
+        text = ["W%d" % rng.randrange(40)]
+        while len(text) < 50:
+            text.append(rng.choice(follow[text[-1].lower()]) if rng.random() < 0.9 else f"rare{rng.randrange(3000)}" if rng.random() < 0.1 else f"w{rng.randrange(40)}")
+            if not text[-1].startswith("w"):
+                text.append(f"w{rng.randrange(40)}")
+        docs.append((i, " \n".join(text)))
+    docs += [(400, None), (None, "w1 w2"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tokens = [[*(t or "").lower().split(), ""] for _, t in docs]
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in docs]
+    counts = {}
+    for t, h in zip(tokens, held, strict=True):
+        for w in t if not h else []:
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    expected = sorted((h, len(t), sum(w in counts for w in t), n, round(sum(math.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for t, h in zip(tokens, held, strict=True))
+    means = []
+    for s in (pitman_yor.Settings(), pitman_yor.Settings(shard_tokens=300, chunk_bytes=4000)):
+        rows = pitman_yor.language_model_scores(df.repartition(3), s).collect()
+        assert sorted((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == expected
+        own = [r for r in rows if r.held_out and r.n_tokens > 9]
+        means.append(sum(r.score for r in own) / sum(r.n_tokens for r in own))
+        assert means[-1] > sum(r.base_score for r in own) / sum(r.n_tokens for r in own) + 0.4
+    assert abs(means[0] - means[1]) < 0.2  # shards of 300 tokens split nearly every context
 
 
 def test_a_sweep_seats_every_customer():
     """Table counts of large and small dishes follow their exact weights, from whatever start."""
-    s, d, rng = pitman_yor.Settings(), pitman_yor.Settings().discounts[2], np.random.default_rng(5)
-    count = np.array([2, 40, 700, 1500, 1500, 3])
+    s, rng = pitman_yor.Settings(), np.random.default_rng(5)
+    d, count = s.discounts[2], np.array([2, 40, 700, 1500, 1500, 3])
     stirling = {1: np.zeros(1)}
     with np.errstate(divide="ignore"):
         for c in range(1, 1500):
@@ -238,14 +282,11 @@ def test_a_sweep_seats_every_customer():
         t = np.arange(1, c + 1)
         return (p * t).sum(), np.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
 
-    shard = pitman_yor.Shard(np.arange(6), np.zeros(6, np.int64), count, 6)
+    shard, root = pitman_yor.Shard(np.zeros(6, np.int64), np.arange(6), count, np.zeros(1, np.int64), np.ones(1), 6), np.full(6, 0.5 / 6)
     for _ in range(3):
-        root, mid, leaf = shard.levels
-        tables = [x.tables(n) for x, n in zip(shard.levels, pitman_yor.RESTAURANTS, strict=True)]
-        customers = [np.bincount(x.restaurant, x.c, n) for x, n in zip(shard.levels, pitman_yor.RESTAURANTS, strict=True)]
-        weight = (s.strengths[2] + d * tables[2][0]) * shard.chances(0.5 / 6, customers, tables, s, 2)[-1]
-        shard.sweep(0.5 / 6, 1.0, s, rng)
-        for c, t, w in zip(count, shard.levels[2].t, weight, strict=True):
+        weight = (s.strengths[2] + d * shard.t.sum()) * shard._of_classes(root, s, s.discounts)[shard.up]
+        shard.sweep(root, s, s.discounts, rng)
+        for c, t, w in zip(count, shard.t, weight, strict=True):
             mean, deviation = moments(int(c), w)
             assert abs(t - mean) <= 6 * deviation + 1e-6
     for c, w in ((40, 0.3), (1024, 5.0), (1500, 0.5), (1500, 20.0), (1500, 60.0), (1500, 200.0), (1500, 900.0)):

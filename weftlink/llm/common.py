@@ -116,6 +116,15 @@ def written(df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes the folders of tables from `written` that nothing reads any more."""
+    for table in tables:
+        jvm, paths = table.sparkSession.sparkContext._jvm, {f.rsplit("/", 2)[0] for f in table.inputFiles()}
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, max_documents: int, max_bytes: int) -> tuple[list[bytes], list[int]]:
     """Texts and labels for training: of the rows outside the held-out fold, those of the smallest hashes of their ids.
 

@@ -100,6 +100,33 @@ def begin_in_space(segments: pa.Array) -> np.ndarray:
     return out
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The runs of bytes other than ASCII white space, ASCII letters lower-cased if asked.
+
+    Gives each word's number, the distinct words in the order of their first appearance, and the number of words of each text.
+    """
+    raw, at = content(texts)
+    if not len(raw):
+        return np.empty(0, np.int64), pa.array([], pa.large_binary()), np.zeros(len(texts), np.int64)
+    solid = ~_SPACE[raw]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    starts = at[:-1][at[1:] > at[:-1]]
+    first[starts] = solid[starts]
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.searchsorted(starts, at))
+    if not len(starts):
+        return np.empty(0, np.int64), pa.array([], pa.large_binary()), counts
+    edges = np.append((np.cumsum(solid, dtype=np.int64) - 1)[starts], int(solid.sum()))
+    raw = raw[solid]
+    coded = pc.dictionary_encode(binary(_LOWER[raw] if lower else raw, edges))
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, counts
+
+
 class Known:
     """Distinct segments, numbered from 0 in the order in which they were first met, in one Arrow array."""
 
