@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,16 @@ def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(out)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes by planes, high bytes apart from low ones, compressed with zstandard."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share; set to a folder of the working directory if unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -125,6 +137,12 @@ def removed(*tables: DataFrame) -> None:
             folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unshuffled(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more: its cleaner acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, max_documents: int, max_bytes: int) -> tuple[list[bytes], list[int]]:
     """Texts and labels for training: of the rows outside the held-out fold, those of the smallest hashes of their ids.
 
