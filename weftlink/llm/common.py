@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -121,11 +120,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/weftlink-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
-    """Writes a table to the shared folder and reads it back: its lineage ends there and no executor's loss undoes it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table to the shared folder and reads it back: its lineage ends there and no executor's loss undoes it.
+
+    The write's own shuffle files go when it is done, since nothing reads them again.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(*tables: DataFrame) -> None:
@@ -137,12 +148,6 @@ def removed(*tables: DataFrame) -> None:
             folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def unshuffled(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that nothing refers to any more: its cleaner acts when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, max_documents: int, max_bytes: int) -> tuple[list[bytes], list[int]]:
     """Texts and labels for training: of the rows outside the held-out fold, those of the smallest hashes of their ids.
 
