@@ -194,13 +194,44 @@ def test_classifiers_learn(spark):
     assert {r.score for r in toxicity.classify_toxicity(d, y.limit(0)).collect()} == {0.5}
 
 
+def test_labels_beyond_two_classes_and_odd_rows(spark):
+    """Labels other than 0 and 1, conflicting labels, repeated rows and null texts neither crash nor count."""
+    docs = [(i, f"text number {i} of many words") for i in range(40)] + [(3, "text number 3 again"), (50, None), (None, "x"), (51, "")]
+    labels = [(i, i % 4 - 1 if i % 5 else None, i % 3) for i in range(40)] + [(1, 0, 1), (50, 1, 1), (None, 1, 0)]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for f in (quality_classifier.classify_quality, toxicity.classify_toxicity):
+        for given in (y, y.where("doc_id < 0"), spark.createDataFrame([(i, 1, 1) for i in range(9)], y.schema)):
+            rows = f(d, given).collect()
+            assert len(rows) == len(docs) and all(0 <= r.score <= 1 for r in rows)
+        assert f(d.limit(0), y).collect() == []
+
+
+def test_quality_scores_against_brute_force():
+    """A text's score is the softmax of the average of its features' logits, counted one by one."""
+    s = quality_classifier.Settings(bits=12, updates=400)
+    texts = [f"good words {i} here and there".encode() for i in range(20)] + [f"bad bad stuff {i} !!".encode() for i in range(20)]
+    weights = quality_classifier.logits(*quality_classifier.train(texts, [1] * 20 + [0] * 20, s))
+    tried = [b"", b"good", b"bad bad good words", "é日本 bad\n\tgood  x".encode(), *texts[:3]]
+    for text, got in zip(tried, quality_classifier.Scorer(weights, s).score(pa.array(tried, pa.binary())), strict=True):
+        words, z = text.split(), [weights[0]]
+        for w in words:
+            of, buckets, _ = quality_classifier.features([w], s)
+            z += weights[buckets].tolist()
+            assert len(buckets) == 1 + sum(max(0, len(w.decode()) + 3 - k) for k in (3, 4, 5))
+        for a, b in zip(words, words[1:]):
+            z += weights[quality_classifier.bigrams(quality_classifier.features([a, b], s)[2], s)].tolist()
+        assert abs(got - 1 / (1 + np.exp(-np.mean(z)))) < 1e-5
+
+
 def test_toxic_dictionary_reads_texts_that_share_their_first_words():
     """Texts whose 12 alphabetically first words agree are still texts of their own; only those of the same words are one."""
     texts = [b"a " * 12 + b"plain%d" % i for i in range(30)] + [b"a " * 12 + b"grobian r%d" % i for i in range(10)]
-    toxic, ordinary = toxicity.dictionaries(texts, [0] * 30 + [1] * 10, toxicity.Settings())
+    labels = [0] * 30 + [1] * 10
+    toxic, ordinary = toxicity.dictionaries(toxicity.distinct(texts, labels), toxicity.Settings())
     assert b"grobian" in toxic.split() and {b"plain%d" % i for i in range(30)} <= {*ordinary.split()}
     again = [b" ".join(reversed(t.split())) for t in texts]
-    assert toxicity.dictionaries(texts + again, ([0] * 30 + [1] * 10) * 2, toxicity.Settings()) == (toxic, ordinary)
+    assert toxicity.dictionaries(toxicity.distinct(texts + again, labels * 2), toxicity.Settings()) == (toxic, ordinary)
+    assert toxicity.distinct([b"a b", b"b a"], [0, 1]) == [(b"a b", 1)]
 
 
 def _small_shard(rng, s):

@@ -151,16 +151,24 @@ def removed(*tables: DataFrame) -> None:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, max_documents: int, max_bytes: int) -> tuple[list[bytes], list[int]]:
     """Texts and labels for training: of the rows outside the held-out fold, those of the smallest hashes of their ids.
 
-    At most `max_documents` of them and `max_bytes` of text, none of over an eighth of that.
+    At most `max_documents` of them and `max_bytes` of text, none of over an eighth of that; labels other than 0 and 1
+    aren't learnt from, the greater of an id's labels holds, and rows of one id count once, by the least hash of a text.
+    Sizes are counted before any text goes to the driver.
     """
-    chosen = labels.where((remainder("doc_id", folds) != 0) & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    chosen = labels.where((remainder("doc_id", folds) != 0) & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
     # at most max_documents pairs of numbers: a bounded broadcast
     rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= max_bytes // 8)
-    table = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("label", "text").toArrow()
-    texts, found, used = table.column("text").cast(pa.binary()).to_pylist(), table.column("label").to_pylist(), 0
-    for i, text in enumerate(texts):
-        used += len(text)
+    rows = written(rows.select("doc_id", "label", "text", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n")), "sample")
+    sizes = rows.groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("x")).select("doc_id", F.xxhash64("doc_id").alias("place"), "x.h", "x.n")
+    used, wanted = 0, []
+    for r in sorted(sizes.collect(), key=lambda r: (r.place, r.doc_id)):  # at most max_documents
+        used += r.n
         if used > max_bytes:
-            return texts[:i], found[:i]
-    return texts, found
+            break
+        wanted.append((r.doc_id, r.h))
+    spark = docs.sparkSession
+    some = spark.createDataFrame(wanted, "doc_id long, h long")
+    table = rows.join(F.broadcast(some), ["doc_id", "h"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    removed(rows)
+    return [t.encode() for t in table.column("text").to_pylist()], table.column("label").to_pylist()

@@ -4,14 +4,18 @@ Labels mark documents, of which only some words are toxic. So the toxic dictiona
 hold byte 5-grams in far more toxic training documents than others, in front of the ordinary dictionary's, the most
 frequent words of ordinary documents. Both compress with the same parameters and the same ordinary content at the same
 distance, so a window's two lengths differ by what toxic content saves. The mean and largest difference, and the share
-and number of windows over `clear` bytes, are turned into a score by a logistic threshold that is calibrated on the
-training sample.
+and number of windows over `clear` bytes, are turned into a score by a logistic threshold that is calibrated on documents
+of the sample that the dictionaries weren't made from.
+
+zstandard's own trainer isn't used for the contents: it keeps what is frequent in a class, not what tells it apart (the
+README has its figures).
 
 Training reads a bounded sample (see labelled_sample); scoring reads every whole text.
 
-Defined results: null and empty texts are one empty window, so they score low; a null label isn't learnt from; a null id
-is in the held-out fold; repeated rows score alike and count once in training; other columns are ignored; without labels
-of both classes every score is the share of label 1 (0.5 without labels).
+Defined results: null and empty texts are one empty window, so they score low; a label other than 0 and 1 isn't learnt
+from; a null id is in the held-out fold; repeated rows score alike and count once in training, as do texts of the same
+words (the greater label holds); other columns are ignored; without labels of both classes every score is the share of
+label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -47,6 +51,9 @@ class Settings:
     least_documents: int = 6
     least_ratio: float = 10.0
     least_z: float = 5.0
+    #: One document in so many calibrates, if that gives so many of each class.
+    calibration: int = 4
+    least_calibration: int = 20
     toxic_words: int = 400
     ordinary_words: int = 3000
 
@@ -69,14 +76,21 @@ def _grams(word: bytes, k: int) -> list[bytes]:
     return [marked[i : i + k] for i in range(len(marked) - k + 1)]
 
 
-def dictionaries(texts: list[bytes], labels: list[int], s: Settings) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary; texts of the same words count once."""
-    once: dict[bytes, tuple[list[bytes], int]] = {}
+def distinct(texts: list[bytes], labels: list[int]) -> list[tuple[bytes, int]]:
+    """One text and the greatest label of those with the same words, told apart by a hash of all their words."""
+    once: dict[bytes, tuple[bytes, int]] = {}
     for text, label in zip(texts, labels, strict=True):
-        words = words_of(text)
-        once.setdefault(hashlib.sha256(b" ".join(sorted(words))).digest(), (words, label))
+        key = hashlib.sha256(b" ".join(sorted(words_of(text)))).digest()
+        first, known = once.get(key, (text, label))
+        once[key] = first, max(known, label)
+    return list(once.values())
+
+
+def dictionaries(rows: list[tuple[bytes, int]], s: Settings) -> tuple[bytes, bytes]:
+    """Contents of the toxic and the ordinary dictionary, from texts and labels of both classes."""
     docs, of_gram, total = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
-    for words, label in once.values():
+    for text, label in rows:
+        words = words_of(text)
         total[label] += 1
         docs[label].update(words)
         of_gram[label].update({g for w in set(words) for g in _grams(w, s.gram)})
@@ -129,9 +143,17 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def train(texts: list[bytes], labels: list[int], s: Settings) -> Model:
-    toxic, ordinary = dictionaries(texts, labels, s)
+    """Of each class one document in `calibration` calibrates and the others make the dictionaries; of few, all do both."""
+    rows = distinct(texts, labels)
+    apart = [[r for r in rows if r[1] == label][:: s.calibration] for label in (0, 1)]
+    if min(map(len, apart)) >= s.least_calibration:
+        ours = {id(r) for part in apart for r in part}
+        learnt, seen = [r for r in rows if id(r) not in ours], [r for part in apart for r in part]
+    else:
+        learnt = seen = rows
+    toxic, ordinary = dictionaries(learnt, s)
     distance = Distance(toxic, ordinary, s)
-    fit = calibrate(np.array([distance.measure(t) for t in texts]), np.array(labels, np.float64))
+    fit = calibrate(np.array([distance.measure(t) for t, _ in seen]), np.array([y for _, y in seen], np.float64))
     return Model(toxic, ordinary, *(tuple(map(float, x)) for x in fit))
 
 
@@ -152,7 +174,7 @@ def _score(model: Model, s: Settings):
 def classify_toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score and predicted for every row. One pass over the input without a shuffle, after the sample's."""
     texts, found = labelled_sample(docs, labels, label, s.folds, s.max_documents, s.max_bytes)
-    if len(set(found)) < 2:
+    if len({label for _, label in distinct(texts, found)}) < 2:
         share = sum(found) / len(found) if found else 0.5
         scored = id_and_text(docs).select("doc_id", F.lit(share).cast("double").alias("score"))
     else:
