@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftlink.llm import bpe, decontamination, near_dedup, quality_rules, secret_scan
 from weftlink.llm.common import documents, written
-from weftlink.llm.queries import tokenizer_path
+from weftlink.llm.queries import quality_vocabularies, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.well_formed(docs, quality_rules.Rules(tokenizer_path("piece_bpe_32k.model")))
+    return quality_rules.well_formed(docs, quality_vocabularies())
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

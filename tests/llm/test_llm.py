@@ -14,7 +14,7 @@ from weftlink.llm import bpe, decontamination, near_dedup, pitman_yor, quality_c
 P = public_tokenizers.path
 SCHEMA = "doc_id long, text string, kept string, score string"
 ODD = [(None, None), (1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "x" * 3000), (6, "日本語 🙂 text"), (6, "日本語 🙂 text"), (7, "a b c d e f g h i j k l"), (8, "a b c d e f g h i j k l")]
-rules = quality_rules.Rules(P("piece_bpe_32k.model"))
+rules = quality_rules.Rules({"piece": P("piece_bpe_32k.model"), "bpe": P("byte_bpe_multi_50k.tiktoken")})
 OPERATORS = {
     "decontaminate": lambda d: decontamination.contaminated_pairs(d, d, item_col="doc_id").orderBy("doc_id", "item_id"),
     "language model": lambda d: pitman_yor.language_model_scores(d),
@@ -175,6 +175,51 @@ def test_quality_counts(spark):
     assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.base_failed) == (18, 18, 4, 1, 10, True)
 
 
+def test_quality_against_brute_force(spark):
+    """Counts and measures of odd texts, one text at a time with plain loops and the libraries."""
+    import math
+    import re
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P("piece_bpe_32k.model"))
+    rng = random.Random(17)
+    texts = ["".join(rng.choice(["a ", "b ", "a b c d e ", "\n", "é日 ", "# ", "x|<>y ", "\t", "ж ", "\u00a0", "a b\n", "12 "]) for _ in range(rng.randrange(60))) for _ in range(150)] + ["", "\n\n", "x"]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), rules).collect()}
+    for i, t in enumerate(texts):
+        words = [w for w in re.split("[ \t-\r]+", t) if w]
+        windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        inside = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)}
+        lines, seen, dup = t.split("\n"), set(), 0
+        for line in lines:
+            if re.search("[^ \t-\r]", line):
+                dup += line in seen
+                seen.add(line)
+        ids = [x for w in words for x in model.encode(w)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(inside)), t
+        assert r.base_failed == (len(words) < 10 or 100 * len(inside) > 20 * len(words)) and r.piece_tokens == len(ids)
+        if len(ids) > 1:
+            bits = -sum(ids.count(x) / len(ids) * math.log2(ids.count(x) / len(ids)) for x in {*ids})
+            assert abs(r.piece_chars - r.word_chars / len(ids)) < 1e-9 and abs(r.piece_entropy - bits / math.log2(len(ids))) < 1e-9
+            assert abs(r.piece_bytes - sum(map(model.is_byte, ids)) / len(ids)) < 1e-9
+
+
+def test_quality_bands_are_fitted(spark):
+    """A document far from its script's others goes, whatever its place; letterless ones have bands too; rows keep odd columns."""
+    rng = random.Random(18)
+    words = ["".join(rng.choice(["th", "er", "on", "an"]) for _ in range(3)) for _ in range(300)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(60)), "s") for i in range(400)]
+    docs += [(400, " ".join("zqxjkvw" + str(i * 7919) for i in range(60)), "s"), (401, " ".join(str(i * 99991) for i in range(80)), "s"), (402, "a b", "s")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, `_measures` string")
+    loose = quality_rules.Rules(rules.vocabularies, tail=0.004, fit_from=100)
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(df, loose).collect()}
+    assert not rows[400].kept and not rows[400].base_failed and not rows[401].kept and not rows[402].kept
+    assert sum(r.kept for r in rows.values()) >= 380
+    kept = quality_rules.well_formed(df, loose)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
+
+
 def test_classifiers_learn(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("aeioustrn") for _ in range(5)) for _ in range(300)]

@@ -1,190 +1,293 @@
-"""Quality rules: counts of words, symbols and repetition, and the fertility of a public tokeniser.
+"""Quality rules: counts of words, symbols and repetition, and the fertility of public tokenisers.
 
-Each distinct word is encoded once with a SentencePiece vocabulary that falls back to bytes. A document is measured by
-characters per token, the share of tokens that are byte fallbacks, and the entropy of its tokens, and rejected outside
-the bands of its main script.
+Each distinct word is encoded once with every vocabulary: SentencePiece models that fall back to bytes, and byte-level BPE
+ranks, whose single bytes of longer characters count as fallbacks. A document is measured, for each vocabulary, by
+characters per token, the share of tokens that are byte fallbacks, and the entropy of its tokens over the greatest that
+their number allows. Bands of these are fitted for each script: from all documents of the input that pass the base rule,
+what lies beyond the `tail` quantiles at either end (for byte fallbacks at the upper) is rejected. A script of fewer
+than `fit_from` such documents, and documents without letters, are judged by the fixed bands of `Rules`.
+
+Counts are exact: bands come from histograms whose size is bounded by scripts, measures and bins.
 
 Defined results: a null text counts as empty; an empty text has zero counts, no fertility (nulls) and fails the base
-rule; a null id stays null; repeated rows are judged one by one; other columns are ignored; an empty table gives no rows.
+rule; a null id stays null; repeated rows are judged one by one; other columns are ignored, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from .common import VOCAB_ENTRIES, Ids, id_and_text, mix, ragged, release, shingles, steps
-
-SPACES = b" \t\n\x0b\x0c\r"
-SYMBOLS = b"#*$%&|<>"
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from .common import arrow_steps, id_and_text, mix, ragged, release, shingles, written
+from .segments import Known, binary, content
+from .segments import words as words_of
 
-@dataclass(frozen=True)
-class Band:
-    """Accepted ranges. Entropy is in bits and asked of documents of at least `entropy_from` tokens."""
-
-    chars_low: float
-    chars_high: float
-    byte_share: float
-    entropy: float
-    entropy_from: int = 64
+#: Words that a worker remembers before it starts anew.
+WORDS = 700_000
+MEASURES = ("chars", "bytes", "entropy")
+#: Bins of a measure's unit, and the greatest value that has a bin of its own.
+BINS, GREATEST = 400, 20
 
 
-def _bands() -> dict[str, Band]:
+def _bands() -> dict[str, tuple[tuple[float, float], tuple[float, float], tuple[float, float]]]:
+    """For each script the ranges of characters per token, byte share and relative entropy where none are fitted."""
     return {
-        "latin": Band(1.2, 8.0, 0.25, 4.0),
-        "greek": Band(0.6, 6.0, 0.60, 3.0),
-        "cyrillic": Band(0.8, 7.0, 0.60, 3.0),
-        "semitic": Band(0.5, 6.0, 0.80, 3.0),
-        "east_asian": Band(0.2, 4.0, 0.95, 3.0),
-        "other": Band(0.2, 8.0, 0.95, 2.0),
-        "none": Band(0.0, 1e9, 1.0, 0.0),
+        "latin": ((1.15, 8.0), (0, 0.25), (0.3, 1)),
+        "greek": ((0.6, 6.0), (0, 0.6), (0.2, 1)),
+        "cyrillic": ((0.6, 7.0), (0, 0.6), (0.2, 1)),
+        "semitic": ((0.4, 6.0), (0, 0.8), (0.2, 1)),
+        "east_asian": ((0.2, 4.0), (0, 0.95), (0.2, 1)),
+        "other": ((0.2, 8.0), (0, 0.95), (0.2, 1)),
+        "none": ((1.15, 8.0), (0, 0.25), (0.3, 1)),
     }
 
 
 @dataclass(frozen=True)
 class Rules:
-    model_path: str
+    #: Names and files of vocabularies: *.model for SentencePiece, *.tiktoken for byte-level BPE ranks.
+    vocabularies: dict[str, str]
     min_words: int = 10
     max_repeat_percent: int = 20
-    bands: dict[str, Band] = field(default_factory=_bands)
+    tail: float = 0.0005
+    fit_from: int = 1000
+    bands: dict = field(default_factory=_bands)
+
+    def schema(self) -> str:
+        own = "".join(f", {v}_tokens long" + "".join(f", {v}_{m} double" for m in MEASURES) for v in self.vocabularies)
+        return "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string" + own
 
 
-SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-    "script string, n_pieces long, chars_per_token double, byte_share double, token_entropy double"
-)
 #: Scripts by the first byte of a letter's UTF-8 form; ASCII letters and C3-CA are Latin.
 _LEADS = {"latin": range(0xC3, 0xCB), "greek": range(0xCD, 0xD0), "cyrillic": range(0xD0, 0xD5), "semitic": range(0xD7, 0xDC), "east_asian": range(0xE2, 0xEE)}
 _LEADS["other"] = [*range(0xD5, 0xD7), *range(0xDC, 0xE2), *range(0xEE, 0xF5)]
 _LEADS["latin"] = [*range(65, 91), *range(97, 123), *_LEADS["latin"]]
-_SCRIPTS = list(_LEADS)
-_IN_SCRIPT = np.array([np.isin(np.arange(256), list(leads)) for leads in _LEADS.values()], np.int64)
+SCRIPTS = [*_LEADS, "none"]
+_SCRIPT = np.full(256, len(_LEADS), np.uint8)
+for _i, _leads in enumerate(_LEADS.values()):
+    _SCRIPT[list(_leads)] = _i
+_SYMBOL, _SOLID, _START = np.zeros(256, bool), np.ones(256, bool), np.ones(256, bool)
+_SYMBOL[list(b"#*$%&|<>")] = True
+_SOLID[[32, *range(9, 14)]] = False
+_START[0x80:0xC0] = False
 
 
-def script_of(text: bytes) -> str:
-    """The script with the most letters, judged by lead bytes; ties go to the first of the table."""
-    counts = _IN_SCRIPT @ np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    return _SCRIPTS[int(counts.argmax())] if counts.any() else "none"
+def _per(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many marks, or their sum, between the places `at`."""
+    return np.diff(np.append(0, np.cumsum(marks, dtype=np.int64))[at])
 
 
-def repeated_words(hashes: np.ndarray, k: int = 5) -> int:
-    """Words inside k-word windows that occur at least twice in the text."""
+def scripts_of(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The place of each text's script in SCRIPTS: the one with the most letters, judged by lead bytes; ties go to the first."""
+    of = _SCRIPT[raw]
+    counts = np.array([_per(of == i, at) for i in range(len(SCRIPTS) - 1)])
+    return np.where(counts.any(axis=0), counts.argmax(axis=0), len(SCRIPTS) - 1)
+
+
+def repeated_words(hashes: np.ndarray, edges: np.ndarray, k: int = 5) -> np.ndarray:
+    """For texts of words between the edges: words inside k-word windows that occur at least twice in the text."""
+    n = len(hashes)
+    text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     windows = shingles(hashes, k)
-    if len(windows) < 2:
-        return 0
-    order = np.argsort(windows, kind="stable")
-    same = windows[order[1:]] == windows[order[:-1]]
-    if not same.any():
-        return 0
-    twice = np.zeros(len(windows), np.int32)
-    twice[order[1:][same]] = 1
-    twice[order[:-1][same]] = 1
-    edge = np.zeros(len(hashes) + 1, np.int32)
-    edge[: len(windows)] += twice
-    edge[k : k + len(windows)] -= twice
-    return int((np.cumsum(edge)[:-1] > 0).sum())
-
-
-def duplicate_lines(text: bytes) -> int:
-    seen: set[bytes] = set()
-    n = 0
-    for line in text.split(b"\n"):
-        if line.strip(SPACES):
-            n += line in seen
-            seen.add(line)
-    return n
-
-
-class Fertility:
-    """Piece ids of each distinct word, encoded once and kept in flat arrays."""
-
-    def __init__(self, model_path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.is_byte = np.fromiter(map(self.model.is_byte, range(self.model.get_piece_size())), bool)
+    inside = np.flatnonzero(text[: len(windows)] == text[n - len(windows) :]) if len(windows) else np.empty(0, np.int64)
+    keys = mix(windows[inside] + text[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    twice = np.zeros(len(keys), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    edge = np.zeros(n + 1, np.int32)
+    edge[inside[twice]] += 1
+    np.subtract.at(edge, inside[twice] + k, 1)
+    return _per(np.cumsum(edge)[:-1] > 0, edges)
+
+
+def duplicate_lines(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each text its lines with a word that equal an earlier one."""
+    if not len(raw):
+        return np.zeros(len(at) - 1, np.int64)
+    ends = np.flatnonzero(raw == 10)
+    starts = np.unique(np.concatenate([at[:-1], ends + 1]))
+    starts = starts[starts < len(raw)]
+    lines = binary(raw, np.append(starts, len(raw)))
+    # a line's end isn't part of it
+    has_end = raw[np.append(starts[1:], len(raw)) - 1] == 10
+    with_word = _per(_SOLID[raw], np.append(starts, len(raw))) > 0
+    lines = pc.binary_slice(lines.filter(pa.array(with_word & has_end)), 0, -1), lines.filter(pa.array(with_word & ~has_end))
+    text = np.searchsorted(at, starts, side="right") - 1
+    texts = np.concatenate([text[with_word & has_end], text[with_word & ~has_end]])
+    coded = pc.dictionary_encode(pa.concat_arrays(lines))
+    distinct = np.unique(texts * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)) // (len(coded.dictionary) + 1)
+    return np.bincount(texts, minlength=len(at) - 1) - np.bincount(distinct, minlength=len(at) - 1)
+
+
+class Vocabulary:
+    """Token ids of numbered words in flat arrays."""
+
+    def __init__(self, path: str):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.is_byte = np.fromiter(map(model.is_byte, range(model.get_piece_size())), bool)
+            self.encode = lambda words: model.encode(words, num_threads=1)
+        else:
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.is_byte = np.zeros(max(ranks.values()) + 1, bool)
+            self.is_byte[[i for b, i in ranks.items() if len(b) == 1 and b >= b"\x80"]] = True
+            self.encode = lambda words: [model.encode_ordinary(" " + w) for w in words]
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.sizes, self.starts, self.pieces = Ids(), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.sizes, self.starts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def learn(self, words: list[bytes]) -> None:
-        if not words:
-            return
-        found = self.model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+    def learn(self, words: list[str]) -> None:
+        found = self.encode(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.pieces) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pieces = np.concatenate([self.pieces, flat])
-
-    def measure(self, ids: np.ndarray) -> tuple[int, int, float]:
-        """Pieces, byte pieces and entropy in bits of a document of these words."""
-        flat = self.pieces[ragged(self.starts[ids], self.sizes[ids])]
-        if not len(flat):
-            return 0, 0, 0.0
-        p = np.bincount(flat)
-        p = p[p > 0] / len(flat)
-        return len(flat), int(np.count_nonzero(self.is_byte[flat])), float(max(0.0, -(p * np.log2(p)).sum()))
-
-
-def _judged(batches: Iterator[pa.RecordBatch], rules: Rules, id_col: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
-    """Each step's rows and their measures and verdicts, in SCHEMA's order."""
-    tokens = Fertility(rules.model_path)
-    for part, texts in steps(batches, text_col):
-        if len(tokens.ids) > VOCAB_ENTRIES:
-            tokens.clear()
-        known, lists = len(tokens.ids), []
-        for text in texts:
-            words = text.split()
-            lists.append(np.fromiter(map(tokens.ids.__getitem__, words), np.int64, len(words)))
-        tokens.learn(list(tokens.ids)[known:])
-        rows = []
-        for doc, text, ids in zip(part.column(id_col).to_pylist(), texts, lists, strict=True):
-            n = len(ids)
-            chars = len(text.decode("utf-8", "replace")) - (len(text) - len(text.translate(None, SPACES)))
-            repeated = repeated_words(mix(ids.astype(np.uint64)))
-            failed = n < rules.min_words or 100 * repeated > rules.max_repeat_percent * n
-            script = script_of(text)
-            pieces, of_bytes, bits = tokens.measure(ids) if n else (0, 0, 0.0)
-            band = rules.bands[script]
-            fits = pieces > 0 and band.chars_low <= chars / pieces <= band.chars_high and of_bytes <= band.byte_share * pieces and (pieces < band.entropy_from or bits >= band.entropy)
-            rows.append((doc, n, chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeated, failed, not failed and fits, script, pieces, chars / pieces if pieces else None, of_bytes / pieces if pieces else None, bits if pieces else None))
-        yield part, rows
-    del tokens
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+
+    def measure(self, words: np.ndarray, edges: np.ndarray, chars: np.ndarray) -> list[np.ndarray]:
+        """Tokens of each text, and the measures; not numbers where there is no token."""
+        sizes = self.sizes[words]
+        tokens = self.flat[ragged(self.starts[words], sizes)].astype(np.int64)
+        ends = np.append(0, np.cumsum(sizes))[edges]
+        n, of_bytes = np.diff(ends), _per(self.is_byte[tokens], ends)
+        keys = np.sort(np.repeat(np.arange(len(n)), n) * len(self.is_byte) + tokens)
+        firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        counts, text = np.diff(np.append(firsts, len(keys))), keys[firsts] // len(self.is_byte)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = counts / n[text]
+            bits = np.bincount(text, -p * np.log2(p), len(n))
+            most = np.log2(n)
+            return [n, chars / n, of_bytes / n, np.where(n > 1, np.minimum(bits / most, 1), np.where(n == 1, 1.0, np.nan))]
+
+
+def _judged(batches: Iterator[pa.RecordBatch], rules: Rules, id_col: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+    """Each step's rows and their measures, in the schema's order."""
+    known, vocabularies = Known(), [Vocabulary(x) for x in rules.vocabularies.values()]
+    for part, texts in arrow_steps(batches, text_col):
+        if len(known) > WORDS:
+            known.clear()
+            for v in vocabularies:
+                v.clear()
+        found, distinct, counts = words_of(texts, lower=False)
+        numbers, new = known.number(distinct)
+        if len(new):
+            plain = [w.decode("utf-8", "replace") for w in new.to_pylist()]
+            for v in vocabularies:
+                v.learn(plain)
+        raw, at = content(texts)
+        words, edges = numbers[found], np.append(0, np.cumsum(counts))
+        chars = _per(_SOLID[raw] & _START[raw], at)
+        repeated = repeated_words(mix(words.astype(np.uint64)), edges)
+        failed = (counts < rules.min_words) | (100 * repeated > rules.max_repeat_percent * counts)
+        columns = [part.column(id_col).cast(pa.int64()), *map(pa.array, (counts, chars, _per(_SYMBOL[raw], at), duplicate_lines(raw, at), repeated, failed))]
+        columns.append(pa.array(SCRIPTS).take(pa.array(scripts_of(raw, at))))
+        for v in vocabularies:
+            n, *measures = v.measure(words, edges, chars)
+            columns += [pa.array(n), *(pa.array(m, pa.float64(), mask=n == 0) for m in measures)]
+        yield part, columns
+    del known, vocabularies
     release()
 
 
+def _names(rules: Rules) -> list[str]:
+    return [x.split()[0] for x in rules.schema().split(", ")]
+
+
 def _measure(rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _judged(batches, rules, "doc_id", "text"):
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.string(), pa.int64()] + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for _, columns in _judged(batches, rules, "doc_id", "text"):
+            yield pa.RecordBatch.from_arrays(columns, names=_names(rules))
 
     return run
 
 
+def _bin(value: Column) -> Column:
+    return F.least(F.round(value * BINS), F.lit(BINS * GREATEST)).cast("long")
+
+
+def fitted(measured: DataFrame, rules: Rules) -> dict[str, list[tuple[int, int]]]:
+    """For each script the lowest and highest accepted bin of each vocabulary's measures, from all documents that pass the base rule."""
+    columns = [f"{v}_{m}" for v in rules.vocabularies for m in MEASURES]
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _bin(F.col(c)).alias("bin")) for i, c in enumerate(columns)]))
+    counts = measured.where("not base_failed").select("script", values.alias("x")).where("x.bin is not null").groupBy("script", "x.i", "x.bin").count()
+    seen: dict[tuple[str, int], dict[int, int]] = {}
+    for r in counts.collect():  # at most scripts x measures x bins rows
+        seen.setdefault((r["script"], r["i"]), {})[r["bin"]] = r["count"]
+    out = {}
+    for script in SCRIPTS:
+        out[script] = []
+        for i, column in enumerate(columns):
+            low, high = rules.bands[script][MEASURES.index(column.rsplit("_", 1)[1])]
+            bins = sorted(seen.get((script, i), {}).items())
+            total = sum(n for _, n in bins)
+            if total >= rules.fit_from and script != "none":
+                ends = np.cumsum([n for _, n in bins])
+                out[script].append((0 if column.endswith("_bytes") else bins[int(np.searchsorted(ends, rules.tail * total, side="right"))][0], bins[int(np.searchsorted(ends, (1 - rules.tail) * total))][0]))
+            else:
+                out[script].append((round(low * BINS), round(high * BINS)))
+    return out
+
+
+def _fits(bands: dict[str, list[tuple[int, int]]], rules: Rules) -> Column:
+    """Whether a measured document passes the base rule and lies in its script's bands."""
+    columns = [f"{v}_{m}" for v in rules.vocabularies for m in MEASURES]
+    verdict = F.lit(False)
+    for script, ranges in bands.items():
+        inside = [_bin(F.col(c)).between(low, high) for c, (low, high) in zip(columns, ranges, strict=True)]
+        verdict = F.when(F.col("script") == script, _all(inside)).otherwise(verdict)
+    return ~F.col("base_failed") & F.coalesce(verdict, F.lit(False))
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 def quality_rules(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with its counts, fertility and verdicts. One pass over the input, no shuffle."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_measure(rules), SCHEMA)
+    """One row per document with its counts, fertility and verdicts. One pass over the texts; the measures are written, then judged."""
+    measured = written(id_and_text(docs, id_col, text_col).mapInArrow(_measure(rules), rules.schema()), "measures")
+    names = _names(rules)
+    return measured.select(*names[:7], _fits(fitted(measured, rules), rules).alias("kept"), *names[7:])
 
 
-def _keep(rules: Rules, id_col: str, text_col: str):
+def _with_measures(rules: Rules, id_col: str, text_col: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        verdict = SCHEMA.split(", ").index("kept boolean")
-        for part, rows in _judged(batches, rules, id_col, text_col):
-            yield part.filter(pa.array([r[verdict] for r in rows], pa.bool_()))
+        for part, columns in _judged(batches, rules, id_col, text_col):
+            yield part.append_column(name, pa.StructArray.from_arrays(columns, names=_names(rules)))
 
     return run
 
 
 def well_formed(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents that the rules keep, with all their columns."""
-    return docs.mapInArrow(_keep(rules, id_col, text_col), docs.schema)
+    """The rows of documents that the rules keep, with all their columns. They are written once with their measures."""
+    name = "_measures"
+    while name in docs.columns:
+        name += "_"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {name} struct<{rules.schema().replace(' ', ':').replace(',:', ', ')}>"
+    measured = written(docs.mapInArrow(_with_measures(rules, id_col, text_col, name), schema), "measured")
+    own = measured.select(f"{name}.*")
+    bands = fitted(own, rules)
+    inner = measured.select(F.struct(*map(_quoted, docs.columns)).alias("_row"), f"{name}.*")
+    return inner.where(_fits(bands, rules)).select("_row.*")
+
+
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name}`")

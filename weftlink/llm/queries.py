@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def quality_vocabularies() -> quality_rules.Rules:
+    return quality_rules.Rules({"piece": tokenizer_path("piece_bpe_32k.model"), "bpe": tokenizer_path("byte_bpe_multi_50k.tiktoken")})
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -46,7 +50,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(documents(spark, sf_dir), quality_rules.Rules(tokenizer_path("piece_bpe_32k.model")))
+    return quality_rules.quality_rules(documents(spark, sf_dir), quality_vocabularies())
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
