@@ -65,6 +65,47 @@ def test_near_duplicates_against_brute_force(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, s).collect()} == {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
+def test_rows_without_an_id_name_no_component(spark):
+    """Classes of rows without an id don't join others, and a component has its least real id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    docs = [(5, a), (None, a), (9, b), (None, b), (None, c), (None, c), (None, c + " c40"), (None, d), (None, ""), (None, None), (2, a + " extra")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = near_dedup.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows if r.doc_id) == [(2, 2, True), (5, 2, False), (9, 9, True)]
+    lone = sorted((r.n_shingles, r.component_id or 0, r.kept) for r in rows if not r.doc_id)
+    assert [x for x in lone if x[0] == 36 and x[1]] == [(36, 2, False), (36, 9, False)] and lone[:2] == [(0, 0, True)] * 2
+    kept = near_dedup.deduplicated(df).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["2", "9", "None", "None", "None"]
+    assert sum((r.text or "").startswith("c0") for r in kept) == 1
+
+
+def test_recall_over_all_pairs(spark):
+    """On a real table every component is that of all pairs of documents, found through shared shingles."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, holders = {}, {}
+    for r in docs.collect():
+        w = [x for x in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if x]
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        for x in sets[r.doc_id]:
+            holders.setdefault(x, []).append(r.doc_id)
+    label, links = {i: i for i in sets}, {}
+    for own in holders.values():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                links[a, b] = links.get((a, b), 0) + 1
+    found = [(a, b) for (a, b), n in links.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    while True:
+        before = dict(label)
+        for a, b in found:
+            label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(found) > 50 and got == {i: (len(sets[i]), label[i]) for i in sets}
+
+
 def test_estimate_is_near_the_truth():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 4000).astype(np.uint64)
@@ -390,6 +431,24 @@ def test_substituted_passage_is_found(spark):
     assert [r.doc_id for r in decontamination.decontaminated(docs, bench).collect()] == [2]
 
 
+def test_decontamination_of_long_and_short_items(spark):
+    """Scores of long items don't saturate, short ones match as a whole, and DuckDB's form agrees."""
+    import duckdb
+
+    rng = random.Random(31)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    docs = [(1, "x " + long + " y"), (2, "so four words only here"), (3, "four words only"), (None, "a\tb " + " ".join(long.split()[100:180])), (5, None), (1, "x " + long + " y")]
+    items = [(7, long), (8, "Four words\nonly here"), (9, ""), (None, "words only")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(decontamination.contaminated_pairs(d, b).collect(), key=str)
+    documents, benchmark = d.toPandas().astype({"doc_id": "Int64"}), b.toPandas().astype({"item_id": "Int64"})
+    db = duckdb.connect()
+    db.register("documents", documents)
+    db.register("benchmark", benchmark)
+    expected = sorted(db.execute(decontamination.ORACLE_SQL).fetchall(), key=str)
+    assert sorted(map(tuple, got), key=str) == expected and (1, 7, 300) in expected and (2, 8, 4) in expected and (None, 7, 80) in expected and (3, None, 2) in expected
+
+
 def test_pipeline_s_stages(spark, tmp_path):
     """Each stage against what its parts say of its own input."""
     import corpus_pipeline

@@ -12,6 +12,9 @@ Documents are sets of 64-bit hashes of five-word shingles. Equal sets form a cla
    against block, so that no large group is gathered in one place and only links leave the block.
 3. Verification. The registers' Jaccard estimate, corrected for chance collisions, drops hopeless pairs (for sets of at
    least 64 shingles, at four standard errors below the threshold); the full sets decide the others.
+
+What may be lost: a link at the threshold itself shares no band with a chance of (1 - 0.75**4)**32, 5 in a million, and is
+dropped by its estimate with that of at most 75 of 128 equal registers at 0.75 each, 16 in a million; both fall fast above it.
 4. Components by alternating large-star and small-star steps, written to the shared folder after each.
 
 Defined results: a text without words has no shingles and is alone; one with fewer than five words is one shingle; a null
@@ -28,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Ids, id_and_text, mix, shingles, steps, written
@@ -37,8 +40,8 @@ BUCKETS, BANDS, MANTISSA, REPLICAS = 128, 32, 10, 4
 _SALTS = mix(np.arange(1, REPLICAS + 1, dtype=np.uint64))
 _BAND_SALTS = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
 _ORDERS = np.array([np.argsort(mix(np.arange(BUCKETS, dtype=np.uint64) + np.uint64(1 << 20) * np.uint64(i + 1))) for i in range(BUCKETS)])
-#: Id that stands for null ones inside.
-_NULL = -(1 << 63)
+#: From here on, inner names of classes whose ids are all null.
+_NULL = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -113,7 +116,7 @@ def estimate(r1: np.ndarray, r2: np.ndarray, n1: int, n2: int) -> float:
     return max(0.0, (int(((r1 == r2) & (r1 != 0)).sum()) - expected_collisions(n1, n2)) / either) if either else 0.0
 
 
-_SKETCH = "doc_id long, n long, d1 long, d2 long, regs binary"
+_SKETCH = "doc_id long, t long, n long, d1 long, d2 long, regs binary"
 
 
 def _sketch(s: Settings):
@@ -122,8 +125,8 @@ def _sketch(s: Settings):
             digests = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in sets]
             split = np.array([[d >> 64, d & 0xFFFFFFFFFFFFFFFF] for d in digests], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(split[:, 0]), pa.array(split[:, 1]), pa.array([registers(x).tobytes() if len(x) else b"" for x in sets], pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "regs"],
+                [part.column("doc_id"), part.column("t"), pa.array([len(x) for x in sets], pa.int64()), pa.array(split[:, 0]), pa.array(split[:, 1]), pa.array([registers(x).tobytes() if len(x) else b"" for x in sets], pa.binary())],
+                names=["doc_id", "t", "n", "d1", "d2", "regs"],
             )
 
     return run
@@ -310,14 +313,23 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    named = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL)))
-    sketches = written(named.mapInArrow(_sketch(s), _SKETCH), "sketches")
-    classes = written(sketches.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.regs").alias("regs")), "classes")
+    return _labelled(docs, s, id_col, text_col).drop("t")
+
+
+def _labelled(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """The same with t, a hash of the text."""
+    named = id_and_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
+    checked = F.when(F.col("doc_id") >= _NULL, F.raise_error(F.lit("near_duplicates: ids must be below 2**62"))).otherwise(F.col("doc_id"))
+    sketches = written(named.withColumn("doc_id", checked).mapInArrow(_sketch(s), _SKETCH), "sketches")
+    # a class has its least real id; null ones sort last by this stand-in
+    inner = F.coalesce("doc_id", F.lit(_NULL) + F.shiftrightunsigned("d1", 2))
+    least = F.min(F.struct(inner.alias("rep"), "t", "n", "regs")).alias("x")
+    classes = written(sketches.where("n > 0").groupBy("d1", "d2").agg(least).select("d1", "d2", "x.rep", "x.t", "x.n", "x.regs"), "classes")
     bands = classes.select("rep", "regs").mapInArrow(_bands, "key long, rep long")
     shared = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1")
     members = written(bands.join(shared, "key"), "members")
-    wanted = members.select("rep").distinct().join(classes.select("rep", "d1", "d2", "regs"), "rep")
-    texts = named.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "t", "d1", "d2", "regs"), "rep")
+    texts = _texts(named, wanted)
     sets = written(texts.mapInArrow(_full_sets(s), "rep long, regs binary, whole binary"), "sets")
 
     pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
@@ -332,22 +344,26 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     found = written(found, "confirmed")
     if not found.isEmpty():
         labels = components(links.union(found))
-    named_classes = classes.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
-    return (
-        sketches.select("doc_id", "n", "d1", "d2").join(named_classes, ["d1", "d2"], "left")
-        .select(_given(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), _given(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
-    )
+    named_classes = classes.select("d1", "d2", "rep", F.col("t").alias("first_t")).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
+    out = sketches.select("doc_id", "t", "n", "d1", "d2").join(named_classes, ["d1", "d2"], "left")
+    component, mine = F.col("component"), F.col("doc_id")
+    named_one = F.when(component.isNull(), mine).when(component < _NULL, component)
+    kept = F.when(component.isNull(), True).when(component < _NULL, F.coalesce(component == mine, F.lit(False))).otherwise((component == F.col("rep")) & (F.col("t") == F.col("first_t")))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), named_one.alias("component_id"), kept.alias("kept"))
 
 
-def _given(column: Column) -> Column:
-    return F.when(column != _NULL, column)
+def _texts(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of candidate classes: by id and text hash, and for classes without an id by text hash alone."""
+    real = named.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", "t").join(wanted.where(F.col("rep") < _NULL), ["rep", "t"])
+    lone = named.where("doc_id is null").select("text", "t").dropDuplicates(["t"]).join(wanted.where(F.col("rep") >= _NULL), "t")
+    return real.drop("t").unionByName(lone.drop("t"))
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each component, with all columns: that of its smallest id. Rows of one id and text are one.
-
-    Of rows with a null id all are kept if one is.
-    """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
-    keep = near_duplicates(docs, s, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(_NULL)).alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").dropDuplicates(["_key", text_col]).drop("_key")
+    """One row for each component, with all columns: that of its smallest id. Rows of one id and text are one."""
+    key, text = "_key", "_text"
+    while {key, text} & {*docs.columns}:
+        key, text = key + "_", text + "_"
+    keep = _labelled(docs, s, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept"), "t").distinct()
+    own = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(text, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return own.join(keep, own[key].eqNullSafe(keep["_kept"]) & (own[text] == keep["t"]), "left_semi").dropDuplicates([key, text]).drop(key, text)
