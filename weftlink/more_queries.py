@@ -76,6 +76,13 @@ def add(name: str, stage: str, sql: str, make) -> None:
     query(name, f"{O.chain(stage)} {sql}")(lambda spark, sf_dir: make(work(spark, sf_dir)))
 
 
+def _union(parts) -> DataFrame:
+    first, *rest = parts
+    for x in rest:
+        first = first.unionByName(x)
+    return first
+
+
 # Profiles
 
 PROFILED = ("row_id", "name", "phone", "email", "address", "segment", "balance", "ref", "updated_at")
@@ -126,25 +133,40 @@ add(
 )
 add("rev03_peers", "review", "SELECT i.a_row_id, string_agg(DISTINCT k.a_row_id, ',' ORDER BY k.a_row_id) AS peers FROM items i JOIN kept k ON k.b_row_id = i.b_row_id AND k.a_row_id <> i.a_row_id GROUP BY i.a_row_id", lambda w: review.peers(w.m.kept, w.items))
 add("rev04_sorted_page", "review", "SELECT a_row_id, top_margin, score FROM items ORDER BY top_margin, score DESC, a_row_id LIMIT 50", lambda w: review.sorted_page(w.items).select("a_row_id", "top_margin", "score"))
-add("flt01_filters", "review", "SELECT a_row_id FROM items WHERE collision", lambda w: review.filtered(w.items, "collision").select("a_row_id"))
-add("flt02_search", "review", "SELECT a_row_id FROM items WHERE contains(lower(a_row_id), '-00000001') OR contains(lower(b_row_id), '-00000001')", lambda w: review.filtered(w.items, "all", "-00000001").select("a_row_id"))
+_AGAINST = "(contradiction OR EXISTS (SELECT 1 FROM fields f WHERE f.candidate_id = items.candidate_id AND minus > 0))"
+_TESTS = {"unresolved": "state = 'needs_review'", "all": "true", "deferred": "state = 'deferred'", "collision": "collision", "contradiction": _AGAINST, "multiple": "candidates > 1"}
+add("flt01_filters", "review", " UNION ALL ".join(f"SELECT '{k}' AS filter, a_row_id FROM items WHERE {v}" for k, v in _TESTS.items()), lambda w: _union(review.filtered(w.items, w.m.fields, k).select(F.lit(k).alias("filter"), "a_row_id") for k in review.FILTERS))
+add(
+    "flt02_search", "review",
+    " UNION ALL ".join(f"SELECT '{q}' AS query, a_row_id FROM items LEFT JOIN (SELECT candidate_id, a_value, b_value FROM fields WHERE kind = 'name_or_title') n USING (candidate_id) WHERE contains(lower(a_row_id), '{q}') OR contains(lower(b_row_id), '{q}') OR contains(lower(a_value), '{q}') OR contains(lower(b_value), '{q}')" for q in ("7", "harbor", "nowhere")),
+    lambda w: _union(review.filtered(w.items, w.m.fields, "all", q).select(F.lit(q.strip().lower()).alias("query"), "a_row_id") for q in ("7", " Harbor", "nowhere")),
+)
+_SORT_SQL = {"ambiguity": "top_margin, score DESC, a_row_id", "score_desc": "score DESC, a_row_id", "score_asc": "score, a_row_id", "candidate_count": "candidates DESC, a_row_id", "source": "a_row_id"}
+add("rev04_all_sorts", "review", " UNION ALL ".join(f"SELECT '{k}' AS sort, a_row_id FROM (SELECT a_row_id FROM items ORDER BY {v} LIMIT 20 OFFSET 5)" for k, v in _SORT_SQL.items()), lambda w: _union(review.sorted_page(w.items, k, 5, 20).select(F.lit(k).alias("sort"), "a_row_id") for k in review.SORTS))
 add("rev05_progress", "review", "SELECT count(*) AS total, count(*) FILTER (state LIKE 'reviewed%') AS reviewed, count(*) FILTER (state IN ('needs_review', 'deferred')) AS remaining, count(*) FILTER (state = 'deferred') AS deferred FROM items", lambda w: review.progress(w.items))
-_SIGNED = """, parts AS (SELECT candidate_id, string_agg(kind || ':' || class || ':' || information, '|' ORDER BY kind || ':' || class || ':' || information) AS ev,
-  coalesce(bool_or(kind = 'persistent_identifier' AND class = 'exact_agreement'), false) AS ida, coalesce(bool_or(kind = 'persistent_identifier' AND class = 'conflict'), false) AS idc,
-  count(*) FILTER (kind IN ('persistent_identifier', 'name_or_title', 'email', 'phone', 'address') AND class = 'exact_agreement') AS se, count(*) FILTER (kind IN ('persistent_identifier', 'name_or_title', 'email', 'phone', 'address') AND class = 'conflict') AS sc,
-  bool_and(kind IN ('contact_person', 'geography', 'categorical', 'source_local_identifier', 'free_text', 'unknown') OR class LIKE 'missing%') AS weak FROM fields GROUP BY candidate_id),
-signed AS (SELECT i.*, 'review-signature-v1.0.0|' || ev || '|margin=' || CASE WHEN top_margin < 0.04 THEN 'near_tie' WHEN top_margin < 0.1 THEN 'narrow' ELSE 'clear' END || '|alternatives=' || candidates || '|collision=' || collision || '|strong=' || contradiction AS signature, ida, idc, se, sc, weak FROM items i JOIN parts USING (candidate_id)),
-judged AS (SELECT *, 'review-group-' || substr(sha256(signature), 1, 20) AS group_id, NOT collision AND candidates = 1 AND NOT contradiction AND (ida OR se >= 2) AND sc = 0 AND NOT weak AS same_ok, NOT collision AND candidates = 1 AND idc AND se = 0 AS diff_ok FROM signed),
-grouped AS (SELECT group_id, signature, count(*) AS n_items, CASE WHEN bool_and(same_ok) THEN 'same_entity' WHEN bool_and(diff_ok) THEN 'different_entity' END AS suggested,
-  CASE WHEN bool_or(collision) THEN 'collision' WHEN bool_or(contradiction) THEN 'contradiction' WHEN bool_and(weak) THEN 'low_information' WHEN bool_and(same_ok) OR bool_and(diff_ok) THEN 'batch_eligible' ELSE 'individual' END AS safety
-  FROM judged WHERE state = 'needs_review' GROUP BY ALL)"""
+_SIGNED = """, shown AS (SELECT i.candidate_id, array_to_string(list_sort(list(f.kind || ':' || f.class || ':' || f.information)), '|') AS ev, count(*) FILTER (f.kind = 'persistent_identifier' AND f.class = 'exact_agreement') AS ids_equal,
+  count(*) FILTER (f.kind = 'persistent_identifier' AND f.class = 'conflict') AS ids_unlike, count(*) FILTER (f.plus > 0) AS pros, count(*) FILTER (f.plus > 0 AND (f.kind IN ('contact_person', 'geography', 'categorical', 'source_local_identifier', 'free_text', 'unknown') OR f.information IN ('repeated', 'common'))) AS weak_pros,
+  count(*) FILTER (f.plus > 0 AND f.kind IN ('persistent_identifier', 'name_or_title', 'email', 'phone', 'address') AND f.class IN ('exact_agreement', 'partial_agreement') AND f.information <> 'common') AS strong_pros FROM items i JOIN fields f USING (candidate_id) GROUP BY i.candidate_id),
+judged AS (SELECT *, 'review-group-' || left(sha256(signature), 20) AS group_id, NOT competing AND NOT contradiction AND ids_unlike = 0 AND strong_pros > 1 AS same_ok, NOT competing AND candidates = 1 AND ids_equal = 0 AND strong_pros < 2 AND noise AS diff_ok
+  FROM (SELECT i.*, s.* EXCLUDE (candidate_id), collision OR top_margin < 0.04 AS competing, pros > 0 AND pros = weak_pros AS noise, CASE WHEN top_margin >= 0.1 THEN 'clear' WHEN top_margin >= 0.04 THEN 'narrow' ELSE 'near_tie' END AS mband, CASE WHEN candidates = 1 THEN 'single' ELSE 'multiple' END AS alt,
+    concat_ws('|', 'review-signature-v1.0.0', ev, 'margin:' || mband, 'alternatives:' || alt, 'collision:' || collision, 'strong:' || contradiction) AS signature FROM items i JOIN shown s USING (candidate_id))),
+grouped AS (SELECT *, CASE WHEN competing THEN 'competing_candidates' WHEN ids_unlike > 0 OR contradiction THEN 'strong_contradiction' WHEN noise THEN 'low_information_noise' WHEN suggested IS NULL THEN 'individual_review' ELSE 'quick_decision' END AS safety
+  FROM (SELECT group_id, signature, count(*) AS n_items, count(*) FILTER (same_ok) AS n_same, count(*) FILTER (diff_ok) AS n_different, CASE count(*) WHEN count(*) FILTER (same_ok) THEN 'same_entity' WHEN count(*) FILTER (diff_ok) THEN 'different_entity' END AS suggested,
+    any_value(mband) AS margin_band, any_value(alt) AS alternatives, any_value(collision) AS collision, any_value(contradiction) AS contradiction, any_value(competing) AS competing, any_value(noise) AS noise, any_value(ids_unlike) AS ids_unlike FROM judged WHERE state = 'needs_review' GROUP BY group_id, signature))"""
 add("rev06_signatures", "review", f"{_SIGNED} SELECT a_row_id, candidate_id, signature, group_id FROM judged", lambda w: w.judged.select("a_row_id", "candidate_id", "signature", "group_id"))
 add("rev08_eligibility", "review", f"{_SIGNED} SELECT candidate_id, same_ok AS same_eligible, diff_ok AS different_eligible FROM judged", lambda w: w.judged.select("candidate_id", "same_eligible", "different_eligible"))
-add("rev09_groups", "review", f"{_SIGNED} SELECT group_id, signature, n_items, suggested, safety FROM grouped", lambda w: review.groups(w.judged))
+add("rev09_groups", "review", f"{_SIGNED} SELECT group_id, signature, n_items, n_same, n_different, suggested, safety, margin_band, alternatives, collision, contradiction FROM grouped", lambda w: review.groups(w.judged))
+add("rev09_patterns", "review", f"{_SIGNED} SELECT group_id, kind, class, information, string_agg(DISTINCT mapping_id, ',' ORDER BY mapping_id) AS mappings FROM (SELECT group_id, arg_min(candidate_id, a_row_id) AS candidate_id FROM judged WHERE state = 'needs_review' GROUP BY group_id) JOIN fields USING (candidate_id) GROUP BY ALL", lambda w: review.patterns(w.judged, w.m.fields))
+_ORDER = "list_position(['quick_decision', 'competing_candidates', 'strong_contradiction', 'low_information_noise', 'individual_review'], safety)"
+add("rev10_ordered_groups", "review", f"{_SIGNED} SELECT group_id, n_items, safety, CAST(row_number() OVER (ORDER BY {_ORDER}, n_items DESC, group_id) AS INTEGER) AS place FROM grouped", lambda w: review.ordered_groups(review.groups(w.judged)).select("group_id", "n_items", "safety", "place"))
 add(
-    "rev10_ordered_groups", "review",
-    f"{_SIGNED} SELECT group_id, n_items, safety, CAST(row_number() OVER (ORDER BY list_position(['batch_eligible', 'individual', 'low_information', 'contradiction', 'collision'], safety), n_items DESC, group_id) AS INTEGER) AS place FROM grouped",
-    lambda w: review.ordered_groups(review.groups(w.judged)).select("group_id", "n_items", "safety", "place"),
+    "rev10_workload", "review",
+    f"{_SIGNED} SELECT CAST(coalesce(sum(n_items), 0) AS BIGINT) AS needs_attention, " + ", ".join(f"CAST(coalesce(sum(n_items) FILTER (safety = '{x}'), 0) AS BIGINT) AS {x}" for x in review.SAFETY_ORDER) + ", count(*) AS n_groups, (SELECT count(*) FROM items WHERE state = 'deferred') AS deferred FROM grouped",
+    lambda w: review.workload(review.groups(w.judged), w.items),
+)
+add(
+    "rev11_group_preview", "review", f"{_SIGNED} SELECT group_id, a_row_id, candidate_id FROM judged WHERE state = 'needs_review' AND group_id = (SELECT group_id FROM grouped ORDER BY n_items DESC, group_id LIMIT 1) ORDER BY a_row_id LIMIT 10 OFFSET 2",
+    lambda w: review.group_preview(w.judged, review.groups(w.judged).orderBy(F.desc("n_items"), "group_id").first()["group_id"], 2, 10).select("group_id", "a_row_id", "candidate_id"),
 )
 add(
     "rev15_results", "review",
@@ -162,12 +184,21 @@ add(
 )
 add(
     "rev17_explanation", "review",
-    """SELECT k.candidate_id, k.a_row_id, k.b_row_id, CASE WHEN l.source = 'human' THEN 'human_same' WHEN d.decision = 'different_entity' THEN 'human_different' WHEN l.source = 'system_matcher' THEN 'automatic_link' WHEN contradiction THEN 'strong_contradiction'
-    WHEN collision OR owners > 1 THEN 'shared_candidate' WHEN margin < 0.04 THEN 'narrow_margin' ELSE 'insufficient_evidence' END AS reason
-    FROM kept k JOIN owned o ON o.b_row_id = k.b_row_id LEFT JOIN links l ON l.candidate_id = k.candidate_id LEFT JOIN dec d ON d.candidate_id = k.candidate_id WHERE rank = 1""",
-    lambda w: review.explanation(w.m.kept, w.links, w.decisions),
+    """, shown AS (SELECT k.*, l.candidate_id AS link_id, row_number() OVER (PARTITION BY k.a_row_id ORDER BY k.candidate_id IS NOT DISTINCT FROM l.candidate_id DESC, k.rank, k.candidate_id) AS place, count(*) OVER (PARTITION BY k.a_row_id) AS candidates FROM kept k LEFT JOIN links l ON l.a_row_id = k.a_row_id)
+    SELECT a.row_id AS a_row_id, s.candidate_id, s.b_row_id, coalesce(candidates, 0) AS candidates, CASE WHEN s.candidate_id IS NULL THEN 'no_candidate_retained' WHEN d.decision = 'different_entity' THEN 'rejected_by_human' WHEN d.decision = 'same_entity' THEN 'linked_by_human'
+    WHEN link_id IS NOT NULL THEN CASE WHEN link_id = s.candidate_id THEN 'linked_automatically' ELSE 'other_candidate_linked' END WHEN s.band <> 'needs_review' AND x.candidate_id IS NOT NULL THEN 'alternative_not_selected' ELSE 'candidate_awaiting_review' END AS reason
+    FROM a LEFT JOIN (SELECT * FROM shown WHERE place = 1) s ON s.a_row_id = a.row_id LEFT JOIN dec d ON d.candidate_id = s.candidate_id LEFT JOIN auto x ON x.candidate_id = s.candidate_id""",
+    lambda w: review.explanation(w.m.rows[0], w.m.kept, w.links, w.decisions, w.m.automatic),
+)
+add("rev17_top_evidence", "fields", 'SELECT * FROM (SELECT candidate_id, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY round(plus + minus, 6) DESC, mapping_id) AS INTEGER) AS "order", mapping_id, class, plus, minus FROM fields) WHERE "order" <= 6', lambda w: review.top_evidence(w.m.fields))
+add(
+    "rev18_detail", "review",
+    """SELECT k.candidate_id, k.a_row_id, k.b_row_id, (SELECT string_agg(o.candidate_id, ',' ORDER BY o.rank, o.candidate_id) FROM kept o WHERE o.a_row_id = k.a_row_id) AS alternatives,
+    coalesce((SELECT string_agg(DISTINCT o.a_row_id, ',' ORDER BY o.a_row_id) FROM kept o WHERE o.b_row_id = k.b_row_id AND o.a_row_id <> k.a_row_id), '') AS collisions,
+    coalesce((SELECT string_agg(DISTINCT o.a_row_id, ',' ORDER BY o.a_row_id) FROM links o WHERE o.b_row_id = k.b_row_id AND o.a_row_id <> k.a_row_id), '') AS linked_collisions, d.decision, coalesce(i.state, 'auto_match') AS state
+    FROM kept k LEFT JOIN dec d ON d.candidate_id = k.candidate_id LEFT JOIN items i ON i.a_row_id = k.a_row_id""",
+    lambda w: review.detail(w.m.kept, w.links, w.decisions, w.items),
 )
-add("rev17_top_evidence", "fields", 'SELECT * FROM (SELECT candidate_id, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY round(plus + minus, 6) DESC, place) AS INTEGER) AS "order", mapping_id, class, plus, minus FROM fields) WHERE "order" <= 6', lambda w: review.top_evidence(w.m.fields))
 add("rev21_label_evidence", "review", "SELECT band, count(*) AS decided, count(*) FILTER (decision = 'same_entity') AS same, round(avg(CAST(decision = 'same_entity' AS DOUBLE)), 6) AS same_rate FROM dec JOIN kept USING (candidate_id) GROUP BY band", lambda w: review.label_evidence(w.decisions, w.m.kept))
 
 # Survivorship and exports

@@ -78,22 +78,28 @@ def infer_kind(m: Mapping) -> str:
     return "other"
 
 
-# Patterns that point to a family, first match wins.
-_FAMILY_PATTERNS = (
-    ("email", r"e-?mail"), ("phone", r"phone|telephone|mobile|fax"), ("domain", r"website|domain|\burl\b"), ("address", r"address|street"),
-    ("geography", r"city|state|region|province|country|postal|zip"), ("contact_person", r"contact|owner|manager"), ("date_or_timestamp", r"date|time|updated|created"),
-    ("source_local_identifier", r"row.?id|record.?id|source.?id"), ("persistent_identifier", r"\b(id|identifier|ein|tax|registration|sku|isbn)\b"),
-    ("name_or_title", r"name|title|organization|company"), ("numeric", r"amount|price|count|total|balance|quantity"), ("categorical", r"type|category|status|segment"), ("free_text", r"notes?|description|comment"),
+# Words in the names of a mapping that point to a family; the first row of which all patterns match decides.
+_FAMILY_WORDS = (
+    ("source_local_identifier", r"\b(record|row|source|internal)\s*(id|key|number|no|pk)\b|\b(primary\s*key|source\s*pk)\b"),
+    ("contact_person", r"\b(contact|representative|attention|attn|salesperson|owner)\b", r"\b(name|person|representative|contact)\b"),
+    ("email", r"\b(email|e mail)\b"),
+    ("phone", r"\b(phone|telephone|mobile|fax)\b"),
+    ("domain", r"\b(domain|website|web site|url|host name|hostname)\b"),
+    ("address", r"\b(address|street|road|avenue|boulevard)\b"),
+    ("geography", r"\b(city|state|province|region|country|postal|postcode|zip)\b"),
+    ("categorical", r"\b(category|status|type|class|segment|department|brand)\b"),
+    ("free_text", r"\b(description|notes?|comments?|memo|details?)\b"),
+    ("name_or_title", r"\b(name|title|organization|organisation|company|vendor|supplier|customer|product|facility|location|item)\b"),
 )
+_FAMILY_OF_NORMALIZER = {"email": "email", "phone": "phone", "number": "numeric", "date": "date_or_timestamp"}
 
 
 def infer_family(m: Mapping) -> str:
     """A proposal for a saved mapping that omits its family; it isn't used for matching unless confirmed."""
-    by_normalizer = {"phone": "phone", "email": "email", "number": "numeric", "date": "date_or_timestamp"}
-    if m.normalizer in by_normalizer:
-        return by_normalizer[m.normalizer]
-    names = re.sub(r"[_-]+", " ", " ".join((m.mapping_id, m.label, m.a_column, m.b_column))).lower()
-    return next((family for family, pattern in _FAMILY_PATTERNS if re.search(pattern, names)), "unknown")
+    if m.normalizer in _FAMILY_OF_NORMALIZER:
+        return _FAMILY_OF_NORMALIZER[m.normalizer]
+    names = re.sub(r"[^a-z0-9]+", " ", " ".join((m.mapping_id, m.label, m.a_column, m.b_column)).lower())
+    return next((family for family, *patterns in _FAMILY_WORDS if all(re.search(p, names) for p in patterns)), "unknown")
 
 
 @dataclass(frozen=True)
