@@ -312,7 +312,7 @@ add(
     FROM kept k LEFT JOIN truth t ON t.a_row_id = k.a_row_id AND t.b_row_id = k.b_row_id WHERE rank = 1 AND k.a_row_id NOT IN (SELECT a_row_id FROM auto)) GROUP BY cause""",
     lambda w: evaluate.demand(w.m.kept, w.m.automatic, w.truth),
 )
-add("evl24_collision_catalog", "truth", ", e AS (SELECT k.kind, b_row_id, t FROM (SELECT substr(a_row_id, 11, 1) AS kind, k.b_row_id, t.a_row_id AS t FROM kept k LEFT JOIN truth t ON t.a_row_id = k.a_row_id AND t.b_row_id = k.b_row_id) k), g AS (SELECT kind, b_row_id, count(*) AS n, count(t) AS t FROM e GROUP BY ALL) SELECT kind AS case_id, CAST(sum(n) AS BIGINT) AS links, CAST(sum(t) AS BIGINT) AS true_links, count(*) FILTER (n > 1) AS double_b FROM g GROUP BY ROLLUP (kind)",
+add("evl24_collision_catalog", "truth", ", e AS (SELECT k.kind, b_row_id, t FROM (SELECT substr(k.a_row_id, 11, 1) AS kind, k.b_row_id, t.a_row_id AS t FROM kept k LEFT JOIN truth t ON t.a_row_id = k.a_row_id AND t.b_row_id = k.b_row_id) k), g AS (SELECT kind, b_row_id, count(*) AS n, count(t) AS t FROM e GROUP BY ALL) SELECT kind AS case_id, CAST(sum(n) AS BIGINT) AS links, CAST(sum(t) AS BIGINT) AS true_links, count(*) FILTER (n > 1) AS double_b FROM g GROUP BY ROLLUP (kind)",
     lambda w: evaluate.collision_catalog(w.m.kept.join(w.truth.withColumn("is_true", F.lit(True)), ["a_row_id", "b_row_id"], "left").select(F.substring("a_row_id", 11, 1).alias("case_id"), "a_row_id", "b_row_id", F.coalesce("is_true", F.lit(False)).alias("is_true"))))
 
 

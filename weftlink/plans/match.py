@@ -40,7 +40,7 @@ class Match:
 
     @cached_property
     def rows(self) -> tuple[DataFrame, DataFrame]:
-        return tuple(blocking.prepared(df, side, self.mappings, self.id_column) for df, side in ((self.a, "A"), (self.b, "B")))
+        return tuple(self._shared(blocking.prepared(df, side, self.mappings, self.id_column)) for df, side in ((self.a, "A"), (self.b, "B")))
 
     @cached_property
     def keys(self) -> tuple[DataFrame, DataFrame]:
