@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, id_and_text, mix, shingles, steps, written
+from .common import Ids, id_and_text, mix, release, shingles, steps, written
 
 BUCKETS, BANDS, MANTISSA, REPLICAS = 128, 32, 10, 4
 _SALTS = mix(np.arange(1, REPLICAS + 1, dtype=np.uint64))
@@ -80,6 +80,8 @@ def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Reco
             lists.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
         yield part, [_set(hashes[x], k) for x in lists]
+        del ids, lists, hashes, texts
+    release()
 
 
 def registers(shingle_hashes: np.ndarray) -> np.ndarray:
@@ -181,6 +183,7 @@ def _confirm(s: Settings):
                     keep.append(i)
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], names=["a", "b"])
+        release()
 
     return run
 
@@ -236,6 +239,7 @@ def _near_pairs(s: Settings):
             a, b, _ = _likely(rows[0]["key"], keys, regs, n, labels, every, every, s)
             once = reps[a] < reps[b]
             yield pa.RecordBatch.from_arrays([pa.array(reps[a][once]), pa.array(reps[b][once])], names=["a", "b"])
+        release()
 
     return run
 
@@ -263,6 +267,7 @@ def _dense_links(s: Settings):
                     root[x] = y
                     found.append((int(reps[i]), int(reps[j])))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        release()
 
     return run
 
