@@ -35,9 +35,11 @@ from .segments import Known, begin_in_space, binary, content, cut
 #: Bytes of a pre-token up to which all steps' rows are kept until the end.
 SHORT = 48
 #: Rows that the steps of one query may make, about; bytes of long pre-tokens in one query.
-ROWS, LONG_BYTES = 1_500_000, 64 << 10
+ROWS, LONG_BYTES = 400_000, 32 << 10
 #: Segments and pre-tokens that a worker remembers, and bytes of their results, before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 700_000, 96 << 20
+REMEMBERED, REMEMBERED_BYTES = 150_000, 24 << 20
+#: Text bytes of one step.
+STEP = 1 << 20
 
 _WHOLE = "SELECT w, id AS tok FROM pieces JOIN vocabulary USING (piece)"
 _STEPWISE = """
@@ -138,7 +140,7 @@ class Coder:
         """A database in memory for one task, without a folder to spill to; what is known of pre-tokens outlasts it."""
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.db.register("m", self.merges)
         self.db.register("v", self.vocabulary)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocabulary AS SELECT * FROM v")
@@ -229,7 +231,7 @@ def _encode(ranks_path: str, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
         try:
-            for part, texts in arrow_steps(batches):
+            for part, texts in arrow_steps(batches, limit=STEP):
                 counts, *columns = own.encode(texts)
                 out = []
                 for column, cut_off in zip(columns, (1, 0), strict=True):
@@ -238,6 +240,8 @@ def _encode(ranks_path: str, pattern: str, digests: bool):
                     spans = [view[a : max(a, b - cut_off)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     out.append([hashlib.sha256(x).hexdigest() for x in spans] if digests else [bytes(x).decode("utf-8", "replace") for x in spans])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *(pa.array(x, pa.string()) for x in out)], names=["doc_id", "n_tokens", "ids", "decoded"])
+                del counts, columns, column, raw, at, view, spans, out
+                release()
         finally:
             own.close()
 

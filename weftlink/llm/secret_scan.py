@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, steps, written
+from .common import id_and_text, release, steps, written
 
 KINDS = ("assign", "access", "hex", "random")
 STEPS_PER_TEN, MOST_STEPS = 10, 1000
@@ -288,6 +288,7 @@ def _redact(s: Settings, limits: list[int], text_col: str, mark: str):
                 out.append("".join([*pieces, whole[at:]]))
             i = part.schema.get_field_index(text_col)
             yield part.set_column(i, part.schema.field(i), pa.array(out, part.schema.field(i).type))
+        release()
 
     return run
 
