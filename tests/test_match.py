@@ -92,7 +92,7 @@ def test_plan_checks():
         check_mappings([Mapping("x", "a", "b", matching=False)], ["a"], ["b"])
     with pytest.raises(Invalid):
         check_headers(["id", "Entity_ID"], ["entity_id"])
-    pinned = {"contact_email": "contact_person", "work_e-mail": "email", "source_key": "source_local_identifier", "owner": "contact_person", "zip": "geography", "web_site": "domain", "vendor": "name_or_title", "notes": "free_text", "cust_no": "unknown", "statement": "unknown"}
+    pinned = {"contact_email": "contact_person", "work_e-mail": "email", "source_key": "source_local_identifier", "owner": "unknown", "owner_name": "contact_person", "zip": "geography", "web_site": "domain", "vendor": "name_or_title", "notes": "free_text", "cust_no": "unknown", "statement": "unknown"}
     assert {c: infer_family(Mapping("m", c, "x")) for c in pinned} == pinned
     assert Mapping("m", "zip_code", "postal").kind == "postal"
     assert Mapping("m", "zip_code", "postal", "unknown").kind == "unknown"
