@@ -68,7 +68,9 @@ class Work:
 
 
 def work(spark: SparkSession, sf_dir: str) -> Work:
-    return Work(match(spark, sf_dir))
+    """The match's one work, whose stages are shared like its own."""
+    m = match(spark, sf_dir)
+    return m.__dict__.setdefault("work", Work(m))
 
 
 def add(name: str, stage: str, sql: str, make) -> None:
@@ -190,7 +192,7 @@ add(
     FROM a LEFT JOIN (SELECT * FROM shown WHERE place = 1) s ON s.a_row_id = a.row_id LEFT JOIN dec d ON d.candidate_id = s.candidate_id LEFT JOIN auto x ON x.candidate_id = s.candidate_id""",
     lambda w: review.explanation(w.m.rows[0], w.m.kept, w.links, w.decisions, w.m.automatic),
 )
-add("rev17_top_evidence", "fields", 'SELECT * FROM (SELECT candidate_id, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY round(plus + minus, 6) DESC, mapping_id) AS INTEGER) AS "order", mapping_id, class, plus, minus FROM fields) WHERE "order" <= 6', lambda w: review.top_evidence(w.m.fields))
+add("rev17_top_evidence", "fields", f'SELECT * FROM (SELECT candidate_id, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY {O.six("plus + minus")} DESC, mapping_id) AS INTEGER) AS "order", mapping_id, class, plus, minus FROM fields) WHERE "order" <= 6', lambda w: review.top_evidence(w.m.fields))
 add(
     "rev18_detail", "review",
     """SELECT k.candidate_id, k.a_row_id, k.b_row_id, (SELECT string_agg(o.candidate_id, ',' ORDER BY o.rank, o.candidate_id) FROM kept o WHERE o.a_row_id = k.a_row_id) AS alternatives,

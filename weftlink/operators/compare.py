@@ -74,8 +74,8 @@ def evidence(paired: DataFrame, mappings: Sequence[Mapping]) -> DataFrame:
             F.when((a == "") & (b == ""), "missing_both").when(a == "", "missing_left").when(b == "", "missing_right")
             .when(a == b, "exact_agreement").when((positive >= 0.35) & (positive >= conflict), "partial_agreement").otherwise("conflict")
         )
-        weighted[f"plus_{i}"] = F.round(positive * WEIGHTS[m.kind], 6)
-        weighted[f"minus_{i}"] = F.round(conflict * (WEIGHTS[m.kind] * CONFLICTS[m.kind]), 6)
+        weighted[f"plus_{i}"] = S.rounded(positive * WEIGHTS[m.kind])
+        weighted[f"minus_{i}"] = S.rounded(conflict * (WEIGHTS[m.kind] * CONFLICTS[m.kind]))
     return out.withColumns(weighted)
 
 
@@ -109,7 +109,7 @@ def tall(compared: DataFrame, mappings: Sequence[Mapping]) -> DataFrame:
         for i, m in enumerate(mappings)
     ]
     out = compared.select("candidate_id", "a_row_id", "b_row_id", F.explode(F.array(*fields)).alias("e")).select("candidate_id", "a_row_id", "b_row_id", "e.*")
-    return out.withColumns({"contribution": F.round(F.col("plus") - F.col("minus"), 6), "code": code(), "outcome": outcome(), "label": label()})
+    return out.withColumns({"contribution": S.rounded(F.col("plus") - F.col("minus")), "code": code(), "outcome": outcome(), "label": label()})
 
 
 def code() -> Column:

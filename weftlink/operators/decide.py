@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.functions.similarity import bounded
+from weftlink.functions.similarity import bounded, rounded
 from weftlink.plans.model import Rules, check_policy
 
 
@@ -29,7 +29,7 @@ def ranked(scored: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def retained(ranks: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The best pairs of each A row that stand for review: near enough to its top, at most a few."""
     top = F.max("score").over(Window.partitionBy("a_row_id"))
-    near = F.col("score") >= F.greatest(F.lit(rules.floor), F.round(F.col("top") - rules.window, 6))
+    near = F.col("score") >= F.greatest(F.lit(rules.floor), rounded(F.col("top") - rules.window))
     return ranks.withColumn("top", top).where((F.col("top") >= rules.review) & near & (F.col("rank") <= rules.alternatives)).drop("top")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlink.functions.similarity import rounded
 from weftlink.plans.model import STRONG_FAMILIES, WEAK_FAMILIES
 
 from .decide import margin_band
@@ -225,7 +226,7 @@ def conflict_page(previewed: DataFrame, links: DataFrame, status: str = "all", o
 
 def top_evidence(fields: DataFrame, most: int = 6) -> DataFrame:
     """The fields of each pair that weigh most, either way; ties go by mapping."""
-    place = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc(F.round(F.col("plus") + F.col("minus"), 6)), "mapping_id"))
+    place = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc(rounded(F.col("plus") + F.col("minus"))), "mapping_id"))
     return fields.withColumn("order", place).where(F.col("order") <= most).select("candidate_id", "order", "mapping_id", "class", "plus", "minus")
 
 

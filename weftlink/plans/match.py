@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from weftlink.operators import blocking, compare, decide
-from weftlink.sources.tables import materialized
+from weftlink.sources.tables import delete, exists, materialized, shared_folder
 
 from .model import CandidateConfig, Mapping, Rules, check_mappings, identity
 
@@ -25,14 +25,29 @@ class Match:
     rules: Rules = Rules()
     id_column: str = "row_id"
     policy: str = "assignment-one-to-one-conservative-v1"
+    folders: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         check_mappings(self.mappings, self.a.columns, self.b.columns)
 
-    @staticmethod
-    def _shared(df: DataFrame) -> DataFrame:
+    def _shared(self, df: DataFrame) -> DataFrame:
         """Stages that many views read are written once, so that each view's plan starts at a table."""
-        return materialized(df)
+        self.folders.append(shared_folder(df.sparkSession))
+        return materialized(df, self.folders[-1])
+
+    def readable(self) -> bool:
+        """Whether all that was written is still there."""
+        return all(exists(self.a.sparkSession, f) for f in self.folders)
+
+    def remove(self) -> None:
+        for f in self.folders:
+            delete(self.a.sparkSession, f)
+
+    def with_config(self, config: CandidateConfig) -> Match:
+        """The same sources, already prepared, under another candidate configuration."""
+        other = replace(self, config=config, folders=[])
+        other.__dict__["rows"] = self.rows
+        return other
 
     @cached_property
     def identity(self) -> list[Mapping]:
@@ -56,7 +71,7 @@ class Match:
 
     @cached_property
     def compared(self) -> DataFrame:
-        return compare.evidence(compare.joined(self.pairs, *self.rows), self.identity)
+        return self._shared(compare.evidence(compare.joined(self.pairs, *self.rows), self.identity))
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -71,7 +71,7 @@ def prepared(mappings: Sequence[Mapping] = MAPPINGS) -> str:
     for side in "AB":
         s = side.lower()
         columns = ", ".join(f"coalesce({m.a_column if side == 'A' else m.b_column}, '') AS v_{m.mapping_id}, {of_kind(m.kind, m.a_column if side == 'A' else m.b_column)} AS n_{m.mapping_id}" for m in mappings)
-        out += [f"{s}_src AS ({side_sql(side)})", f"{s} AS (SELECT row_id, {columns} FROM {s}_src)"]
+        out += [f"{s}_src AS MATERIALIZED ({side_sql(side)})", f"{s} AS MATERIALIZED (SELECT row_id, {columns} FROM {s}_src)"]
     return ", ".join(out)
 
 
@@ -111,14 +111,14 @@ def keys(side: str, mappings: Sequence[Mapping] = MAPPINGS) -> str:
 
 
 BLOCKING = f"""
-ka AS ({keys("a")}), kb AS ({keys("b")}),
-buckets AS (
+ka AS MATERIALIZED ({keys("a")}), kb AS MATERIALIZED ({keys("b")}),
+buckets AS MATERIALIZED (
   SELECT *, n_a > 20 OR n_b > 20 OR n_a * n_b > 100 AS suppressed
   FROM (SELECT blocker_id, key, count(*) AS n_a FROM ka GROUP BY ALL) x JOIN (SELECT blocker_id, key, count(*) AS n_b FROM kb GROUP BY ALL) y USING (blocker_id, key)),
-related AS (
+related AS MATERIALIZED (
   SELECT ka.row_id AS a_row_id, kb.row_id AS b_row_id, blocker_id, substr(sha256(key), 1, 16) AS key_hash
   FROM ka JOIN buckets USING (blocker_id, key) JOIN kb USING (blocker_id, key) WHERE NOT suppressed),
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT a_row_id, b_row_id, 'candidate-' || substr(sha256(a_row_id || chr(0) || b_row_id), 1, 20) AS candidate_id,
          string_agg(DISTINCT blocker_id || ':' || key_hash, ',' ORDER BY blocker_id || ':' || key_hash) AS evidence
   FROM related GROUP BY ALL)
@@ -131,27 +131,35 @@ def _tokens(c: str) -> str:
 
 def _jaccard(a: str, b: str) -> str:
     both = f"len(list_intersect({_tokens(a)}, {_tokens(b)}))"
-    return f"round({both} / (len({_tokens(a)}) + len({_tokens(b)}) - {both}), 6)"
+    return six(f"{both} / (len({_tokens(a)}) + len({_tokens(b)}) - {both})")
 
 
 def _overlap(a: str, b: str) -> str:
-    return f"round(len(list_intersect({_tokens(a)}, {_tokens(b)})) / least(len({_tokens(a)}), len({_tokens(b)})), 6)"
+    return six(f"len(list_intersect({_tokens(a)}, {_tokens(b)})) / least(len({_tokens(a)}), len({_tokens(b)}))")
+
+
+def six(x: str) -> str:
+    """Six places, half to even on the double's own value, through its exact decimal text."""
+    return f"CAST(printf('%.6f', CAST({x} AS DOUBLE)) AS DOUBLE)"
 
 
 #: Character ratios of distinct, unequal, non-empty pairs: the longest common block, then its two sides, again and again.
-RATIOS = """
-wanted AS (SELECT DISTINCT x AS l, y AS r FROM ratio_in WHERE x <> y AND x <> '' AND y <> ''),
-numbered AS (SELECT row_number() OVER (ORDER BY l, r) AS id, l, r FROM wanted),
+#: Blocks are runs of equal characters on one diagonal, so only the meeting characters of a pair are listed.
+RATIOS = f"""
+wanted AS MATERIALIZED (SELECT row_number() OVER () AS id, l, r FROM (SELECT DISTINCT x AS l, y AS r FROM ratio_in WHERE x <> y AND x <> '' AND y <> '')),
 seg(id, l, r, size) AS (
-  SELECT id, l, r, 0 FROM numbered
+  SELECT id, l, r, 0 FROM wanted
   UNION ALL
   SELECT id, unnest([substr(l, 1, i - 1), substr(l, i + k)]), unnest([substr(r, 1, j - 1), substr(r, j + k)]), unnest([k, 0])
-  FROM (SELECT s.id, s.l, s.r, i, j, k, row_number() OVER (PARTITION BY s.no ORDER BY k DESC, i, j) AS best
-        FROM (SELECT *, row_number() OVER () AS no FROM seg WHERE l <> '' AND r <> '') s,
-             LATERAL (SELECT unnest(range(1, length(s.l) + 1)) AS i) x, LATERAL (SELECT unnest(range(1, length(s.r) + 1)) AS j) y,
-             LATERAL (SELECT unnest(range(1, least(length(s.l) - i, length(s.r) - j) + 2)) AS k) z
-        WHERE substr(s.l, i, k) = substr(s.r, j, k)) WHERE best = 1),
-ratios AS (SELECT l, r, round(2.0 * sum(size) / (length(l) + length(r)), 6) AS ratio FROM (SELECT n.l, n.r, s.size FROM numbered n JOIN seg s USING (id)) GROUP BY l, r)
+  FROM (
+    WITH cut AS (SELECT row_number() OVER () AS no, id, l, r FROM seg WHERE l <> '' AND r <> ''),
+    x AS (SELECT no, unnest(string_split(l, '')) AS c, unnest(range(1, length(l) + 1)) AS i FROM cut),
+    y AS (SELECT no, unnest(string_split(r, '')) AS c, unnest(range(1, length(r) + 1)) AS j FROM cut),
+    met AS (SELECT no, i, j, i - row_number() OVER (PARTITION BY no, i - j ORDER BY i) AS run FROM x JOIN y USING (no, c)),
+    runs AS (SELECT no, min(i) AS i, min(j) AS j, count(*) AS k FROM met GROUP BY no, i - j, run),
+    best AS (SELECT no, arg_max(struct_pack(i := i, j := j, k := k), k * 1000000000000 - i * 1000000 - j) AS b FROM runs GROUP BY no)
+    SELECT id, l, r, CAST(b.i AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, CAST(b.k AS INTEGER) AS k FROM best JOIN cut USING (no))),
+ratios AS MATERIALIZED (SELECT l, r, {six("2.0 * s / (length(l) + length(r))")} AS ratio FROM (SELECT id, sum(size) AS s FROM seg GROUP BY id) JOIN wanted USING (id))
 """
 
 
@@ -170,7 +178,7 @@ def _strength(m: Mapping) -> tuple[str, str]:
 
 
 def _bounded(x: str) -> str:
-    return f"round(least(1.0, greatest(0.0, CAST({x} AS DOUBLE))), 6)"
+    return six(f"least(1.0, greatest(0.0, CAST({x} AS DOUBLE)))")
 
 
 def scoring(mappings: Sequence[Mapping] = MAPPINGS) -> str:
@@ -190,18 +198,18 @@ def scoring(mappings: Sequence[Mapping] = MAPPINGS) -> str:
             f"CASE WHEN {a} = '' AND {b} = '' THEN 'missing_both' WHEN {a} = '' THEN 'missing_left' WHEN {b} = '' THEN 'missing_right' WHEN {a} = {b} THEN 'exact_agreement' "
             f"WHEN p_{i} >= 0.35 AND p_{i} >= c_{i} THEN 'partial_agreement' ELSE 'conflict' END AS class_{i}"
         )
-        weighted.append(f"round(p_{i} * CAST({WEIGHTS[m.kind]} AS DOUBLE), 6) AS plus_{i}, round(c_{i} * CAST({WEIGHTS[m.kind] * CONFLICTS[m.kind]!r} AS DOUBLE), 6) AS minus_{i}")
+        weighted.append(f"{six(f'p_{i} * CAST({WEIGHTS[m.kind]} AS DOUBLE)')} AS plus_{i}, {six(f'c_{i} * CAST({WEIGHTS[m.kind] * CONFLICTS[m.kind]!r} AS DOUBLE)')} AS minus_{i}")
     total = lambda n: "(" + " + ".join(["CAST(0 AS DOUBLE)", *(f"{n}_{m.mapping_id}" for m in mappings)]) + ")"
     agree = " + ".join(f"CAST((class_{m.mapping_id} IN ('exact_agreement', 'partial_agreement') AND plus_{m.mapping_id} > 0) AS INTEGER)" for m in mappings)
     against = " OR ".join(f"(class_{m.mapping_id} = 'conflict' AND minus_{m.mapping_id} > 0)" for m in mappings if m.kind in ("persistent_identifier", "email", "domain"))
     return f"""
-valued AS (SELECT pairs.*, {values} FROM pairs JOIN a ON a.row_id = a_row_id JOIN b ON b.row_id = b_row_id),
+valued AS MATERIALIZED (SELECT pairs.*, {values} FROM pairs JOIN a ON a.row_id = a_row_id JOIN b ON b.row_id = b_row_id),
 ratio_in AS ({ratio_in}),
 {RATIOS},
 rated AS (SELECT valued.*, {ratios} FROM valued {joins}),
 strong AS (SELECT *, {", ".join(strengths)} FROM rated),
-compared AS (SELECT *, {", ".join(weighted)} FROM strong),
-scored AS (SELECT *, {_bounded(f"({total('plus')} - {total('minus')}) / CAST({sum(WEIGHTS[m.kind] for m in mappings)!r} AS DOUBLE)")} AS score, {agree} AS agreements, {against} AS contradiction FROM compared)
+compared AS MATERIALIZED (SELECT *, {", ".join(weighted)} FROM strong),
+scored AS MATERIALIZED (SELECT *, {_bounded(f"({total('plus')} - {total('minus')}) / CAST({sum(WEIGHTS[m.kind] for m in mappings)!r} AS DOUBLE)")} AS score, {agree} AS agreements, {against} AS contradiction FROM compared)
 """
 
 
@@ -209,10 +217,10 @@ RANKING = f"""
 r1 AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS nxt FROM scored WINDOW w AS (PARTITION BY a_row_id ORDER BY score DESC, b_row_id)),
 r2 AS (SELECT *, CASE WHEN rank = 1 THEN {_bounded("score - coalesce(nxt, 0.0)")} ELSE 0.0 END AS margin, sum(CASE WHEN rank = 1 AND score >= 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY b_row_id) AS wanted FROM r1),
 r3 AS (SELECT *, rank = 1 AND wanted > 1 AND score >= 0.25 AS collision FROM r2),
-ranked AS (SELECT *, CASE WHEN rank = 1 AND score >= 0.5 AND margin >= 0.04 AND NOT collision AND agreements >= 2 AND NOT contradiction THEN 'auto_match' ELSE 'needs_review' END AS band,
+ranked AS MATERIALIZED (SELECT *, CASE WHEN rank = 1 AND score >= 0.5 AND margin >= 0.04 AND NOT collision AND agreements >= 2 AND NOT contradiction THEN 'auto_match' ELSE 'needs_review' END AS band,
   max(score) OVER (PARTITION BY a_row_id) AS top FROM r3),
-kept AS (SELECT * FROM ranked WHERE top >= 0.25 AND score >= greatest(0.25, round(top - 0.3, 6)) AND rank <= 3),
-auto AS (
+kept AS MATERIALIZED (SELECT * FROM ranked WHERE top >= 0.25 AND score >= greatest(0.25, {six("top - 0.3")}) AND rank <= 3),
+auto AS MATERIALIZED (
   SELECT k.* FROM kept k JOIN (SELECT b_row_id, count(DISTINCT a_row_id) AS owners FROM kept GROUP BY b_row_id) o ON o.b_row_id = k.b_row_id
   WHERE k.rank = 1 AND k.band = 'auto_match' AND NOT k.collision AND owners = 1)
 """
@@ -221,14 +229,14 @@ auto AS (
 def tall(mappings: Sequence[Mapping] = MAPPINGS) -> str:
     """CTE fields: kept pairs' evidence by field, with frequencies and information classes."""
     rows = " UNION ALL ".join(
-        f"SELECT candidate_id, a_row_id, b_row_id, {n} AS place, '{m.mapping_id}' AS mapping_id, '{m.kind}' AS kind, av_{m.mapping_id} AS a_value, bv_{m.mapping_id} AS b_value, a_{m.mapping_id} AS a_norm, b_{m.mapping_id} AS b_norm, class_{m.mapping_id} AS class, p_{m.mapping_id} AS positive, plus_{m.mapping_id} AS plus, minus_{m.mapping_id} AS minus, round(plus_{m.mapping_id} - minus_{m.mapping_id}, 6) AS contribution FROM kept"
+        f"SELECT candidate_id, a_row_id, b_row_id, {n} AS place, '{m.mapping_id}' AS mapping_id, '{m.kind}' AS kind, av_{m.mapping_id} AS a_value, bv_{m.mapping_id} AS b_value, a_{m.mapping_id} AS a_norm, b_{m.mapping_id} AS b_norm, class_{m.mapping_id} AS class, p_{m.mapping_id} AS positive, plus_{m.mapping_id} AS plus, minus_{m.mapping_id} AS minus, {six(f"plus_{m.mapping_id} - minus_{m.mapping_id}")} AS contribution FROM kept"
         for n, m in enumerate(mappings)
     )
     counts = lambda s: " UNION ALL ".join(f"SELECT '{m.mapping_id}' AS mapping_id, n_{m.mapping_id} AS value FROM {s} WHERE n_{m.mapping_id} <> ''" for m in mappings)
     freq = lambda s: f"SELECT *, sum(n) OVER (PARTITION BY mapping_id) AS total FROM (SELECT mapping_id, value, count(*) AS n FROM ({counts(s)}) GROUP BY ALL)"
     return f"""
-fa AS ({freq("a")}), fb AS ({freq("b")}), tall AS ({rows}),
-fields AS (
+fa AS ({freq("a")}), fb AS ({freq("b")}), tall AS MATERIALIZED ({rows}),
+fields AS MATERIALIZED (
   SELECT t.*, fa.n AS freq_a, fb.n AS freq_b, CASE WHEN class LIKE 'missing%' THEN 'not_applicable' WHEN greatest(fa.n, fb.n) IS NULL THEN 'unknown' WHEN greatest(fa.n, fb.n) <= 1 THEN 'distinctive'
     WHEN greatest(fa.n / fa.total, fb.n / fb.total) >= 0.05 THEN 'common' ELSE 'repeated' END AS information
   FROM tall t LEFT JOIN fa ON fa.mapping_id = t.mapping_id AND fa.value = a_norm LEFT JOIN fb ON fb.mapping_id = t.mapping_id AND fb.value = b_norm)
@@ -236,13 +244,13 @@ fields AS (
 
 
 REVIEW = """
-owned AS (SELECT b_row_id, count(DISTINCT a_row_id) AS owners FROM kept GROUP BY b_row_id),
-dec AS (
+owned AS MATERIALIZED (SELECT b_row_id, count(DISTINCT a_row_id) AS owners FROM kept GROUP BY b_row_id),
+dec AS MATERIALIZED (
   SELECT candidate_id, a_row_id, k.b_row_id, CASE WHEN substr(candidate_id, 11, 1) IN ('0', '1', '2', '3') THEN 'same_entity' ELSE 'different_entity' END AS decision
   FROM kept k JOIN owned o ON o.b_row_id = k.b_row_id WHERE rank = 1 AND band <> 'auto_match' AND owners = 1 AND substr(candidate_id, 11, 1) IN ('0', '1', '2', '3', '4', '5')),
 def AS (SELECT a_row_id, true AS deferred FROM kept WHERE rank = 1 AND band <> 'auto_match' AND substr(candidate_id, 11, 1) = '6'),
 human AS (SELECT candidate_id, a_row_id, b_row_id, 'human' AS source FROM dec WHERE decision = 'same_entity'),
-links AS (
+links AS MATERIALIZED (
   SELECT * FROM human UNION ALL SELECT candidate_id, a_row_id, b_row_id, 'system_matcher' FROM auto
   WHERE candidate_id NOT IN (SELECT candidate_id FROM dec WHERE decision = 'different_entity') AND a_row_id NOT IN (SELECT a_row_id FROM human) AND b_row_id NOT IN (SELECT b_row_id FROM human)),
 picked AS (
@@ -251,7 +259,7 @@ picked AS (
     coalesce(bool_or(d.decision = 'same_entity') OVER (PARTITION BY k.a_row_id), false) AS same, count(d.decision) OVER (PARTITION BY k.a_row_id) AS decided,
     count(*) FILTER (d.decision = 'different_entity') OVER (PARTITION BY k.a_row_id) AS rejected
   FROM kept k LEFT JOIN dec d ON d.candidate_id = k.candidate_id),
-items AS (
+items AS MATERIALIZED (
   SELECT p.a_row_id, CASE WHEN same THEN 'reviewed_same' WHEN decided > 0 AND rejected = decided THEN 'reviewed_different' WHEN def.deferred THEN 'deferred' ELSE 'needs_review' END AS state,
     candidates, top_margin, candidate_id, p.b_row_id, rank, score, margin, collision OR owners > 1 AS collision, contradiction
   FROM picked p JOIN owned o ON o.b_row_id = p.b_row_id LEFT JOIN def ON def.a_row_id = p.a_row_id
@@ -264,9 +272,9 @@ def survivorship(mappings: Sequence[Mapping] = MAPPINGS) -> str:
     rows = " UNION ALL ".join(f"SELECT candidate_id, a_row_id, b_row_id, source, '{m.mapping_id}' AS mapping_id, coalesce(x.{m.a_column}, '') AS a_value, coalesce(y.{m.b_column}, '') AS b_value, x.updated_at AS a_time, y.updated_at AS b_time FROM links JOIN a_src x ON x.row_id = a_row_id JOIN b_src y ON y.row_id = b_row_id" for m in mappings if m.merge)
     ms = lambda c: f"CASE WHEN {c} LIKE '2024%' THEN epoch_ms(CAST(replace(replace({c}, 'T', ' '), 'Z', '') AS TIMESTAMP)) END"
     return f"""
-vals AS ({rows}),
-conf AS (SELECT *, 'conflict-' || candidate_id || '-' || mapping_id AS conflict_id, {ms("a_time")} AS x, {ms("b_time")} AS y FROM vals WHERE a_value <> b_value),
-ruled AS (
+vals AS MATERIALIZED ({rows}),
+conf AS MATERIALIZED (SELECT *, 'conflict-' || candidate_id || '-' || mapping_id AS conflict_id, {ms("a_time")} AS x, {ms("b_time")} AS y FROM vals WHERE a_value <> b_value),
+ruled AS MATERIALIZED (
   SELECT *, CASE mapping_id
     WHEN 'name' THEN 'A' WHEN 'phone' THEN CASE WHEN a_value = '' THEN 'B' WHEN b_value = '' THEN 'A' END WHEN 'email' THEN CASE WHEN a_value = '' THEN 'B' WHEN b_value = '' THEN 'A' END
     WHEN 'address' THEN CASE WHEN x IS NULL OR y IS NULL OR x = y THEN NULL WHEN x > y THEN 'A' ELSE 'B' END WHEN 'contact' THEN 'both' END AS chosen,
@@ -277,7 +285,7 @@ ruled AS (
 """
 
 
-TRUTH = "truth AS (SELECT x.row_id AS a_row_id, y.row_id AS b_row_id FROM a_src x JOIN b_src y USING (entity_id))"
+TRUTH = "truth AS MATERIALIZED (SELECT x.row_id AS a_row_id, y.row_id AS b_row_id FROM a_src x JOIN b_src y USING (entity_id))"
 
 
 def chain(upto: str) -> str:

@@ -28,8 +28,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_MATCHES: dict[tuple[str, str], Match] = {}
+
+
 def match(spark: SparkSession, sf_dir: str) -> Match:
-    return Match(*sources(spark, sf_dir), MAPPINGS)
+    """One match for each session and folder of tables: its queries share what it has written, as long as that is there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MATCHES or not _MATCHES[key].readable():
+        _MATCHES[key] = Match(*sources(spark, sf_dir), MAPPINGS)
+    return _MATCHES[key]
+
+
+def forget() -> None:
+    """Removes what the matches have written; the next query starts anew."""
+    while _MATCHES:
+        _MATCHES.popitem()[1].remove()
 
 
 # Normalizers
@@ -91,7 +104,7 @@ for _n, _blocker in enumerate(_PER_BLOCKER, 1):
 
     def _run(spark: SparkSession, sf_dir: str, blocker: str = _blocker) -> DataFrame:
         m = match(spark, sf_dir)
-        m.config = type(m.config)(blockers=(blocker,))
+        m = m.with_config(type(m.config)(blockers=(blocker,)))
         return blocking.relationships(*m.keys, m.buckets).select("a_row_id", "b_row_id", "key_hash")
 
     query(f"blk{_n:02d}_{_blocker}", f"{O.chain('pairs')} SELECT a_row_id, b_row_id, key_hash FROM related WHERE blocker_id = '{_blocker}'")(_run)
