@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, conversations, decontamination, near_dedup, pitman_yor, quality_classifier, quality_rules, secret_scan, sharding, token_files, toxicity
+from . import bpe, collocations, conversations, decontamination, main_text, near_dedup, pitman_yor, quality_classifier, quality_rules, secret_scan, sharding, token_files, toxicity
 from .common import documents
 
 
@@ -64,6 +64,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.summaries(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -89,5 +93,5 @@ placed AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHA
 SELECT d.doc_id, d.slot, CAST(t.i AS INTEGER) AS shard FROM placed d JOIN turns t ON t.slot = d.slot AND t.n > 0
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_model, op3_secret_scan, op4_token_files, op5_sharding, op6_toxicity, op7_near_dedup, op8_quality_rules, op9_quality_classifier, op10_bpe, op12_conversations, op13_collocations)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_model, op3_secret_scan, op4_token_files, op5_sharding, op6_toxicity, op7_near_dedup, op8_quality_rules, op9_quality_classifier, op10_bpe, op11_main_text, op12_conversations, op13_collocations)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontamination.ORACLE_SQL, "op5_sharding": SHARDING_SQL, "op12_conversations": conversations.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
