@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.similarity import bounded, rounded
-from weftlink.plans.model import Rules, check_policy
+from weftlink.plans.model import Invalid, Rules, check_policy
 
 
 def ranked(scored: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -60,6 +60,23 @@ def automatic(kept: DataFrame, policy: str = "assignment-one-to-one-conservative
     return legacy(kept) if check_policy(policy) == "assignment-legacy-v1" else conservative(kept)
 
 
+def violations(kept: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of either side that more than one SAME decision claims, with the claiming candidates."""
+    same = kept.join(decisions.where("decision = 'same_entity'").select("candidate_id"), "candidate_id", "left_semi")
+    claims = same.select(F.explode(F.array(F.struct(F.lit("A").alias("side"), F.col("a_row_id").alias("row_id")), F.struct(F.lit("B").alias("side"), F.col("b_row_id").alias("row_id")))).alias("x"), "candidate_id").select("x.*", "candidate_id")
+    found = claims.groupBy("side", "row_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("candidate_id")), ",").alias("candidates")).where("n > 1")
+    return found.withColumn("code", F.lit("one_to_one_integrity_violation"))
+
+
+def checked_links(kept: DataFrame, auto: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The effective links; refuses decisions that claim a row twice, or name a candidate that isn't kept."""
+    if not violations(kept, decisions).isEmpty():
+        raise Invalid("one_to_one_integrity_violation: a row is in more than one confirmed link")
+    if not decisions.where("decision = 'same_entity'").join(kept.select("candidate_id"), "candidate_id", "left_anti").isEmpty():
+        raise Invalid("one_to_one_integrity_violation: a confirmed candidate isn't in the match")
+    return effective_links(kept, auto, decisions)
+
+
 def effective_links(kept: DataFrame, auto: DataFrame, decisions: DataFrame) -> DataFrame:
     """People's SAME decisions first, then automatic pairs that they neither rejected nor took a side of.
 
