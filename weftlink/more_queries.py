@@ -308,12 +308,6 @@ _VARIANTS = " UNION ALL ".join(["SELECT 'full' AS variant, true AS ok, * FROM by
 add("evl20_ablations", "truth", f", bys AS (SELECT r.a_row_id, r.b_row_id, list(DISTINCT blocker_id) AS bl, any_value(t.a_row_id) AS hit FROM related r LEFT JOIN truth t ON t.a_row_id = r.a_row_id AND t.b_row_id = r.b_row_id GROUP BY r.a_row_id, r.b_row_id) SELECT variant, count(*) AS pairs, count(hit) AS true_pairs FROM ({_VARIANTS}) WHERE ok GROUP BY variant", lambda w: evaluate.ablations(_related(w), w.truth, BLOCKERS))
 _IMPACT = lambda src, name: f"SELECT '{name}' AS policy, CAST(coalesce(sum(n), 0) AS BIGINT) AS auto, CAST(coalesce(sum(t), 0) AS BIGINT) AS true_links, count(*) FILTER (n > 1) AS double_b FROM (SELECT l.b_row_id, count(*) AS n, count(t.a_row_id) AS t FROM {src} l LEFT JOIN truth t ON t.a_row_id = l.a_row_id AND t.b_row_id = l.b_row_id GROUP BY l.b_row_id)"
 add("evl23_one_to_one_impact", "truth", _IMPACT("(SELECT * FROM kept WHERE rank = 1 AND band = 'auto_match')", "legacy") + " UNION ALL " + _IMPACT("auto", "conservative"), lambda w: evaluate.one_to_one_impact(w.m.kept, decide.legacy(w.m.kept), w.m.automatic, w.truth))
-add(
-    "evl26_demand", "truth",
-    """SELECT cause, count(*) AS items, count(t) AS top_true FROM (SELECT CASE WHEN contradiction THEN 'contradiction' WHEN collision THEN 'collision' WHEN score < 0.5 THEN 'low_score' WHEN agreements < 2 THEN 'few_agreements' WHEN margin < 0.04 THEN 'narrow_margin' ELSE 'shared_b' END AS cause, t.a_row_id AS t
-    FROM kept k LEFT JOIN truth t ON t.a_row_id = k.a_row_id AND t.b_row_id = k.b_row_id WHERE rank = 1 AND k.a_row_id NOT IN (SELECT a_row_id FROM auto)) GROUP BY cause""",
-    lambda w: evaluate.demand(w.m.kept, w.m.automatic, w.truth),
-)
 add("evl24_collision_catalog", "truth", ", e AS (SELECT k.kind, b_row_id, t FROM (SELECT substr(k.a_row_id, 11, 1) AS kind, k.b_row_id, t.a_row_id AS t FROM kept k LEFT JOIN truth t ON t.a_row_id = k.a_row_id AND t.b_row_id = k.b_row_id) k), g AS (SELECT kind, b_row_id, count(*) AS n, count(t) AS t FROM e GROUP BY ALL) SELECT kind AS case_id, CAST(sum(n) AS BIGINT) AS links, CAST(sum(t) AS BIGINT) AS true_links, count(*) FILTER (n > 1) AS double_b FROM g GROUP BY ROLLUP (kind)",
     lambda w: evaluate.collision_catalog(w.m.kept.join(w.truth.withColumn("is_true", F.lit(True)), ["a_row_id", "b_row_id"], "left").select(F.substring("a_row_id", 11, 1).alias("case_id"), "a_row_id", "b_row_id", F.coalesce("is_true", F.lit(False)).alias("is_true"))))
 

@@ -124,17 +124,6 @@ def one_to_one_impact(kept: DataFrame, legacy: DataFrame, conservative: DataFram
     return one(legacy, "legacy").unionByName(one(conservative, "conservative"))
 
 
-def demand(kept: DataFrame, auto: DataFrame, truth: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Why A rows need a person: one cause each, by whether their first pair is true."""
-    owners = kept.groupBy("b_row_id").agg(F.count_distinct("a_row_id").alias("owners"))
-    rest = kept.where("rank = 1").join(auto.select("a_row_id"), "a_row_id", "left_anti").join(owners, "b_row_id").join(truth.withColumn("is_true", F.lit(True)), _PAIR, "left")
-    cause = (
-        F.when(F.col("contradiction"), "contradiction").when(F.col("collision"), "collision").when(F.col("score") < rules.auto, "low_score")
-        .when(F.col("agreements") < rules.agreements, "few_agreements").when(F.col("margin") < rules.margin, "narrow_margin").otherwise("shared_b")
-    )
-    return rest.groupBy(cause.alias("cause")).agg(F.count("*").alias("items"), F.count("is_true").alias("top_true"))
-
-
 def sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     """Sittings of each user in an event log: a gap starts a new one; length and events of each."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a time without zone is the session zone's
