@@ -6,8 +6,9 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
-from weftlink.llm.collocations import collocations
+from weftlink.llm.collocations import _ascii_lower, collocations
 
 SCHEMA = "doc_id long, lang string, text string, phrase string, f long"
 
@@ -54,3 +55,11 @@ def test_against_brute_force(spark, max_n, least, top):
 
 def test_empty_table(spark):
     assert collocations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_only_ascii_is_lowered(spark):
+    """Every character beside a capital of A-Z, so that both ways are met."""
+    every = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343").selectExpr("concat('Ab', decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32'), 'Z') AS t")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    assert every.count() > 1_000_000
+    assert every.where(_ascii_lower(F.col("t")) != F.translate("t", capitals, capitals.lower())).count() == 0

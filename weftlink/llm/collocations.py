@@ -26,27 +26,31 @@ from .common import written
 FILTER_WORDS = (1 << 12, 1 << 23)
 
 
-def _ascii_lower(w: Column) -> Column:
-    """A-Z to a-z; only words with other characters take the slow way."""
+#: Characters but those that lower-casing is known not to change, beside ASCII's own.
+_OTHERS = r"[^\x00-\x7F\p{Ll}\p{Lo}\p{M}\p{P}\p{Nd}\p{Zs}\p{Sc}]"
+
+
+def _ascii_lower(c: Column) -> Column:
+    """A-Z to a-z; only texts with other capitals, or unknown characters, take the slow way."""
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, capitals, capitals.lower()))
+    return F.when((F.octet_length(c) != F.char_length(c)) & c.rlike(_OTHERS), F.translate(c, capitals, capitals.lower())).otherwise(F.lower(c))
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang and the array of words of each piece that has any."""
+    """lang and the array of words of each piece that has any. No lambda functions here or below, so all is compiled."""
     parts = F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[.,;:!?\x0A-\x0D]+"))
-    words = F.filter(F.split("piece", r"[ \t]+"), lambda w: w != "")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), parts.alias("piece")).select("lang", words.alias("words")).where("size(words) > 0").select("lang", F.transform("words", _ascii_lower).alias("words"))
+    trimmed = docs.select(lang.alias("lang"), parts.alias("piece")).select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
+    return trimmed.select("lang", F.split(_ascii_lower(F.col("piece")), r"[ \t]+").alias("words"))
 
 
 def _probe(shift: int, size: int) -> tuple[str, str]:
     return f"CAST(shiftrightunsigned(seed, {shift}) & {size - 1} AS INT)", f"shiftleft(1L, CAST(shiftrightunsigned(seed, {shift + 24}) & 63 AS INT))"
 
 
-def _filter(frequent: DataFrame, size: int) -> DataFrame:
-    """One row: an array of 64-bit words with two bits of each (lang, phrase)."""
-    seeds = frequent.select(F.xxhash64("lang", "phrase").alias("seed"))
+def _filter(frequent: DataFrame, words: int, size: int) -> DataFrame:
+    """One row: an array of 64-bit words with two bits of each (lang, the phrase's words)."""
+    seeds = frequent.select(F.xxhash64("lang", *[F.get(F.split("phrase", " "), F.lit(i)) for i in range(words)]).alias("seed"))
     probes = [seeds.select(F.expr(w).alias("word"), F.expr(b).alias("bit")) for w, b in (_probe(s, size) for s in (0, 32))]
     used = probes[0].union(probes[1]).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     full = seeds.sparkSession.range(size).select(F.col("id").cast("int").alias("word")).join(used, "word", "left")
@@ -60,11 +64,6 @@ def _size(n: int) -> int:
     return size
 
 
-def _runs(n: int) -> str:
-    """SQL for the array of all runs of n words."""
-    return f"transform(sequence(1, size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' '))" if n > 1 else "words"
-
-
 def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
 
@@ -78,12 +77,14 @@ def counts(docs: DataFrame, max_n: int = 4, least: int = 30, text_col: str = "te
     tables = [level]
     for n in range(2, max_n + 1):
         size = _size(level.count())
-        # both parts of a run must be frequent; `parts` holds the seeds of all runs of n - 1 words
-        passed = " AND ".join(f"get(bits, {w}) & {b} <> 0" for w, b in (_probe(s, size) for s in (0, 32)))
-        some = split.where(F.size("words") >= n).withColumn("bits", _filter(level, size).scalar())
-        some = some.withColumn("ok", F.expr(f"transform({_runs(n - 1)}, p -> exists(array(xxhash64(lang, p)), seed -> {passed}))"))
-        at = f"filter(sequence(1, size(words) - {n - 1}), i -> get(ok, i - 1) AND get(ok, i))"
-        runs = some.select("lang", F.explode(F.expr(f"transform({at}, i -> array_join(slice(words, i, {n}), ' '))")).alias("phrase"))
+        # both parts of a run must be frequent
+        some = split.where(F.size("words") >= n).withColumn("bits", _filter(level, n - 1, size).scalar()).select("lang", "words", "bits", F.posexplode("words").alias("at", "word"))
+        word = lambda i: F.get("words", F.col("at") + i)
+        some = some.where(F.col("at") + n <= F.size("words"))
+        for first in (0, 1):
+            some = some.withColumn("seed", F.xxhash64("lang", *[word(i) for i in range(first, first + n - 1)]))
+            some = some.where(" AND ".join(f"get(bits, {w}) & {b} <> 0" for w, b in (_probe(s, size) for s in (0, 32))))
+        runs = some.select("lang", F.concat_ws(" ", *[word(i) for i in range(n)]).alias("phrase"))
         level = written(_counted(runs).where(F.col("f") >= least), f"runs{n}")
         tables.append(level)
     return totals, [t.withColumn("words", F.lit(n)) for n, t in enumerate(tables, 1)]
