@@ -24,9 +24,9 @@ def test_csv_reader(spark, tmp_path):
 
 
 def test_defended_cells(spark):
-    values = ["=1+1", "-5", "+1.5", "\t@x", "plain", 'a"b', "a,b", None]
+    values = ["=1+1", "-5", "+1.5", "-1.5e3", ".5", "-5x", "\u200b\uff1d1", "\t@x", "plain", 'a"b', "a,b", None]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(sinks.cell(F.col("v"))).collect()]
-    assert got == ["'=1+1", "-5", "+1.5", "'\t@x", "plain", '"a""b"', '"a,b"', ""]
+    assert got == ["'=1+1", "-5", "'+1.5", "-1.5e3", ".5", "'-5x", "'\u200b\uff1d1", "'\t@x", "plain", '"a""b"', '"a,b"', ""]
 
 
 def test_manifest_round_trip():

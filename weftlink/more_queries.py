@@ -140,7 +140,7 @@ _TESTS = {"unresolved": "state = 'needs_review'", "all": "true", "deferred": "st
 add("flt01_filters", "review", " UNION ALL ".join(f"SELECT '{k}' AS filter, a_row_id FROM items WHERE {v}" for k, v in _TESTS.items()), lambda w: _union(review.filtered(w.items, w.m.fields, k).select(F.lit(k).alias("filter"), "a_row_id") for k in review.FILTERS))
 add(
     "flt02_search", "review",
-    " UNION ALL ".join(f"SELECT '{q}' AS query, a_row_id FROM items LEFT JOIN (SELECT candidate_id, a_value, b_value FROM fields WHERE kind = 'name_or_title') n USING (candidate_id) WHERE contains(lower(a_row_id), '{q}') OR contains(lower(b_row_id), '{q}') OR contains(lower(a_value), '{q}') OR contains(lower(b_value), '{q}')" for q in ("7", "harbor", "nowhere")),
+    " UNION ALL ".join(f"SELECT '{q}' AS query, a_row_id FROM items LEFT JOIN (SELECT candidate_id, a_value, b_value FROM fields WHERE kind = 'name') n USING (candidate_id) WHERE contains(lower(a_row_id), '{q}') OR contains(lower(b_row_id), '{q}') OR contains(lower(a_value), '{q}') OR contains(lower(b_value), '{q}')" for q in ("7", "harbor", "nowhere")),
     lambda w: _union(review.filtered(w.items, w.m.fields, "all", q).select(F.lit(q.strip().lower()).alias("query"), "a_row_id") for q in ("7", " Harbor", "nowhere")),
 )
 _SORT_SQL = {"ambiguity": "top_margin, score DESC, a_row_id", "score_desc": "score DESC, a_row_id", "score_asc": "score, a_row_id", "candidate_count": "candidates DESC, a_row_id", "source": "a_row_id"}
@@ -240,7 +240,7 @@ add(
 )
 
 
-@query("snk04_defended_cells", f"""{O.chain('sources')} SELECT row_id, value, CASE WHEN regexp_matches(value, '^[+-]?[0-9]+([.][0-9]+)?$') THEN value WHEN regexp_matches(value, '^[ ]*[=+@-]') THEN chr(39) || value ELSE value END AS defended
+@query("snk04_defended_cells", f"""{O.chain('sources')} SELECT row_id, value, CASE WHEN regexp_matches(value, '^-?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?$') THEN value WHEN regexp_matches(value, '^[ ]*[=+@-]') THEN chr(39) || value ELSE value END AS defended
   FROM (SELECT row_id, CASE CAST(entity_id % 4 AS INTEGER) WHEN 0 THEN '=' || name WHEN 1 THEN balance WHEN 2 THEN '  @' || name ELSE name END AS value FROM a_src)""")
 def snk04_defended_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _ = sources(spark, sf_dir)

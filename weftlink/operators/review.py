@@ -137,7 +137,7 @@ FILTERS = ("unresolved", "all", "deferred", "collision", "contradiction", "multi
 
 
 def filtered(items: DataFrame, fields: DataFrame, only: str = "unresolved", search: str = "") -> DataFrame:
-    """Items of a filter, and of a substring, in any case, of either id or of either side's name in the evidence."""
+    """Items of a filter, and of a substring, in any case, of either id or of either side's value of kind `name`, which mappings without a family have."""
     against = fields.where("minus > 0").select("candidate_id", F.lit(True).alias("against")).distinct()
     found = items.join(against, "candidate_id", "left") if only == "contradiction" else items
     tests = {
@@ -148,7 +148,7 @@ def filtered(items: DataFrame, fields: DataFrame, only: str = "unresolved", sear
     wanted = search.strip().lower()
     if not wanted:
         return found
-    names = fields.where("kind = 'name_or_title'").groupBy("candidate_id").agg(F.min_by(F.struct("a_value", "b_value"), "place").alias("name"))
+    names = fields.where("kind = 'name'").groupBy("candidate_id").agg(F.min_by(F.struct("a_value", "b_value"), "place").alias("name"))
     found = found.join(names, "candidate_id", "left")
     texts = [F.col("a_row_id"), F.col("b_row_id"), F.col("name.a_value"), F.col("name.b_value")]
     return found.where(F.array_max(F.array(*[F.coalesce(F.lower(t).contains(wanted), F.lit(False)) for t in texts]))).drop("name")
@@ -220,7 +220,7 @@ def detail(kept: DataFrame, links: DataFrame, decisions: DataFrame, items: DataF
 def conflict_page(previewed: DataFrame, links: DataFrame, status: str = "all", offset: int = 0, limit: int = DEFAULT_PAGE) -> DataFrame:
     """A page of the field conflicts of linked pairs, all, unresolved or resolved, in the order of their ids."""
     rows = previewed.join(links.select("candidate_id", "a_row_id", "b_row_id"), "candidate_id")
-    tests = {"all": F.lit(True), "unresolved": F.col("resolution").isNull(), "resolved": F.col("resolution").isNotNull()}
+    tests = {"all": F.lit(True), "unresolved": F.col("chosen").isNull(), "resolved": F.col("chosen").isNotNull()}
     return page(rows.where(tests[status]), ["conflict_id"], offset, limit)
 
 

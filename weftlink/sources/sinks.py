@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from weftlink.plans.model import Invalid, canonical_hash
 
-# A cell starts a formula if, after white space, zero-width and control characters, one of these follows.
-_DANGER = r"^[\s​‌‍⁠﻿\u0000-\u001F]*[=+\-@＝＋－＠]|^[\t\r\n]"
-_PLAIN_NUMBER = r"^[+-]?\d+(\.\d+)?$"
+# A cell starts a formula if, after white space, invisible and control characters, one of these follows.
+_DANGER = r"^[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF\u200B\u2060\p{Cc}]*[=+\-@\uFF1D\uFF0B\uFF0D\uFF20]|^[\t\r\n]"
+_PLAIN_NUMBER = r"(?i)^-?(\d+(\.\d*)?|\.\d+)(e[-+]?\d+)?$"
 
 
 def defended(c: Column) -> Column:
-    """The cell, with an apostrophe before what a spreadsheet would run; plain signed numbers stay."""
+    """The cell, with an apostrophe before what a spreadsheet would run; plain numbers stay, also with a minus or an exponent."""
     return F.when(c.rlike(_PLAIN_NUMBER), c).when(c.rlike(_DANGER), F.concat(F.lit("'"), c)).otherwise(c)
 
 
@@ -28,9 +28,14 @@ def cell(c: Column) -> Column:
     return F.when(d.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(d, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(d)
 
 
+def line(columns: Sequence[str]) -> Column:
+    """A row's columns as one line of CSV."""
+    return F.concat_ws(",", *[cell(F.col(f"`{c}`")) for c in columns])
+
+
 def csv_lines(df: DataFrame) -> DataFrame:
     """One column, line, of the rows as CSV; write it with write_csv."""
-    return df.select(F.concat_ws(",", *[cell(F.col(c)) for c in df.columns]).alias("line"))
+    return df.select(line(df.columns).alias("line"))
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
