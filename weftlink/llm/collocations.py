@@ -1,9 +1,10 @@
 """Phrase collocations: contiguous word runs counted per language, scored at their weakest cut, with DataFrame expressions.
 
 Texts are lower-cased in A-Z and split at `[.,;:!?]` and U+000A-000D into pieces, these at spaces and tabs into words. Runs
-of 1 to `max_n` words of a piece become rows and are hash-aggregated, level by level: a run can only reach `least` if the
-runs in it do, so before the shuffle each level passes a Bloom filter of the frequent runs of the level below (it lets
-some others pass, and drops none that counts). A filter's size is bounded and no result rests on it.
+of 1 to `max_n` words of a piece become rows and are hash-aggregated: words, then pairs, then longer runs. A run can only
+reach `least` if the runs in it do, so before the shuffle pairs pass a Bloom filter of the frequent words, and longer runs
+one of the frequent pairs (they let some others pass, and drop none that counts). A filter's size is bounded and no result
+rests on it.
 
 A phrase of two or more words found `least` times is a candidate. Each cut of it into two parts gives
 floor(2000000 * a / (l + r)) in decimals, and the lowest one counts, the first on ties. A candidate goes if a run longer by
@@ -68,26 +69,40 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
 
 
+def _passes(seed: Column, size: int, name: str) -> tuple[Column, str]:
+    """A seed column's name and the SQL that looks it up in the column bits."""
+    return seed.alias(name), " AND ".join(f"get(bits, {w.replace('seed', name)}) & {b.replace('seed', name)} <> 0" for w, b in (_probe(s, size) for s in (0, 32)))
+
+
 def counts(docs: DataFrame, max_n: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, n) of all words, and for 1 to max_n words a written table (lang, phrase, f, words) of the runs found `least` times."""
+    """(lang, n) of all words, and tables (lang, phrase, f, words) of the runs found `least` times: words, pairs, and longer runs.
+
+    Three passes over the texts: pairs look up their words, and all longer runs their pairs, in a filter of the level below.
+    """
     split = pieces(docs, text_col, lang_col)
     every = written(_counted(split.select("lang", F.explode("words").alias("phrase"))), "words")
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     level = every.where(F.col("f") >= least)
-    tables = [level]
-    for n in range(2, max_n + 1):
+    tables = [level.withColumn("words", F.lit(1))]
+    word = lambda i: F.get("words", F.col("at") + i)
+    for part, longest in ((1, min(2, max_n)), (2, max_n)):
+        if longest <= part:
+            continue
         size = _size(level.count())
-        # both parts of a run must be frequent
-        some = split.where(F.size("words") >= n).withColumn("bits", _filter(level, n - 1, size).scalar()).select("lang", "words", "bits", F.posexplode("words").alias("at", "word"))
-        word = lambda i: F.get("words", F.col("at") + i)
-        some = some.where(F.col("at") + n <= F.size("words"))
-        for first in (0, 1):
-            some = some.withColumn("seed", F.xxhash64("lang", *[word(i) for i in range(first, first + n - 1)]))
-            some = some.where(" AND ".join(f"get(bits, {w}) & {b} <> 0" for w, b in (_probe(s, size) for s in (0, 32))))
-        runs = some.select("lang", F.concat_ws(" ", *[word(i) for i in range(n)]).alias("phrase"))
-        level = written(_counted(runs).where(F.col("f") >= least), f"runs{n}")
-        tables.append(level)
-    return totals, [t.withColumn("words", F.lit(n)) for n, t in enumerate(tables, 1)]
+        some = split.where(F.size("words") > part).withColumn("bits", _filter(level, part, size).scalar()).select("lang", "words", "bits", F.posexplode("words").alias("at", "word"))
+        some = some.where(F.col("at") + part < F.size("words"))
+        for k in range(2):  # the first two parts of a run must be frequent
+            seed, passed = _passes(F.xxhash64("lang", *[word(i) for i in range(k, k + part)]), size, f"s{k}")
+            some = some.withColumn(f"s{k}", seed).where(passed)
+        runs = [F.concat_ws(" ", *[word(i) for i in range(part + 1)])]
+        for n in range(part + 2, longest + 1):  # and each further one of a longer run
+            seed, passed = _passes(F.xxhash64("lang", *[word(i) for i in range(n - part, n)]), size, f"s{n}")
+            some = some.withColumn(f"s{n}", seed).withColumn(f"ok{n}", F.expr(passed) & (F.col("at") + n <= F.size("words")) & (F.col(f"ok{n - 1}") if n > part + 2 else F.lit(True)))
+            runs.append(F.when(F.col(f"ok{n}"), F.concat_ws(" ", *[word(i) for i in range(n)])))
+        phrases = some.select("lang", runs[0].alias("phrase")) if len(runs) == 1 else some.select("lang", F.explode(F.array(*runs)).alias("phrase")).where("phrase IS NOT NULL")
+        level = written(_counted(phrases).where(F.col("f") >= least), f"runs{longest}")
+        tables.append(level.withColumn("words", F.size(F.split("phrase", " "))))
+    return totals, tables
 
 
 def _part(first: Column, count: Column) -> Column:
