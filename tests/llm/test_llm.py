@@ -253,7 +253,7 @@ def test_quality_bands_are_fitted(spark):
     docs = [(i, " ".join(rng.choice(words) for _ in range(60)), "s") for i in range(400)]
     docs += [(400, " ".join("zqxjkvw" + str(i * 7919) for i in range(60)), "s"), (401, " ".join(str(i * 99991) for i in range(80)), "s"), (402, "a b", "s")]
     df = spark.createDataFrame(docs, "doc_id long, text string, `_measures` string")
-    loose = quality_rules.Rules(rules.vocabularies, tail=0.004, fit_from=100)
+    loose = quality_rules.Rules(rules.vocabularies, tail=0.004)
     rows = {r.doc_id: r for r in quality_rules.quality_rules(df, loose).collect()}
     assert not rows[400].kept and not rows[400].base_failed and not rows[401].kept and not rows[402].kept
     assert sum(r.kept for r in rows.values()) >= 380

@@ -4,8 +4,9 @@ Each distinct word is encoded once with every vocabulary: SentencePiece models t
 ranks, whose single bytes of longer characters count as fallbacks. A document is measured, for each vocabulary, by
 characters per token, the share of tokens that are byte fallbacks, and the entropy of its tokens over the greatest that
 their number allows. Bands of these are fitted for each script: from all documents of the input that pass the base rule,
-what lies beyond the `tail` quantiles at either end (for byte fallbacks at the upper) is rejected. A script of fewer
-than `fit_from` such documents, and documents without letters, are judged by the fixed bands of `Rules`.
+what lies beyond the `tail` quantiles at either end (for byte fallbacks at the upper) is rejected; exact quantiles at
+every size, so of a few documents all are inside. The fixed bands of `Rules` judge documents without letters, and a
+script without any document to fit to.
 
 Counts are exact: bands come from histograms whose size is bounded by scripts, measures and bins.
 
@@ -58,7 +59,6 @@ class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
     tail: float = 0.0005
-    fit_from: int = 1000
     bands: dict = field(default_factory=_bands)
 
     def schema(self) -> str:
@@ -236,7 +236,7 @@ def fitted(measured: DataFrame, rules: Rules) -> dict[str, list[tuple[int, int]]
             low, high = rules.bands[script][MEASURES.index(column.rsplit("_", 1)[1])]
             bins = sorted(seen.get((script, i), {}).items())
             total = sum(n for _, n in bins)
-            if total >= rules.fit_from and script != "none":
+            if total and script != "none":
                 ends = np.cumsum([n for _, n in bins])
                 out[script].append((0 if column.endswith("_bytes") else bins[int(np.searchsorted(ends, rules.tail * total, side="right"))][0], bins[int(np.searchsorted(ends, (1 - rules.tail) * total))][0]))
             else:
