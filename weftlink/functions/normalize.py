@@ -1,7 +1,7 @@
 """Normalizers and tokenisers as column expressions; they stay in the JVM for ASCII text.
 
-Compatibility forms and case folding of other scripts have no built-in; `unicode=True` sends a column through one
-vectorised function first.
+Compatibility forms and case folding of other scripts have no built-in. A column that holds other text goes through
+`folded`, one vectorised function, first; the normalizers then take it as it is with `unicode=True`.
 """
 
 from __future__ import annotations
@@ -24,14 +24,22 @@ def folded(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip().casefold())
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def _low(c: Column, unicode: bool) -> Column:
+    return F.coalesce(c if unicode else F.lower(c), F.lit(""))
+
+
 def text(c: Column, unicode: bool = False) -> Column:
     """Lower case, every run of characters other than letters, digits and underscores as one space."""
-    low = folded(c) if unicode else F.lower(c)
-    return F.trim(F.regexp_replace(F.coalesce(low, F.lit("")), r"[^\p{L}\p{N}_]+", " "))
+    low = _low(c, unicode)
+    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}_]+", " "))
 
 
 def digits(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\P{Nd}", "")
 
 
 def phone(c: Column) -> Column:
@@ -41,20 +49,20 @@ def phone(c: Column) -> Column:
     return F.when(F.length(d) < 7, F.lit("")).otherwise(d)
 
 
-def domain(c: Column) -> Column:
+def domain(c: Column, unicode: bool = False) -> Column:
     """The host of a URL or host name without www; nothing if it has no dot or a space."""
-    low = F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    low = F.trim(_low(c, unicode))
     with_scheme = F.when(low.contains("://"), low).otherwise(F.concat(F.lit("//"), low))
     host = F.regexp_extract(with_scheme, r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1)
     host = F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", "")
     return F.when(host.contains(".") & ~host.contains(" "), host).otherwise(F.lit(""))
 
 
-def email(c: Column) -> Column:
+def email(c: Column, unicode: bool = False) -> Column:
     """Lower case without white space; nothing unless it has one @, a local part and a domain."""
-    e = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
+    e = F.regexp_replace(_low(c, unicode), r"[\s\x1C-\x1F\u0085\p{Z}]+", "")
     parts = F.split(e, "@")
-    return F.when((F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & (domain(F.get(parts, F.lit(1))) != ""), e).otherwise(F.lit(""))
+    return F.when((F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & (domain(F.get(parts, F.lit(1)), unicode) != ""), e).otherwise(F.lit(""))
 
 
 def email_domain(c: Column) -> Column:
@@ -66,9 +74,9 @@ def name(c: Column, unicode: bool = False) -> Column:
     return F.trim(F.regexp_replace(text(c, unicode), f"(?:(?:^| )(?:{'|'.join(SUFFIXES)}))+$", ""))
 
 
-def postal(c: Column) -> Column:
+def postal(c: Column, unicode: bool = False) -> Column:
     """Letters and digits of the text; its first five if they are digits."""
-    p = F.regexp_replace(text(c), "[^a-z0-9]", "")
+    p = F.regexp_replace(text(c, unicode), "[^a-z0-9]", "")
     return F.when(p.rlike("^[0-9]{5}"), F.substring(p, 1, 5)).otherwise(p)
 
 
@@ -81,7 +89,7 @@ def address(c: Column, unicode: bool = False) -> Column:
 
 def address_number(normal: Column) -> Column:
     """The first token of a normalized address if it is all digits."""
-    return F.regexp_extract(normal, r"^(\d+)(?: |$)", 1)
+    return F.regexp_extract(normal, r"^(\p{Nd}+)(?: |$)", 1)
 
 
 def tokens(normal: Column) -> Column:
@@ -121,8 +129,9 @@ def of_kind(kind: str, c: Column, unicode: bool = False) -> Column:
         return name(c, unicode)
     if kind == "address":
         return address(c, unicode)
-    chosen = {"email": email, "phone": phone, "domain": domain, "postal": postal}.get(kind)
-    return chosen(c) if chosen else text(c, unicode)
+    if kind == "phone":
+        return phone(c)
+    return {"email": email, "domain": domain, "postal": postal}.get(kind, text)(c, unicode)
 
 
 def missing(c: Column) -> Column:

@@ -7,6 +7,7 @@ key costs two counters and never a product.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,20 @@ from weftlink.functions import normalize as N
 from weftlink.plans.model import STOP_TOKENS, CandidateConfig, Invalid, Mapping, identity
 
 
-def prepared(df: DataFrame, side: str, mappings: Sequence[Mapping], id_column: str = "row_id", unicode: bool = False) -> DataFrame:
-    """row_id, and for each identity mapping its raw value v_<id> and normalized value n_<id>: once for each row, before any join."""
+def prepared(df: DataFrame, side: str, mappings: Sequence[Mapping], id_column: str = "row_id") -> DataFrame:
+    """row_id, and for each identity mapping its raw value v_<id> and normalized value n_<id>: once for each row, before any join.
+
+    Rows of ASCII text only are normalized in the JVM; the others' values are folded first, which is one vectorised pass.
+    """
+    used = identity(mappings)
     column = lambda m: m.a_column if side == "A" else m.b_column
-    raw = [F.coalesce(F.col(column(m)).cast("string"), F.lit("")).alias(f"v_{m.mapping_id}") for m in identity(mappings)]
-    kept = df.select(F.col(id_column).alias("row_id"), *raw)
-    return kept.withColumns({f"n_{m.mapping_id}": N.of_kind(m.kind, F.col(f"v_{m.mapping_id}"), unicode) for m in identity(mappings)})
+    raw = [F.coalesce(F.col(column(m)).cast("string"), F.lit("")).alias(f"v_{m.mapping_id}") for m in used]
+    rows = df.select(F.col(id_column).alias("row_id"), *raw)
+    ascii_only = reduce(lambda x, y: x & y, [N.is_ascii(F.col(f"v_{m.mapping_id}")) for m in used])
+    plain = rows.where(ascii_only).withColumns({f"n_{m.mapping_id}": N.of_kind(m.kind, F.col(f"v_{m.mapping_id}")) for m in used})
+    others = rows.where(~ascii_only).withColumns({f"f_{m.mapping_id}": N.folded(F.col(f"v_{m.mapping_id}")) for m in used})
+    others = others.withColumns({f"n_{m.mapping_id}": N.of_kind(m.kind, F.col(f"f_{m.mapping_id}"), unicode=True) for m in used})
+    return plain.union(others.select(*plain.columns))
 
 
 def _each(values: Column, make) -> Column:

@@ -71,6 +71,18 @@ for _name, (_column, _spark, _sql) in _NORMALIZED.items():
     query(_name, f"{O.chain('sources')} SELECT row_id, {_sql('v')} AS value FROM (SELECT row_id, {_column} AS v FROM a_src UNION ALL SELECT row_id, {_column} FROM b_src)")(_run)
 
 
+_FOLDED = "replace(lower(coalesce(text, '')), 'ß', 'ss')"
+
+
+@query("fn01_unicode_text", f"SELECT doc_id, sha256(trim(regexp_replace({_FOLDED}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))) AS text_sha256, sha256({O.name(_FOLDED)}) AS name_sha256 FROM documents")
+def fn01_unicode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of four languages as text and as names: those of ASCII only stay in the JVM."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("v"))
+    hashed = lambda df, c, unicode: df.select("doc_id", F.sha2(N.text(F.col(c), unicode), 256).alias("text_sha256"), F.sha2(N.name(F.col(c), unicode), 256).alias("name_sha256"))
+    others = docs.where(~N.is_ascii(F.col("v"))).withColumn("f", N.folded(F.col("v")))
+    return hashed(docs.where(N.is_ascii(F.col("v"))), "v", False).union(hashed(others, "f", True))
+
+
 @query("src02_row_ids", f"{O.chain('sources')} SELECT 'A' AS side, count(*) AS n_rows, count(DISTINCT row_id) AS n_ids FROM a UNION ALL SELECT 'B', count(*), count(DISTINCT row_id) FROM b")
 def src02_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda df, s: df.agg(F.count("*").alias("n_rows"), F.count_distinct("row_id").alias("n_ids")).select(F.lit(s).alias("side"), "n_rows", "n_ids")
