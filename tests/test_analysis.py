@@ -144,3 +144,25 @@ def test_exported_parts_are_ranges_of_the_whole(spark, tmp_path):
     layouts.write_reconciliation(rows.repartition(3), (tmp_path / "out").as_uri())
     text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "out").glob("part-*")))
     assert text.split("\r\n")[:-1] == ["identity_status,a_row_id,b_row_id,v", 'same_entity,A2,B2,"a,b"', "different_entity,A3,B4,", "deferred,A4,B5,", "needs_review,A9,B3,-5", 'only_a,A1,,"q"""', "only_b,,B1,'=x"]
+
+
+def test_artifacts_and_the_holdout_s_guard(spark, tmp_path):
+    import json
+
+    from weftlink.sources import artifacts
+
+    keys = dict.fromkeys(baseline.KEYS, "x")
+    one, two = (spark.createDataFrame([("candidate_recall", 1, 2, v), ("review_rate", 0, 0, None)], "metric string, numerator long, denominator long, value double") for v in (0.5, 0.75))
+    errors = spark.createDataFrame([("candidate_misses", "A1"), ("false_unmatched", "A2")], "group string, a_row_id string")
+    out = tmp_path.as_uri() + "/out"
+    assert artifacts.write_artifacts(out, {"new": two, "old": one}, baseline.compared(one, two, keys, keys), {"new": errors}) == ["catalog.json", "errors/new", "report.json", "summary.md"]
+    report = json.loads((tmp_path / "out" / "report.json").read_text())
+    assert [r["delta"] for r in report["comparison"]] == [0.25, None] and report["snapshots"]["new"][0]["value"] == 0.75
+    assert "| candidate_recall | 0.5000 | 0.7500 | 0.2500 |" in (tmp_path / "out" / "summary.md").read_text() and "| review_rate | – | 0 / 0 |" in (tmp_path / "out" / "summary.md").read_text()
+    assert {r.a_row_id for r in spark.read.parquet(out + "/errors/new").where("group = 'false_unmatched'").collect()} == {"A2"}
+    with pytest.raises(Invalid):
+        artifacts.write_artifacts(out, {}, baseline.compared(one, two, keys, keys), {"new": errors})
+    baseline.check_holdout(True, "tune", "holdout")
+    for wrong in ((False, "tune", "holdout"), (True, "same", "same")):
+        with pytest.raises(Invalid):
+            baseline.check_holdout(*wrong)

@@ -87,3 +87,11 @@ def compared(left: DataFrame, right: DataFrame, left_keys: Dict[str, str], right
     both = left.select("metric", F.col("value").alias("version_a")).join(right.select("metric", F.col("value").alias("version_b")), "metric")
     delta = F.lit(None).cast("double") if reasons else F.round(F.col("version_b") - F.col("version_a"), 9)
     return both.select("metric", "version_a", "version_b", delta.alias("delta"), F.lit(not reasons).alias("compatible"), F.lit(" ".join(reasons)).alias("reasons"))
+
+
+def check_holdout(frozen: bool, tuned_on: str, fixture: str) -> None:
+    """A holdout is scored only by a frozen configuration that was tuned on another fixture."""
+    if not frozen:
+        raise Invalid("holdout evaluation needs a frozen configuration")
+    if tuned_on == fixture:
+        raise Invalid("the holdout fixture can't be the tuning fixture")
