@@ -38,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("near-dedup", dedup), ("decontamination", decontaminate), ("secret scan", secrets), ("byte-level BPE", encode)]
-#: The stages' models and tables have no SQL form; a brute-force version stands in the tests.
+#: The stages' models and tables have no SQL form; the tests hold each stage against its operator's own, which they check apart.
 ORACLE_SQL = None
 
 
