@@ -42,7 +42,9 @@ def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     parts = F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[.,;:!?\x0A-\x0D]+"))
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     trimmed = docs.select(lang.alias("lang"), parts.alias("piece")).select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    return trimmed.select("lang", F.split(_ascii_lower(F.col("piece")), r"[ \t]+").alias("words"))
+    low = trimmed.select("lang", _ascii_lower(F.col("piece")).alias("piece"))
+    # single spaces, the common case, need no pattern
+    return low.select("lang", F.when(F.col("piece").contains("  ") | F.col("piece").contains("\t"), F.split("piece", r"[ \t]+")).otherwise(F.split("piece", " ")).alias("words"))
 
 
 def _probe(shift: int, size: int) -> tuple[str, str]:
