@@ -3,7 +3,7 @@
 import pytest
 
 from weftlink.operators import analysis as A
-from weftlink.operators import baseline, study
+from weftlink.operators import baseline, evaluate, study
 from weftlink.plans.model import Invalid
 from weftlink.sources import layouts
 
@@ -166,3 +166,10 @@ def test_artifacts_and_the_holdout_s_guard(spark, tmp_path):
     for wrong in ((False, "tune", "holdout"), (True, "same", "same")):
         with pytest.raises(Invalid):
             baseline.check_holdout(*wrong)
+
+
+def test_a_sitting_ends_to_the_microsecond(spark):
+    rows = [(1, 1, "2024-01-01 00:00:00.1"), (1, 2, "2024-01-01 00:30:00.1"), (1, 3, "2024-01-01 01:00:00.2"), (2, 4, "2024-01-01 00:00:00"), (2, 5, None)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, ts string")
+    got = {(r.user_id, r.sitting): (r.n_events, r.seconds) for r in evaluate.sessions(events).collect()}
+    assert got == {(1, 1): (2, 1800), (1, 2): (1, 0), (2, 1): (2, 0)}
