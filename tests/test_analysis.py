@@ -3,7 +3,7 @@
 import pytest
 
 from weftlink.operators import analysis as A
-from weftlink.operators import baseline, evaluate, study
+from weftlink.operators import baseline, evaluate, review, study
 from weftlink.plans.model import Invalid
 from weftlink.sources import layouts
 
@@ -173,3 +173,10 @@ def test_a_sitting_ends_to_the_microsecond(spark):
     events = spark.createDataFrame(rows, "user_id long, event_id long, ts string")
     got = {(r.user_id, r.sitting): (r.n_events, r.seconds) for r in evaluate.sessions(events).collect()}
     assert got == {(1, 1): (2, 1800), (1, 2): (1, 0), (2, 1): (2, 0)}
+
+
+def test_strongest_field_with_and_without_a_cost_of_places(spark):
+    fields = spark.createDataFrame([("c", "first", 0, 0.300, 0.0), ("c", "last", 5, 0.304, 0.0), ("d", "first", 0, 0.0, 0.0), ("d", "last", 5, 0.0, 0.002)], "candidate_id string, mapping_id string, place int, plus double, minus double")
+    pick = lambda **k: {r.candidate_id: (r.supporting, r.contradicting) for r in review.strongest(fields, **k).collect()}
+    assert pick() == {"c": ("last", None), "d": (None, "last")}
+    assert pick(per_place=1000) == {"c": ("first", None), "d": (None, "last")}
