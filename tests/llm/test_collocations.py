@@ -5,10 +5,12 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftlink.llm.collocations import _ascii_lower, collocations
+from weftlink.llm import collocations as module
+from weftlink.llm.collocations import _ascii_lower, collocations, numbered
 
 SCHEMA = "doc_id long, lang string, text string, phrase string, f long"
 
@@ -63,3 +65,20 @@ def test_only_ascii_is_lowered(spark):
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     assert every.count() > 1_000_000
     assert every.where(_ascii_lower(F.col("t")) != F.translate("t", capitals, capitals.lower())).count() == 0
+
+
+def test_words_of_chunks():
+    texts = [None, "", " .\t,", "Ab\x0bÜ,x", "ab  Ab\ty", "日本. x"]
+    stream, words = numbered(pa.array([(t or "").encode() for t in texts], pa.large_binary()))
+    named = [b"", *words.to_pylist()]
+    assert [named[i].decode() for i in stream] == ["", "ab", "", "Ü", "", "x", "", "ab", "ab", "y", "", "日本", "", "x"]
+
+
+def test_no_result_rests_on_a_filter(spark, monkeypatch):
+    """Filters of 64 bits let nearly all runs pass."""
+    monkeypatch.setattr(module, "FILTER_WORDS", (1, 1))
+    rng = random.Random(9)
+    docs = [(rng.choice(["en", None]), " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(40))) for _ in range(40)]
+    df = spark.createDataFrame([(i, g, t, "clash", 1) for i, (g, t) in enumerate(docs)], SCHEMA)
+    expected = brute(docs, 4, 3, 80, 2000)
+    assert expected and sorted(map(tuple, collocations(df, least=3).collect())) == sorted(expected)

@@ -1,30 +1,43 @@
-"""Phrase collocations: contiguous word runs counted per language, scored at their weakest cut, with DataFrame expressions.
+"""Phrase collocations: contiguous word runs counted per language, scored at their weakest cut.
 
-Texts are lower-cased in A-Z and split at `[.,;:!?]` and U+000A-000D into pieces, these at spaces and tabs into words. Runs
-of 1 to `max_n` words of a piece become rows and are hash-aggregated: words, then pairs, then longer runs. A run can only
-reach `least` if the runs in it do, so before the shuffle pairs pass a Bloom filter of the frequent words, and longer runs
-one of the frequent pairs (they let some others pass, and drop none that counts). A filter's size is bounded and no result
-rests on it.
+Texts are lower-cased in A-Z and split at `[.,;:!?]` and U+000A-000D into pieces, these at spaces and tabs into words. Each
+task writes its texts once as chunks: a row of one language with its distinct words, their hashes, and all its words as
+numbers, where 0 parts pieces. Further passes read chunks only.
+
+A run can only reach `least` if the runs in it do. So level by level, from words to runs of `max_n - 1`, chunks add up the
+occurrences of a run's 64-bit hash, where both runs one word shorter are in the level's filter before, and Spark sums them;
+the hashes that reach `least` make the next filter, a Bloom filter of bounded size. Hashes that meet, and a filter's false
+finds, only let more runs through. The last pass counts the runs that are left by their words, not by hashes, and what has
+less than `least` goes then; so no result rests on a hash or on a filter.
 
 A phrase of two or more words found `least` times is a candidate. Each cut of it into two parts gives
 floor(2000000 * a / (l + r)) in decimals, and the lowest one counts, the first on ties. A candidate goes if a run longer by
 one word holds it and has at least `share` percent of its count; a longer run yet that has them implies one by one word.
 
 Defined results: a null text is empty, a null language is `und`; texts without words give nothing; repeated rows count
-each time; other columns are ignored; empty tables give no rows. The longest text is split by its pieces.
+each time; other columns are ignored; empty tables give no rows. A worker holds one chunk, of a step of text or one longer
+text.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_steps, mix, packed, release, removed, unpacked, written
+from .segments import _LOWER, binary, content
 
 #: The filter has eight to sixteen bits for a run, between these numbers of 64-bit words (32 KB and 64 MB).
 FILTER_WORDS = (1 << 12, 1 << 23)
+#: Bytes of text from which a task writes out the chunks it has gathered; rows of one batch of phrases.
+CHUNK_BYTES, ROWS = 16 << 20, 100_000
 
 
 #: Characters but those that lower-casing is known not to change, beside ASCII's own.
@@ -37,27 +50,142 @@ def _ascii_lower(c: Column) -> Column:
     return F.when((F.octet_length(c) != F.char_length(c)) & c.rlike(_OTHERS), F.translate(c, capitals, capitals.lower())).otherwise(F.lower(c))
 
 
-def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang and the array of words of each piece that has any. No lambda functions here or below, so all is compiled."""
-    parts = F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[.,;:!?\x0A-\x0D]+"))
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    trimmed = docs.select(lang.alias("lang"), parts.alias("piece")).select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    low = trimmed.select("lang", _ascii_lower(F.col("piece")).alias("piece"))
-    # single spaces, the common case, need no pattern
-    return low.select("lang", F.when(F.col("piece").contains("  ") | F.col("piece").contains("\t"), F.split("piece", r"[ \t]+")).otherwise(F.split("piece", " ")).alias("words"))
-
+# Chunks
+
+_CHUNK = "lang string, n long, ends binary, words binary, hashes binary, stream binary"
+#: 0 in a word, 1 between words, 2 between pieces.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 32]] = 1
+_KIND[[*b".,;:!?", *range(10, 14)]] = 2
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of all texts as numbers from 1, with a 0 before each piece that has any, and the distinct words."""
+    raw, at = content(texts)
+    kind = _KIND[raw]
+    solid = kind == 0
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    begins = at[:-1][at[1:] > at[:-1]]
+    first[begins] = solid[begins]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.int32), pa.array([], pa.large_binary())
+    parted = kind == 2
+    parted[begins] = True
+    before = np.cumsum(parted, dtype=np.int32)[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = before[1:] > before[:-1]
+    edges = np.append((np.cumsum(solid, dtype=np.int32) - 1)[starts], int(solid.sum()))
+    coded = pc.dictionary_encode(binary(_LOWER[raw[solid]], edges))
+    place = np.arange(len(starts)) + np.cumsum(new)
+    stream = np.zeros(place[-1] + 1, np.int32)
+    stream[place] = coded.indices.to_numpy(zero_copy_only=False) + 1
+    return stream, coded.dictionary
+
+
+def _chunk_row(lang: str, parts: list[tuple[np.ndarray, pa.Array]]) -> pa.RecordBatch:
+    coded = pc.dictionary_encode(pa.concat_arrays([d for _, d in parts]))
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1
+    ends = np.cumsum([len(d) for _, d in parts])
+    stream = np.concatenate([np.append(np.int32(0), numbers[e - len(d) : e])[x] for (x, d), e in zip(parts, ends.tolist(), strict=True)])
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    raw, at = content(coded.dictionary)
+    row = [packed(np.diff(at).astype(np.uint32)), packed(raw), hashes.tobytes(), packed(stream.astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int((stream > 0).sum())], pa.int64()), *[pa.array([x], pa.binary()) for x in row]], names=[x.split()[0] for x in _CHUNK.split(", ")])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _CHUNK from lang and text."""
+    held, found = 0, defaultdict(list)
+    for part, texts in arrow_steps(batches):
+        langs = pc.dictionary_encode(part.column("lang"))
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            stream, words = numbered(texts.filter(pc.equal(langs.indices, i)))
+            if len(stream):
+                found[lang].append((stream, words))
+        held += len(content(texts)[0])
+        if held >= CHUNK_BYTES:
+            yield from (_chunk_row(*x) for x in found.items())
+            held, found = 0, defaultdict(list)
+    yield from (_chunk_row(*x) for x in found.items())
+    release()
+
+
+class Chunk:
+    """A chunk's words, and where its runs lie that pass the filters of the levels below."""
+
+    def __init__(self, row: dict):
+        self.lang = row["lang"]
+        self.words = binary(unpacked(row["words"], np.uint8), np.append(0, np.cumsum(unpacked(row["ends"], np.uint32), dtype=np.int64)))
+        self.hashes = np.append(np.uint64(0), np.frombuffer(row["hashes"], np.uint64))
+        self.stream = unpacked(row["stream"], np.uint32).astype(np.int32)
+        self.seed = np.uint64(xxhash.xxh3_64_intdigest(self.lang.encode()))
+
+    def seeds(self, at: np.ndarray, n: int) -> np.ndarray:
+        """64-bit hashes of the language and the `n` words from each place."""
+        out = np.full(len(at), self.seed)
+        for i in range(n):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.stream[at + i]])
+        return out
+
+    def levels(self, filters: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each level the places of its runs whose shorter runs pass, and those of them that pass the level's own filter, while there is one."""
+        at = np.flatnonzero(self.stream > 0)
+        for n in range(1, len(filters) + 2):
+            if n > len(filters):
+                yield at, at
+                return
+            if n == 1:
+                known = np.append(False, passes(self.word_seeds(), filters[0]))
+                good = at[known[self.stream[at]]]
+            else:
+                good = at[passes(self.seeds(at, n), filters[n - 1])]
+            yield at, good
+            # a longer run starts where two of these stand beside each other
+            at = good[:-1][good[1:] == good[:-1] + 1]
+
+    def word_seeds(self) -> np.ndarray:
+        return mix(np.full(len(self.hashes) - 1, self.seed) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[1:])
+
+    def seed_counts(self, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the level after the filters', and how often each occurs."""
+        if not filters:
+            return self.word_seeds(), np.bincount(self.stream, minlength=len(self.hashes))[1:]
+        *_, (at, _) = self.levels(filters)
+        return np.unique(self.seeds(at, len(filters) + 1), return_counts=True)
+
+    def phrases(self, filters: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+        """Words, phrases and counts of the runs that pass, told apart by their words' numbers."""
+        known = np.zeros(len(self.stream), np.int64)
+        for n, (_, at) in enumerate(self.levels(filters), 1):
+            key = known[at] * (len(self.words) + 1) + self.stream[at + n - 1]
+            _, one, where, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            known[at] = where
+            for a in range(0, len(one), ROWS):
+                words = [self.words.take(pa.array(self.stream[at[one[a : a + ROWS]] + i] - 1)) for i in range(n)]
+                yield n, pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())), counts[a : a + ROWS]
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Chunk(batch.slice(i, 1).to_pylist()[0])
+    release()
+
+
+# Filters
 
 def _probe(shift: int, size: int) -> tuple[str, str]:
     return f"CAST(shiftrightunsigned(seed, {shift}) & {size - 1} AS INT)", f"shiftleft(1L, CAST(shiftrightunsigned(seed, {shift + 24}) & 63 AS INT))"
 
 
-def _filter(frequent: DataFrame, words: int, size: int) -> DataFrame:
-    """One row: an array of 64-bit words with two bits of each (lang, the phrase's words)."""
-    seeds = frequent.select(F.xxhash64("lang", *[F.get(F.split("phrase", " "), F.lit(i)) for i in range(words)]).alias("seed"))
-    probes = [seeds.select(F.expr(w).alias("word"), F.expr(b).alias("bit")) for w, b in (_probe(s, size) for s in (0, 32))]
-    used = probes[0].union(probes[1]).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    full = seeds.sparkSession.range(size).select(F.col("id").cast("int").alias("word")).join(used, "word", "left")
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bits"))
+def passes(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether both of a seed's bits, as of _probe, are set."""
+    out, u = np.ones(len(seeds), bool), np.uint64
+    for shift in (0, 32):
+        out &= (bits[((seeds >> u(shift)) & u(len(bits) - 1)).astype(np.int64)] >> ((seeds >> u(shift + 24)) & u(63))) & u(1) > 0
+    return out
 
 
 def _size(n: int) -> int:
@@ -67,44 +195,56 @@ def _size(n: int) -> int:
     return size
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
-
-
-def _passes(seed: Column, size: int, name: str) -> tuple[Column, str]:
-    """A seed column's name and the SQL that looks it up in the column bits."""
-    return seed.alias(name), " AND ".join(f"get(bits, {w.replace('seed', name)}) & {b.replace('seed', name)} <> 0" for w, b in (_probe(s, size) for s in (0, 32)))
-
-
-def counts(docs: DataFrame, max_n: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, n) of all words, and tables (lang, phrase, f, words) of the runs found `least` times: words, pairs, and longer runs.
-
-    Three passes over the texts: pairs look up their words, and all longer runs their pairs, in a filter of the level below.
-    """
-    split = pieces(docs, text_col, lang_col)
-    every = written(_counted(split.select("lang", F.explode("words").alias("phrase"))), "words")
-    totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
-    level = every.where(F.col("f") >= least)
-    tables = [level.withColumn("words", F.lit(1))]
-    word = lambda i: F.get("words", F.col("at") + i)
-    for part, longest in ((1, min(2, max_n)), (2, max_n)):
-        if longest <= part:
-            continue
-        size = _size(level.count())
-        some = split.where(F.size("words") > part).withColumn("bits", _filter(level, part, size).scalar()).select("lang", "words", "bits", F.posexplode("words").alias("at", "word"))
-        some = some.where(F.col("at") + part < F.size("words"))
-        for k in range(2):  # the first two parts of a run must be frequent
-            seed, passed = _passes(F.xxhash64("lang", *[word(i) for i in range(k, k + part)]), size, f"s{k}")
-            some = some.withColumn(f"s{k}", seed).where(passed)
-        runs = [F.concat_ws(" ", *[word(i) for i in range(part + 1)])]
-        for n in range(part + 2, longest + 1):  # and each further one of a longer run
-            seed, passed = _passes(F.xxhash64("lang", *[word(i) for i in range(n - part, n)]), size, f"s{n}")
-            some = some.withColumn(f"s{n}", seed).withColumn(f"ok{n}", F.expr(passed) & (F.col("at") + n <= F.size("words")) & (F.col(f"ok{n - 1}") if n > part + 2 else F.lit(True)))
-            runs.append(F.when(F.col(f"ok{n}"), F.concat_ws(" ", *[word(i) for i in range(n)])))
-        phrases = some.select("lang", runs[0].alias("phrase")) if len(runs) == 1 else some.select("lang", F.explode(F.array(*runs)).alias("phrase")).where("phrase IS NOT NULL")
-        level = written(_counted(phrases).where(F.col("f") >= least), f"runs{longest}")
-        tables.append(level.withColumn("words", F.size(F.split("phrase", " "))))
-    return totals, tables
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """64-bit words with two bits of each seed. Its size is bounded, so it may pass through the driver."""
+    bits = np.zeros(_size(seeds.count()), np.uint64)
+    probes = [seeds.select(F.expr(w).alias("word"), F.expr(b).alias("bit")) for w, b in (_probe(s, len(bits)) for s in (0, 32))]
+    used = probes[0].union(probes[1]).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits[used.column("word").to_numpy()] = used.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def _seed_counts(filters: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [f.value for f in filters]
+        for chunk in _read(batches):
+            seeds, counts = chunk.seed_counts(given)
+            for a in range(0, len(seeds), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(seeds[a : a + ROWS].view(np.int64)), pa.array(counts[a : a + ROWS].astype(np.int64))], names=["seed", "n"])
+
+    return run
+
+
+def _phrases(filters: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [f.value for f in filters]
+        for chunk in _read(batches):
+            for n, phrases, counts in chunk.phrases(given):
+                arrays = [pa.array([chunk.lang] * len(counts), pa.string()), pa.array(np.full(len(counts), n, np.int32)), phrases.cast(pa.binary()).view(pa.string()), pa.array(counts.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "words", "phrase", "f"])
+
+    return run
+
+
+def counts(docs: DataFrame, max_n: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """(lang, n) of all words, and (lang, phrase, f, words) of the runs of up to `max_n` words that are found `least` times."""
+    spark = docs.sparkSession
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
+    chunks = written(docs.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(_chunks, _CHUNK), "chunks", "uncompressed")
+    totals = written(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    filters = []
+    for _ in range(1, max_n):
+        # each chunk gives a seed once, so nothing is gained by adding up before the shuffle
+        seeds = chunks.select("lang", "ends", "words", "hashes", "stream").mapInArrow(_seed_counts(filters), "seed long, n long").repartition("seed")
+        frequent = written(seeds.groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("seed"), "seeds")
+        filters = [*filters, spark.sparkContext.broadcast(_filter(frequent))]
+        removed(frequent)
+    found = chunks.select("lang", "ends", "words", "hashes", "stream").mapInArrow(_phrases(filters), "lang string, words int, phrase string, f long")
+    known = written(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "runs")
+    removed(chunks)
+    for f in filters:
+        f.destroy()
+    return totals, known.select("lang", "phrase", "f", "words")
 
 
 def _part(first: Column, count: Column) -> Column:
@@ -114,9 +254,8 @@ def _part(first: Column, count: Column) -> Column:
 
 def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, share: int = 80, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each language's first `top` phrases: lang, rank, phrase, a, l, r, n, score."""
-    totals, tables = counts(docs, max_n, least, text_col, lang_col)
-    known = reduce(DataFrame.union, tables).select("lang", "phrase", "f")
-    longer = reduce(DataFrame.union, tables[1:])
+    totals, known = counts(docs, max_n, least, text_col, lang_col)
+    longer = known.where("words > 1")
     # the runs one word shorter at either end of a longer one, with the greatest count of those that hold them
     ends = F.explode(F.array(_part(F.lit(1), F.col("words") - 1), _part(F.lit(2), F.col("words") - 1)))
     holders = longer.select("lang", ends.alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("above"))
