@@ -1,9 +1,13 @@
 """Pinned examples of the match, on a few rows."""
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftlink.functions import normalize as N
+from weftlink.functions.similarity import matched
 from weftlink.operators import blocking, compare, decide, survive
 from weftlink.plans.match import Match
 from weftlink.plans.model import CandidateConfig, FieldPolicy, Invalid, Mapping, Rules, build_policy, check_headers, check_mappings, infer_family
@@ -104,3 +108,11 @@ def test_order_of_rows_changes_nothing(spark):
     one = sorted(map(tuple, Match(a, b, [NAME, PHONE, EMAIL]).ranked.select("candidate_id", "score", "rank", "band").collect()))
     two = sorted(map(tuple, Match(a.repartition(5), b.orderBy(F.desc("row_id")), [NAME, PHONE, EMAIL], CandidateConfig(), Rules()).ranked.select("candidate_id", "score", "rank", "band").collect()))
     assert one == two and len(one) > 0
+
+
+def test_matching_blocks_are_those_of_difflib():
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("abc d日ü\x00") for _ in range(rng.choice([0, 1, 5, 30, 60])))
+    pairs = [(text(), text()) for _ in range(800)] + [("ab" * 400, "ba" * 300), ("", ""), ("x" * 300, "x" * 299)]
+    expected = [sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) for a, b in pairs]
+    assert matched(*map(list, zip(*pairs, strict=True))).tolist() == expected
