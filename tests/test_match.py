@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlink.functions import normalize as N
-from weftlink.functions.similarity import matched
+from weftlink.functions.similarity import matched, rounded
 from weftlink.operators import blocking, compare, decide, survive
 from weftlink.plans.match import Match
 from weftlink.plans.model import CandidateConfig, FieldPolicy, Invalid, Mapping, Rules, build_policy, check_headers, check_mappings, infer_family
@@ -116,3 +116,23 @@ def test_matching_blocks_are_those_of_difflib():
     pairs = [(text(), text()) for _ in range(800)] + [("ab" * 400, "ba" * 300), ("", ""), ("x" * 300, "x" * 299)]
     expected = [sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) for a, b in pairs]
     assert matched(*map(list, zip(*pairs, strict=True))).tolist() == expected
+
+
+def test_all_pairs_are_ranked_without_their_values(spark):
+    """What is written, ranked and shuffled for all pairs holds scores; values and evidence come with the kept ones."""
+    m = Match(rows(spark, "A", ("Acme Foods Inc", "555-010-9999", "")), rows(spark, "B", ("Acme Foods", "5550109999", "")), [NAME, PHONE])
+    assert {"score", "agreements", "contradiction"} <= set(m.ranked.columns)
+    assert not [c for c in m.ranked.columns if c.startswith(("a_v_", "a_n_", "class_", "ratio_")) or c == "blocking_evidence"]
+    assert {(r.mapping_id, r.a_value, r["class"]) for r in m.fields.collect()} == {("name", "Acme Foods Inc", "exact_agreement"), ("phone", "555-010-9999", "exact_agreement")}
+
+
+def test_a_value_is_split_once_for_each_pair(spark):
+    pair = spark.createDataFrame([("c", "A1", "B1", "acme foods", "acme labs")], "candidate_id string, a_row_id string, b_row_id string, a_n_name string, b_n_name string")
+    plan = compare.evidence(pair, [NAME])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 4  # two values, each for its own size and for what both have
+
+
+def test_rounding_is_pythons_near_ties_and_away(spark):
+    values = [n / 1e6 + d for n in (0, 1, 2, 123456, 682979, 2499999) for d in (0.0, 5e-7, -5e-7, 4.999999e-7, 5.000001e-7, 1e-7)] + [0.1234565, 0.1234575, -0.3333335, 1e9 + 0.0000005, 12345.6789125]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", rounded(F.col("x")).alias("r")).collect()
+    assert [r.r for r in got] == [round(r.x, 6) for r in got]

@@ -156,7 +156,7 @@ def _demand(w: Work) -> DataFrame:
 
 
 def _cases(w: Work) -> DataFrame:
-    return _shared(w, "cases", lambda: A.cases(w.m.ranked, w.m.kept, w.m.fields, w.truth))
+    return _shared(w, "cases", lambda: A.cases(w.m.ranked, w.m.kept.join(w.m.pairs.select("candidate_id", "blocking_evidence"), "candidate_id"), w.m.fields, w.truth))
 
 
 def _edges(c: str, edges) -> str:
