@@ -82,3 +82,16 @@ def test_no_result_rests_on_a_filter(spark, monkeypatch):
     df = spark.createDataFrame([(i, g, t, "clash", 1) for i, (g, t) in enumerate(docs)], SCHEMA)
     expected = brute(docs, 4, 3, 80, 2000)
     assert expected and sorted(map(tuple, collocations(df, least=3).collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_phrases_of_several_chunks_are_added_up_in_the_task(monkeypatch, most):
+    monkeypatch.setattr(module, "CHUNK_BYTES", 1)
+    texts = [("en", "a b a c"), ("de", "a d"), ("en", "a b"), ("en", "e a")]
+    chunks = [c for t in texts for c in module._chunks(iter([pa.RecordBatch.from_pylist([dict(zip(("lang", "text"), t, strict=True))])]))]
+    got = [tuple(r.values()) for b in module._phrases([], most)(iter(chunks)) for r in b.to_pylist()]
+    sums = Counter()
+    for lang, n, phrase, f in got:
+        sums[lang, n, phrase] += f
+    assert sums == Counter({("en", 1, "a"): 4, ("en", 1, "b"): 2, ("en", 1, "c"): 1, ("en", 1, "e"): 1, ("de", 1, "a"): 1, ("de", 1, "d"): 1})
+    assert most == 1 or len(got) == len(sums)

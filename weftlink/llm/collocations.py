@@ -38,6 +38,8 @@ from .segments import _LOWER, binary, content
 FILTER_WORDS = (1 << 12, 1 << 23)
 #: Bytes of text from which a task writes out the chunks it has gathered; rows of one batch of phrases.
 CHUNK_BYTES, ROWS = 16 << 20, 100_000
+#: Phrases of several chunks that a task holds to add them up before they are shuffled.
+HELD_ROWS = 1 << 20
 
 
 #: Characters but those that lower-casing is known not to change, beside ASCII's own.
@@ -215,13 +217,32 @@ def _seed_counts(filters: list):
     return run
 
 
-def _phrases(filters: list):
+def _added(found: dict[tuple[str, int], list[tuple[pa.Array, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of lang, words, phrase and f, each phrase of several chunks once."""
+    for (lang, n), parts in found.items():
+        table = pa.table({"phrase": pa.chunked_array([p for p, _ in parts]), "f": pa.chunked_array([pa.array(c.astype(np.int64)) for _, c in parts])})
+        if len(parts) > 1:
+            table = table.group_by("phrase", use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+        for part in table.to_batches(ROWS):
+            arrays = [pa.array([lang] * part.num_rows, pa.string()), pa.array(np.full(part.num_rows, n, np.int32)), part.column("phrase").cast(pa.binary()).view(pa.string()), part.column("f")]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "words", "phrase", "f"])
+
+
+def _phrases(filters: list, most: int = HELD_ROWS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = [f.value for f in filters]
+        held, found = 0, defaultdict(list)
         for chunk in _read(batches):
+            by_words = defaultdict(list)
             for n, phrases, counts in chunk.phrases(given):
-                arrays = [pa.array([chunk.lang] * len(counts), pa.string()), pa.array(np.full(len(counts), n, np.int32)), phrases.cast(pa.binary()).view(pa.string()), pa.array(counts.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "words", "phrase", "f"])
+                by_words[n].append((phrases, counts))
+                held += len(counts)
+            for n, parts in by_words.items():
+                found[chunk.lang, n].append((pa.concat_arrays([p for p, _ in parts]), np.concatenate([c for _, c in parts])))
+            if held >= most:
+                yield from _added(found)
+                held, found = 0, defaultdict(list)
+        yield from _added(found)
 
     return run
 
