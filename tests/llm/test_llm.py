@@ -384,6 +384,17 @@ def test_language_model_against_brute_force(spark):
     assert abs(means[0] - means[1]) < 0.2  # shards of 300 tokens split nearly every context
 
 
+def test_language_model_does_not_depend_on_shards(spark):
+    """Restaurants are whole however classes are dealt: any size of a shard gives the same scores."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(("the", "a", f"w{rng.randrange(30)}", f"x{rng.randrange(900)}ed")) for _ in range(60))) for i in range(200)], "doc_id long, text string")
+    found = []
+    for tokens in (1 << 20, 700):
+        rows = pitman_yor.language_model_scores(docs, pitman_yor.Settings(shard_tokens=tokens)).collect()
+        found.append({r.doc_id: r.score for r in rows})
+    assert len(found[0]) == 200 and max(abs(found[0][i] - found[1][i]) for i in found[0]) < 1e-3
+
+
 def test_a_sweep_seats_every_customer():
     """Table counts of large and small dishes follow their exact weights, from whatever start."""
     s, rng = pitman_yor.Settings(), np.random.default_rng(5)

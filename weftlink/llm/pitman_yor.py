@@ -10,25 +10,24 @@ How it is spread out:
 
 1. Each task cuts its documents into chunks. A chunk is one row: its tokens as numbers of its distinct words, and these
    words' hashes and endings.
-2. Contexts are dealt to shards by class; a class with many tokens is cut by the context's hash, and each part is a
-   restaurant of its own, of about `shard_tokens` customers. A context with more tokens than that is a class of its own
-   and is split by the following word's hash; its splits multiply their tables and customers by the number of splits
-   (words are spread evenly by their hashes), and need no other split's rows. Chunks send each shard their pairs (word
-   before, word) with training counts. No piece is empty, so pieces are never more than pairs.
-3. Each shard seats all its customers, by sweeps that start from its own words' root, and sends the root its customers:
-   the tables of its classes, by word, to the word's owner. Owners add them up and seat the root.
-4. Given the root's predictive probabilities, shards are independent. They sweep on: a burn-in, then kept sweeps, whose
-   predictive probabilities are averaged for each pair. A sweep seats everyone anew, level by level: each dish's number
-   of tables is drawn as a whole, with table sizes summed out, given the restaurants' tables and the parents'
-   probabilities before the level's draw. The tables are the parent's customers.
+2. Pairs (word before, word) are dealt to shards by class; a class of more than `shard_tokens` tokens is dealt to several
+   by the following word's hash, so a class's dish is whole in one shard, and no context is treated apart. Chunks send
+   each shard their pairs with training counts, which it adds up once. No piece is empty, so pieces are never more than
+   pairs.
+3. After each sweep, sums that no shard has whole go to owners, by hash, and come back: the root's customers of each word,
+   and of each class that is dealt to several shards, and its contexts, customers and tables. Owners seat the root. So
+   restaurants are whole however they are dealt: `shard_tokens` bounds memory and changes no result.
+4. A sweep seats everyone anew, level by level: each dish's number of tables is drawn as a whole, with table sizes summed
+   out, given the restaurants' tables and the parents' probabilities before the level's draw. The tables are the parent's
+   customers. Draws are hashes of the dish and the sweep. Predictive probabilities after the kept sweeps are averaged for
+   each pair.
 5. Chunks meet the answers to their pairs and add up the logarithms.
 
 Discounts are estimated from the corpus, as n1 / (n1 + 2 n2) of each level's dishes with one and with two customers.
 
 Tokens: words are maximal runs of characters other than space and U+0009-000D, ASCII letters lower-cased, and one end
 after the last. Word hashes have 64 bits. What one shard or chunk holds is bounded by settings (one longer text is a
-chunk of its own). The driver's plan has one entry for each of 65,536 endings and for each context of over
-`shard_tokens` tokens, so at most one for each shard.
+chunk of its own). The driver's plan has one entry for each of 65,536 endings.
 
 Defined results: a null text counts as empty and is the end alone; a null id is in the held-out part (crc32 of the empty
 text is 0); repeated rows count as often as they stand; other columns are ignored; an empty table gives no rows; without
@@ -39,7 +38,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -59,8 +58,8 @@ EXACT, DRAWN, NODES, FEW, TERMS = 1024, 1 << 19, 65, 64, 80
 END, START = 1, 0
 #: Answers are decimal logarithms in steps of one in so many.
 FIXED = float(1 << 18)
-#: Tokens after one context in a chunk from which the context is reported as maybe hot.
-REPORTED = 8
+#: Shards for each owner of sums.
+SHARDS_OF_OWNER = 8
 
 
 @dataclass(frozen=True)
@@ -69,7 +68,7 @@ class Settings:
     chunk_bytes: int = 16 << 20
     #: Training tokens in a shard, about.
     shard_tokens: int = 3 << 19
-    #: Sweeps with the shard's own root; then with the corpus's.
+    #: Sweeps with the given discounts; then with the corpus's.
     own_sweeps: int = 2
     burn_in: int = 2
     kept: int = 3
@@ -82,7 +81,7 @@ class Settings:
 
 # 1. Chunks
 
-_CHUNK = "chunk long, docs binary, n_tokens binary, held binary, stream binary, words binary, endings binary, sums binary, hot binary, train_tokens long"
+_CHUNK = "chunk long, docs binary, n_tokens binary, held binary, stream binary, words binary, endings binary, sums binary, train_tokens long"
 
 
 def held_out(doc: int | None, folds: int) -> bool:
@@ -113,10 +112,7 @@ def chunk_of(docs: list[int | None], found: np.ndarray, sizes: np.ndarray, disti
     seen = np.bincount(before[train], minlength=len(out["words"]) + 1)
     sums = np.bincount(np.append(out["endings"], 0), seen, 1 << 16).astype(np.int64)
     rows = np.flatnonzero(sums)
-    many = np.flatnonzero(seen[:-1] >= REPORTED)
-    many = many[many > 0]
     out["sums"] = np.column_stack([rows, sums[rows]])
-    out["hot"] = np.column_stack([out["words"][many].view(np.int64), seen[many], out["endings"][many].astype(np.int64)])
     out["train_tokens"] = np.array([train.sum()])
     return out
 
@@ -146,7 +142,7 @@ class Chunk:
     def dealt(self, plan: Plan) -> tuple[np.ndarray, ...]:
         """The same, with the order of pairs by shard, the shards that get some, and where each one's begin."""
         context, word, counts, stream = self.pairs()
-        shard = plan.shards(np.append(self.words, np.uint64(START))[context], np.append(self.endings, np.uint16(0))[context], self.words[word])
+        shard = plan.shards(np.append(self.endings, np.uint16(0))[context], self.words[word])
         order = np.argsort(shard, kind="stable")
         found, starts = np.unique(shard[order], return_index=True)
         return context, word, counts, stream, order, found, np.append(starts, len(order))
@@ -197,68 +193,57 @@ def _large_steps(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
 # 2. The plan and the pieces
 
 
-def _bytes_table(column: str, width: int):
-    """Rows of `width` numbers from a binary column, added up by the first one within a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, width) for x in batch.column(column).to_pylist()])
-            keys, one, where = np.unique(rows[:, 0], return_index=True, return_inverse=True)
-            last = rows[one, 2] if width == 3 else np.zeros(len(keys), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(where, rows[:, 1], len(keys)).astype(np.int64)), pa.array(last)], names=["key", "n", "ending"])
-
-    return run
+def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training tokens after words of each ending, added up within a batch."""
+    for batch in batches:
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column("sums").to_pylist()])
+        keys, where = np.unique(rows[:, 0], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(where, rows[:, 1], len(keys)).astype(np.int64))], names=["key", "n"])
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Which shard gets a pair: first shard and number of parts of each ending; and of each hot context, by its hash."""
+    """Which shard gets a pair: first shard and number of parts of each ending."""
 
     first: np.ndarray
     parts: np.ndarray
-    hot: np.ndarray
-    hot_first: np.ndarray
-    hot_parts: np.ndarray
     shards_total: int
 
     @staticmethod
-    def of(endings: dict[int, int], hot: dict[int, tuple[int, int]], limit: int) -> Plan:
-        """From the tokens of each ending, and the tokens and ending of each hot context."""
+    def of(endings: dict[int, int], limit: int) -> Plan:
+        """From the tokens of each ending."""
         sums = np.zeros(1 << 16, np.int64)
         for e, n in endings.items():
             sums[e] = n
-        for n, e in hot.values():
-            sums[e] -= n
         parts = np.maximum(1, -(-sums // limit))
         # endings of one part share shards as long as these hold less than the limit
-        small = np.where(parts == 1, np.maximum(sums, 0), 0)
+        small = np.where(parts == 1, sums, 0)
         shared = np.cumsum(small) // limit
         first = np.where(parts == 1, shared, 0)
         at = int(shared.max()) + 1
         large = np.flatnonzero(parts > 1)
         first[large] = at + np.cumsum(parts[large]) - parts[large]
-        at += int(parts[large].sum())
-        names = np.array(sorted(hot), np.uint64)
-        pieces = np.array([max(1, -(-hot[int(h)][0] // limit)) for h in names], np.int64)
-        return Plan(first, parts, names, at + np.cumsum(pieces) - pieces, pieces, at + int(pieces.sum()))
-
-    def hot_place(self, contexts: np.ndarray) -> np.ndarray:
-        """The place of each context among the hot ones, or -1."""
-        if not len(self.hot):
-            return np.full(len(contexts), -1)
-        at = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
-        return np.where(self.hot[at] == contexts, at, -1)
-
-    def shards(self, contexts: np.ndarray, endings: np.ndarray, following: np.ndarray) -> np.ndarray:
-        part = lambda x, n: ((mix(x) >> np.uint64(16)) % n.astype(np.uint64)).astype(np.int64)
-        out = self.first[endings] + part(contexts, self.parts[endings])
-        at = self.hot_place(contexts)
-        split = np.flatnonzero(at >= 0)
-        out[split] = self.hot_first[at[split]] + part(following[split], self.hot_parts[at[split]])
-        return out
+        return Plan(first, parts, at + int(parts[large].sum()))
 
+    @property
+    def owners(self) -> int:
+        return -(-self.shards_total // SHARDS_OF_OWNER)
 
-_PIECE = "shard long, chunk long, contexts binary, endings binary, sizes binary, words binary, pair_word binary, counts binary, roots binary"
+    def shards(self, endings: np.ndarray, following: np.ndarray) -> np.ndarray:
+        return self.first[endings] + ((mix(following) >> np.uint64(16)) % self.parts[endings].astype(np.uint64)).astype(np.int64)
+
+
+#: Rows that go to shards, or from shards to owners; `of` is the chunk of a piece, the owner of sums.
+_ROW = "shard long, kind int, of long, parts array<binary>"
+PIECE, STATE, ASKED, SUMS = range(4)
+
+
+def _rows(rows: list[tuple], names: str = _ROW) -> Iterator[pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+    columns = [x.split() for x in names.split(", ")]
+    for a in range(0, len(rows), 500):
+        values = zip(*rows[a : a + 500], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, kinds[kind]) for x, (_, kind) in zip(values, columns, strict=True)], names=[n for n, _ in columns])
 
 
 def _pieces(plan: Plan):
@@ -275,21 +260,35 @@ def _pieces(plan: Plan):
                     own = order[a:b]  # by context, then word
                     of, sizes = _runs(context[own])
                     used, place = np.unique(word[own], return_inverse=True)
-                    arrays = names[of], endings[of], sizes.astype(np.uint32), c.words[used], place.astype(np.uint32), counts[own], np.empty(0, np.uint8)
-                    rows.append((k, row["chunk"], *map(packed, arrays[:-1]), b""))
-                for a in range(0, len(rows), 500):
-                    columns = zip(*rows[a : a + 500], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(columns)], names=[x.split()[0] for x in _PIECE.split(", ")])
+                    rows.append((k, PIECE, row["chunk"], _piece(names[of], endings[of], sizes, c.words[used], place, counts[own])))
+                yield from _rows(rows)
 
     return run
 
 
+def _piece(contexts: np.ndarray, endings: np.ndarray, sizes: np.ndarray, words: np.ndarray, place: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    return [packed(x) for x in (contexts, endings, sizes.astype(np.uint32), words, place.astype(np.uint32), counts.astype(np.uint32))]
+
+
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of the runs of equal ones."""
     edge = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
     return x[edge], np.diff(np.append(edge, len(x)))
 
 
+def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place of each given one among them; quick for keys in order, or in a few runs of such."""
+    order = None if (keys[1:] >= keys[:-1]).all() else np.argsort(keys, kind="stable")
+    ranked = keys if order is None else keys[order]
+    edge = np.append(True, ranked[1:] != ranked[:-1])[: len(keys)]
+    place = np.cumsum(edge) - 1
+    if order is None:
+        return ranked[edge], place
+    out = np.empty(len(keys), np.int64)
+    out[order] = place
+    return ranked[edge], out
+
+
 # 3. Seatings
 
 @lru_cache(maxsize=8)
@@ -319,7 +318,7 @@ def _root(rises, like: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-def _few(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def _few(c: np.ndarray, weight: np.ndarray, d: float, drawn: np.ndarray) -> np.ndarray:
     """seated() for many customers at at most FEW tables: Sibuya sums by their series, which falls fast as FEW is far below c**d."""
     k = np.arange(1, FEW + 1)
     size = _log_gamma(d * k + 1) + _log_gamma(c[:, None] - d * k) - _log_gamma(c + 1)[:, None]
@@ -328,7 +327,7 @@ def _few(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator)
     p = np.maximum(terms @ chosen.T, 1e-300)
     logs = np.log(p) + k * np.log(weight / d)[:, None] - _log_gamma(k + 1.0)
     total = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
-    return np.minimum(1 + (total < (rng.random(len(c)) * total[:, -1])[:, None]).sum(1), FEW)
+    return np.minimum(1 + (total < (drawn * total[:, -1])[:, None]).sum(1), FEW)
 
 
 def _series(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
@@ -340,7 +339,7 @@ def _series(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return np.log(np.maximum(total, 1e-300) / (math.pi * c))
 
 
-def _many(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def _many(c: np.ndarray, weight: np.ndarray, d: float, drawn: np.ndarray) -> np.ndarray:
     """seated() for many customers, at nodes: t tables are a Poisson number of Sibuya sizes, given that they sum to c."""
     # u is the log of one minus the sizes' tilt; first the mode and the spread of t, then weights at nodes around it
     u = _root(lambda u: np.log(weight / c) + np.log(-np.expm1(u)) + (d - 1) * u > 0, c)
@@ -350,9 +349,9 @@ def _many(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator)
     few = mode + reach <= np.minimum(FEW, c**d / 3)
     if few.any():
         out = np.empty(len(c), np.int64)
-        out[few] = _few(c[few], weight[few], d, rng)
+        out[few] = _few(c[few], weight[few], d, drawn[few])
         if not few.all():
-            out[~few] = _many(c[~few], weight[~few], d, rng)
+            out[~few] = _many(c[~few], weight[~few], d, drawn[~few])
         return out
     low, high = np.maximum(0.5, mode - reach), np.minimum(c - 0.5, mode + reach)
     t = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, NODES)
@@ -367,7 +366,7 @@ def _many(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator)
     logs = t * np.log(weight / d)[:, None] - _log_gamma(t + 1) + sums
     dense = np.exp(logs - logs.max(1, keepdims=True))
     steps_ = np.cumsum((dense[:, 1:] + dense[:, :-1]) / 2, 1)
-    drawn = rng.random(len(c)) * steps_[:, -1]
+    drawn = drawn * steps_[:, -1]
     at = (steps_ < drawn[:, None]).sum(1)
     row = np.arange(len(c))
     before = np.where(at > 0, steps_[row, at - 1], 0.0)
@@ -375,13 +374,14 @@ def _many(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator)
     return np.clip(np.rint(t[row, at] + share * (t[row, at + 1] - t[row, at])), 1, c).astype(np.int64)
 
 
-def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator | np.ndarray) -> np.ndarray:
     """The number of tables at which each dish's customers sit when all are seated anew.
 
     It is drawn in proportion to weight**tables times the generalised Stirling number, in which table sizes are summed
     out: exactly up to EXACT customers, beyond by a series and a saddle point for
-    the sums of table sizes.
+    the sums of table sizes. `rng` may be an array with each dish's number from 0 to 1.
     """
+    drawn = rng if isinstance(rng, np.ndarray) else rng.random(len(customers))
     out = np.minimum(customers, 1)
     rows = np.flatnonzero((customers > 1) & (customers <= EXACT))
     table, ends = _stirling(discount), np.cumsum(customers[rows])
@@ -395,54 +395,86 @@ def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.r
         total = np.cumsum(np.exp(logs - np.repeat(np.maximum.reduceat(logs, first), n)))
         low = np.where(first > 0, total[first - 1], 0.0)
         last = first + n - 1
-        out[own] = tables[np.clip(np.searchsorted(total, low + rng.random(len(n)) * (total[last] - low), side="right"), first, last)]
+        out[own] = tables[np.clip(np.searchsorted(total, low + drawn[own] * (total[last] - low), side="right"), first, last)]
         at = stop
     rows = np.flatnonzero(customers > EXACT)
     for at in range(0, len(rows), 2000):
         own = rows[at : at + 2000]
-        out[own] = _many(customers[own].astype(np.float64), weight[own], discount, rng)
+        out[own] = _many(customers[own].astype(np.float64), weight[own], discount, drawn[own])
     return out
 
 
+def uniform(first: np.ndarray, second: np.ndarray, seed: int, turn: int, level: int) -> np.ndarray:
+    """Numbers from 0 to 1 by hash, so that a dish's draw is the same in whatever shard."""
+    salt = mix(np.array([(seed << 32) + (turn << 8) + level + 1], np.uint64))
+    return (mix(mix(first ^ salt) + second) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 class Shard:
     """All seatings of one shard: pairs of a context and a word below, dishes of its classes above. Table sizes are summed out."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray, group: np.ndarray, times: np.ndarray, n_words: int):
-        """Pairs in the order of (context, word), each once; each context's class, and its number of splits."""
+    def __init__(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray, group: np.ndarray, parts: np.ndarray, n_words: int):
+        """Pairs, each once; each context's class, and to how many shards that is dealt."""
         self.word, self.n_words, self.context, self.c = word, n_words, context, counts.astype(np.int64)
-        dishes, self.up = np.unique(group[context] * n_words + word, return_inverse=True)
+        dishes, self.up = _placed(group[context] * n_words + word)
         self.group, self.dish_word = np.divmod(dishes, n_words)
-        self.times, self.group_times = times, np.ones(int(group.max()) + 1 if len(group) else 0)
-        self.group_times[group] = times
-        self.t = np.minimum(self.c, 1)
-        self.above = np.bincount(self.up, self.t, len(dishes)).astype(np.int64)
-        self.above_t = np.minimum(self.above, 1)
+        self.contexts, self.classes = len(parts), int(group.max()) + 1 if len(group) else 0
+        self.split, self.split_classes = np.flatnonzero(parts > 1), np.unique(group[parts > 1])
+        self.whole: list[np.ndarray] | None = None
+        self.seat(np.minimum(self.c, 1))
+
+    def seat(self, tables: np.ndarray, above_tables: np.ndarray | None = None) -> None:
+        self.t = tables
+        self.above = np.bincount(self.up, self.t, len(self.group)).astype(np.int64)
+        self.above_t = np.minimum(self.above, 1) if above_tables is None else above_tables
 
     def root_customers(self) -> np.ndarray:
         return np.bincount(self.dish_word, self.above_t, self.n_words).astype(np.int64)
 
-    def _totals(self) -> tuple[np.ndarray, ...]:
-        """Customers and tables of each context, and of each class."""
-        n, m = len(self.times), len(self.group_times)
-        return np.bincount(self.context, self.c, n) * self.times, np.bincount(self.context, self.t, n) * self.times, np.bincount(self.group, self.above, m) * self.group_times, np.bincount(self.group, self.above_t, m) * self.group_times
+    def own_totals(self) -> list[np.ndarray]:
+        """Customers and tables of each context, and of each class, as far as they are here."""
+        n, m = self.contexts, self.classes
+        return [np.bincount(self.context, self.c, n), np.bincount(self.context, self.t, n), np.bincount(self.group, self.above, m), np.bincount(self.group, self.above_t, m)]
+
+    def _totals(self) -> list[np.ndarray]:
+        return self.own_totals() if self.whole is None else self.whole
 
-    def _of_classes(self, root: np.ndarray, s: Settings, d: tuple[float, ...]) -> np.ndarray:
-        *_, customers, tables = self._totals()
+    def partial(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of the contexts and classes that other shards have a part of."""
+        own = self.own_totals()
+        return tuple(np.concatenate([own[i][self.split], own[2 + i][self.split_classes]]).astype(np.int64) for i in range(2))
+
+    def complete(self, customers: np.ndarray, tables: np.ndarray) -> None:
+        """Takes the sums of partial() over all shards."""
+        self.whole, n = self.own_totals(), len(self.split)
+        for i, x in enumerate((customers, tables)):
+            self.whole[i][self.split], self.whole[2 + i][self.split_classes] = x[:n], x[n:]
+
+    def _of_classes(self, root: np.ndarray, s: Settings, d: tuple[float, ...], customers: np.ndarray | None = None, tables: np.ndarray | None = None) -> np.ndarray:
+        if customers is None:
+            *_, customers, tables = self._totals()
         return (self.above - d[1] * self.above_t + (s.strengths[1] + d[1] * tables[self.group]) * root[self.dish_word]) / (s.strengths[1] + customers[self.group])
 
     def chances(self, root: np.ndarray, s: Settings, d: tuple[float, ...]) -> np.ndarray:
         """Predictive probability of each pair, given the root's of each word."""
-        customers, tables, *_ = self._totals()
-        parent = self._of_classes(root, s, d)[self.up]
+        customers, tables, *classes = self._totals()
+        parent = self._of_classes(root, s, d, *classes)[self.up]
         return (self.c - d[2] * self.t + (s.strengths[2] + d[2] * tables[self.context]) * parent) / (s.strengths[2] + customers[self.context])
 
-    def sweep(self, root: np.ndarray, s: Settings, d: tuple[float, ...], rng: np.random.Generator) -> None:
-        """Gibbs: all customers of the contexts are seated anew, then all of the classes."""
-        _, tables, _, above = self._totals()
-        parent = self._of_classes(root, s, d)[self.up]
-        self.t = seated(self.c, (s.strengths[2] + d[2] * tables[self.context]) * parent, d[2], rng)
+    def sweep(self, root: np.ndarray, s: Settings, d: tuple[float, ...], rng: np.random.Generator | Callable[[int, np.ndarray], np.ndarray]) -> None:
+        """Gibbs: all customers of the contexts are seated anew, then all of the classes. A dish's only customer has one table."""
+        draw = rng if callable(rng) else lambda _, rows: rng.random(len(rows))
+        _, tables, customers, above = self._totals()
+        rows = np.flatnonzero(self.c > 1)
+        dish, context = self.up[rows], self.context[rows]
+        parent = self._of_classes(root, s, d, customers, above)[dish]
+        self.t = np.minimum(self.c, 1)
+        self.t[rows] = seated(self.c[rows], (s.strengths[2] + d[2] * tables[context]) * parent, d[2], draw(2, rows))
         self.above = np.bincount(self.up, self.t, len(self.group)).astype(np.int64)
-        self.above_t = seated(self.above, (s.strengths[1] + d[1] * above[self.group]) * root[self.dish_word], d[1], rng)
+        rows = np.flatnonzero(self.above > 1)
+        self.above_t = np.minimum(self.above, 1)
+        self.above_t[rows] = seated(self.above[rows], (s.strengths[1] + d[1] * above[self.group[rows]]) * root[self.dish_word[rows]], d[1], draw(1, rows))
+        self.whole = None
 
 
 def root_chances(customers: np.ndarray, tables: np.ndarray, all_customers: float, all_tables: float, known: float, s: Settings, d: float) -> np.ndarray:
@@ -465,125 +497,186 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[in
         yield now, rows
 
 
-def merged(rows: list[dict], plan: Plan) -> tuple[Shard, np.ndarray, np.ndarray, list[int], np.ndarray, list[np.ndarray]]:
-    """A shard from its pieces: also its words' hashes and training counts, and each piece's number of pairs, places of all pairs, and words."""
-    get = lambda name, kind: [unpacked(r[name], kind) for r in rows]
-    contexts, sizes, names, of, counts = get("contexts", np.uint64), get("sizes", np.uint32), get("words", np.uint64), get("pair_word", np.uint32), np.concatenate(get("counts", np.uint32))
-    every, one, at = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
-    hashes, place = np.unique(np.concatenate(names), return_inverse=True)
-    word_starts, lengths = np.cumsum([0, *map(len, names)]), [len(x) for x in of]
-    word = place[np.concatenate([x.astype(np.int64) + a for x, a in zip(of, word_starts[:-1], strict=True)])]
-    context = np.repeat(at, np.concatenate(sizes))
-    pairs, where = np.unique(context * len(hashes) + word, return_inverse=True)
-    context, word = np.divmod(pairs, len(hashes))
-    customers = np.bincount(where, counts, len(pairs)).astype(np.int64)
-    hot = plan.hot_place(every)
-    group = np.unique(np.where(hot >= 0, (1 << 16) + hot, np.concatenate(get("endings", np.uint16))[one].astype(np.int64)), return_inverse=True)[1]
-    times = np.where(hot >= 0, plan.hot_parts[hot] if len(plan.hot) else 1, 1).astype(np.float64)
-    shard = Shard(context, word, customers, group, times, len(hashes))
-    return shard, hashes, np.bincount(word, customers, len(hashes)).astype(np.int64), lengths, where, np.split(place, word_starts[1:-1])
-
-
-def owner_of(hashes: np.ndarray, owners: int) -> np.ndarray:
-    return ((mix(hashes) >> np.uint64(32)) % np.uint64(owners)).astype(np.int64)
-
-
-def _by_owner(hashes: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of a shard's words by owner, the owners and where each one's begin."""
-    owner = owner_of(hashes, owners)
+class Part(Shard):
+    """A shard of a corpus, from its pieces: also its contexts' and words' hashes, and its words' training counts."""
+
+    def __init__(self, names: np.ndarray, endings: np.ndarray, hashes: np.ndarray, context: np.ndarray, word: np.ndarray, counts: np.ndarray, plan: Plan):
+        self.names, self.endings, self.hashes, self.owners = names, endings, hashes, plan.owners
+        self.ends, group = np.unique(endings, return_inverse=True)
+        super().__init__(context, word, counts, group, plan.parts[endings], len(hashes))
+        self.counts = np.bincount(word, self.c, len(hashes)).astype(np.int64)
+        salts = mix(np.arange(1, 3, dtype=np.uint64))
+        self.keys = np.concatenate([mix(names[self.split] ^ salts[0]), mix(self.ends[self.split_classes].astype(np.uint64) ^ salts[1])])
+
+    @staticmethod
+    def of(parts: list[bytes], plan: Plan) -> Part:
+        """From what whole_row() gave."""
+        names, endings, hashes, words, sizes, context, counts = (unpacked(x, kind) for x, kind in zip(parts, _WHOLE, strict=True))
+        return Part(names, endings, hashes, context.astype(np.int64), np.repeat(words.astype(np.int64), sizes), counts, plan)
+
+    def whole_row(self) -> list[bytes]:
+        """The shard as one row: its pairs are in the order of dishes."""
+        arrays = self.names, self.endings, self.hashes, self.dish_word, np.bincount(self.up, minlength=len(self.group)), self.context, self.c
+        return [packed(x.astype(kind)) for x, kind in zip(arrays, _WHOLE, strict=True)]
+
+    @staticmethod
+    def merged(pieces: list[list[bytes]], plan: Plan) -> tuple[Part, list[int], np.ndarray, list[np.ndarray]]:
+        """Also each piece's number of pairs, places of all pairs, and words."""
+        contexts, endings, sizes, words, of, counts = zip(*map(_arrays, pieces), strict=True)
+        names, one, at = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
+        hashes, place = np.unique(np.concatenate(words), return_inverse=True)
+        word_starts = np.cumsum([0, *map(len, words)])
+        word = place[np.concatenate([x.astype(np.int64) + a for x, a in zip(of, word_starts[:-1], strict=True)])]
+        # in the order of (class, word, context), so that a dish's pairs stand together; a shard has some 2**21 of each at most
+        endings = np.concatenate(endings)[one]
+        of_class, context = np.unique(endings, return_inverse=True)[1], np.repeat(at, np.concatenate(sizes))
+        pairs, where = np.unique((of_class[context] * len(hashes) + word) * len(names) + context, return_inverse=True)
+        dish, context = np.divmod(pairs, len(names))
+        part = Part(names, endings, hashes, context, dish % len(hashes), np.bincount(where, np.concatenate(counts), len(pairs)), plan)
+        return part, [len(x) for x in of], where, np.split(place, word_starts[1:-1])
+
+    def asked(self, shard: int) -> list[tuple]:
+        """Rows for owners: words with the root's customers and training counts, keys of other sums with these, and counts of dishes with one and with two customers."""
+        few = np.array([(x == k).sum() for x in (self.c, self.above) for k in (1, 2)], np.int64)
+        (order, starts), (others, ends) = _by_owner(self.hashes, self.owners), _by_owner(self.keys, self.owners)
+        words, sums = (self.hashes, self.root_customers(), self.counts), (self.keys, *self.partial())
+        rows = []
+        for k in range(self.owners):
+            own, more = order[starts[k] : starts[k + 1]], others[ends[k] : ends[k + 1]]
+            if len(own) or len(more):
+                rows.append((shard, ASKED, k, [packed(x[i] if x.dtype == np.uint64 else x[i].astype(np.uint32)) for columns, i in ((words, own), (sums, more)) for x in columns] + [b"" if rows else few.tobytes()]))
+        return rows
+
+    def answered(self, sums: list[list[bytes]], totals: dict[str, int], s: Settings, d: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Takes what the owners sent back, in their order: gives each word's probability in the root, and its training tokens in the corpus."""
+        (order, _), (others, _) = _by_owner(self.hashes, self.owners), _by_owner(self.keys, self.owners)
+        words, more = np.empty((3, len(order)), np.int64), np.empty((2, len(others)), np.int64)
+        for out, at, i in ((words, order, 0), (more, others, 1)):
+            out[:, at] = np.concatenate([unpacked(x[i], np.int64).reshape(len(out), -1) for x in sums], axis=1)
+        self.complete(*more)
+        return root_chances(words[0], words[1], totals["customers"], totals["tables"], totals["known"], s, d[0]), words[2]
+
+    def draws(self, s: Settings, turn: int) -> Callable[[int, np.ndarray], np.ndarray]:
+        """Of pairs at level 2, of classes' dishes at level 1."""
+
+        def draw(level: int, rows: np.ndarray) -> np.ndarray:
+            names, word = (self.names[self.context[rows]], self.word[rows]) if level == 2 else (self.ends[self.group[rows]].astype(np.uint64), self.dish_word[rows])
+            return uniform(names, self.hashes[word], s.seed, turn, level)
+
+        return draw
+
+
+_WHOLE = np.uint64, np.uint16, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32
+
+
+def _arrays(parts: list[bytes]) -> list[np.ndarray]:
+    return [unpacked(x, kind) for x, kind in zip(parts, (np.uint64, np.uint16, np.uint32, np.uint64, np.uint32, np.uint32), strict=True)]
+
+
+def _by_owner(keys: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by owner, and where each owner's begin, with the end."""
+    owner = ((mix(keys) >> np.uint64(32)) % np.uint64(owners)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
-    found, starts = np.unique(owner[order], return_index=True)
-    return order, found, np.append(starts, len(order))
+    return order, np.searchsorted(owner[order], np.arange(owners + 1))
 
 
-_ASKED = "owner long, shard long, words binary, customers binary, counts binary, few binary"
+def _of_kind(rows: list[dict], kind: int) -> list[list[bytes]]:
+    return [r["parts"] for r in rows if r["kind"] == kind]
 
 
-def _own_sweeps(plan: Plan, s: Settings):
-    """The root's customers of each shard, dealt to the words' owners; `few` counts dishes with one and with two customers."""
+def _begin(plan: Plan):
+    """Each shard's pieces as one, and what it asks for before the first sweep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _groups(batches, "shard"):
-            shard, hashes, counts, *_ = merged(rows, plan)
-            rng, d = np.random.default_rng([s.seed, number]), s.discounts
-            for _ in range(s.own_sweeps):
-                mine, times = shard.root_customers(), float(plan.shards_total)
-                # the other shards are taken to be like this one
-                root = root_chances(mine * times, np.minimum(mine, 1), mine.sum() * times, float((mine > 0).sum()), float((counts > 0).sum()), s, d[0])
-                shard.sweep(root, s, d, rng)
-            mine = shard.root_customers()
-            few = np.array([(x == k).sum() for x in (shard.c, shard.above) for k in (1, 2)], np.int64)
-            order, owners, starts = _by_owner(hashes, plan.shards_total)
-            out = []
-            for i, (k, a, b) in enumerate(zip(owners.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-                own = order[a:b]
-                out.append((k, number, packed(hashes[own]), packed(mine[own].astype(np.uint32)), packed(counts[own].astype(np.uint32)), few.tobytes() if i == 0 else b""))
-            for a in range(0, len(out), 500):
-                columns = zip(*out[a : a + 500], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(columns)], names=[x.split()[0] for x in _ASKED.split(", ")])
+            part, *_ = Part.merged(_of_kind(rows, PIECE), plan)
+            yield from _rows([(number, PIECE, -1, part.whole_row()), *part.asked(number)])
+        release()
+
+    return run
+
+
+@dataclass(frozen=True)
+class Turn:
+    """The sweep to come, what was summed up after the one before, and whether the seatings as they are count."""
+
+    number: int
+    totals: dict[str, int]
+    discounts: tuple[float, ...]
+    kept: bool
+
+
+def _taken(part: Part, rows: list[dict], turn: Turn, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gives a shard its seatings and sums; also the root's chances, words' counts, and the sum of predictive probabilities so far."""
+    mean = np.zeros(len(part.c), np.float32)
+    for tables, above_tables, so_far in _of_kind(rows, STATE):
+        part.seat(unpacked(tables, np.uint32).astype(np.int64), unpacked(above_tables, np.uint32).astype(np.int64))
+        mean = np.frombuffer(so_far, np.float32) if so_far else mean
+    root, counts = part.answered(_of_kind(rows, SUMS), turn.totals, s, turn.discounts)
+    return root, counts, mean + part.chances(root, s, turn.discounts).astype(np.float32) if turn.kept else mean
+
+
+def _sweep(plan: Plan, turn: Turn, s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _groups(batches, "shard"):
+            part = Part.of(_of_kind(rows, PIECE)[0], plan)
+            root, _, mean = _taken(part, rows, turn, s)
+            part.sweep(root, s, turn.discounts, part.draws(s, turn.number))
+            state = [packed(part.t.astype(np.uint32)), packed(part.above_t.astype(np.uint32)), mean.tobytes() if turn.kept else b""]
+            yield from _rows([(number, STATE, -1, state), *part.asked(number)])
         release()
 
     return run
 
 
-_ROOTS = "shard long, owner long, roots binary, totals array<long>"
+_SUMMED = _ROW + ", totals array<long>"
 _TOTALS = ("customers", "tables", "known", "root_1", "root_2", "leaf_1", "leaf_2", "class_1", "class_2")
 
 
-def _seat_root(owners: int, s: Settings):
-    """An owner's words: customers summed over shards, seated, and sent back; with the sums that the driver adds up."""
+def _add(turn: Turn | None, s: Settings):
+    """An owner's sums, sent back to all who asked; the root's customers of its words are seated. Without a turn all sit at one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in _groups(batches, "owner"):
-            parts = [unpacked(r["words"], np.uint64) for r in rows]
-            hashes, place = np.unique(np.concatenate(parts), return_inverse=True)
-            add = lambda name: np.bincount(place, np.concatenate([unpacked(r[name], np.uint32) for r in rows]), len(hashes)).astype(np.int64)  # noqa: B023, E731
-            customers, counts = add("customers"), add("counts")
-            rng, tables, d = np.random.default_rng([s.seed, number, 1]), np.minimum(customers, 1), s.discounts[0]
-            known = int((counts > 0).sum())
-            for _ in range(s.own_sweeps):
-                base = (1 - s.unknown) / max(1, known * owners)
-                tables = seated(customers, np.full(len(hashes), (s.strengths[0] + d * tables.sum() * owners) * base), d, rng)
-            few = sum((np.frombuffer(r["few"], np.int64) for r in rows if r["few"]), np.zeros(4, np.int64))
+        for number, rows in _groups(batches, "of"):
+            asked = [[unpacked(x, kind) for x, kind in zip(r["parts"], (np.uint64, np.uint32, np.uint32) * 2, strict=False)] for r in rows]
+            (hashes, place, customers, counts), (_, more, first, second) = (_added([x[i : i + 3] for x in asked]) for i in (0, 3))
+            known, tables = int((counts > 0).sum()), np.minimum(customers, 1)
+            if turn:
+                d, base = turn.discounts[0], (1 - s.unknown) / max(1, turn.totals["known"])
+                tables = seated(customers, np.full(len(hashes), (s.strengths[0] + d * turn.totals["tables"]) * base), d, uniform(hashes, hashes, s.seed, turn.number, 0))
+            few = sum((np.frombuffer(r["parts"][6], np.int64) for r in rows if r["parts"][6]), np.zeros(4, np.int64))
             totals = [int(customers.sum()), int(tables.sum()), known, int((customers == 1).sum()), int((customers == 2).sum()), *few.tolist()]
-            ends = np.cumsum([len(x) for x in parts])
-            values = np.column_stack([customers, tables, counts]).astype(np.uint32)[place]
-            out = [packed(values[e - len(x) : e].T.ravel()) for e, x in zip(ends.tolist(), parts, strict=True)]
-            for a in range(0, len(rows), 500):
-                some = rows[a : a + 500]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"] for r in some], pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array(out[a : a + 500], pa.binary()), pa.array([totals if a + i == 0 else None for i in range(len(some))], pa.list_(pa.int64()))],
-                    names=["shard", "owner", "roots", "totals"],
-                )
+            words, sums, out, a, b = np.stack([customers, tables, counts]), np.stack([first, second]), [], 0, 0
+            for r, x in zip(rows, asked, strict=True):
+                back = [packed(words[:, place[a : (a := a + len(x[0]))]].ravel()), packed(sums[:, more[b : (b := b + len(x[3]))]].ravel())]
+                out.append((r["shard"], SUMS, number, back, None if out else totals))
+            yield from _rows(out, _SUMMED)
+        release()
 
     return run
 
 
+def _added(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, the place of each given one among them, and the two columns' sums."""
+    keys, place = _placed(np.concatenate([x[0] for x in parts]))
+    return keys, place, *(np.bincount(place, np.concatenate([x[i] for x in parts]), len(keys)).astype(np.int64) for i in (1, 2))
+
+
 # 4. Answers
 
 _ANSWER = "chunk long, shard long, logs binary, counts binary, docs binary, n_tokens binary, held binary, stream binary, words binary, endings binary"
 
 
-def _answers(plan: Plan, totals: dict[str, int], d: tuple[float, ...], s: Settings):
+def _answers(plan: Plan, turn: Turn, s: Settings):
     """For each chunk the log10 probability of each pair it asked for, and the counts of the piece's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _groups(batches, "shard"):
-            pieces, roots = [r for r in rows if not r["roots"]], sorted((r for r in rows if r["roots"]), key=lambda r: r["chunk"])
-            shard, hashes, _, lengths, where, words_of_piece = merged(pieces, plan)
-            order, *_ = _by_owner(hashes, plan.shards_total)
-            values = np.empty((3, len(hashes)), np.int64)
-            values[:, order] = np.concatenate([unpacked(r["roots"], np.uint32).reshape(3, -1) for r in roots], axis=1)
-            customers, tables, counts = values
-            root = root_chances(customers, tables, totals["customers"], totals["tables"], totals["known"], s, d[0])
-            rng, mean = np.random.default_rng([s.seed, number, 2]), 0.0
-            for turn in range(s.burn_in + s.kept):
-                shard.sweep(root, s, d, rng)
-                if turn >= s.burn_in:
-                    mean = mean + shard.chances(root, s, d) / s.kept
-            logs, ends = np.rint(-np.log10(mean) * FIXED).astype(np.uint32), np.cumsum(lengths)
-            for i, r in enumerate(pieces):
-                yield _answer_row(chunk=r["chunk"], shard=number, logs=packed(logs[where[ends[i] - lengths[i] : ends[i]]]), counts=packed(counts[words_of_piece[i]].astype(np.uint32)))
+            part, lengths, where, words_of_piece = Part.merged(_of_kind(rows, PIECE), plan)
+            _, counts, mean = _taken(part, rows, turn, s)
+            logs, ends = np.rint(-np.log10(mean.astype(np.float64) / s.kept) * FIXED).astype(np.uint32), np.cumsum(lengths)
+            for i, chunk in enumerate(r["of"] for r in rows if r["kind"] == PIECE):
+                yield _answer_row(chunk=chunk, shard=number, logs=packed(logs[where[ends[i] - lengths[i] : ends[i]]]), counts=packed(counts[words_of_piece[i]].astype(np.uint32)))
         release()
 
     return run
@@ -636,21 +729,36 @@ def language_model_scores(docs: DataFrame, s: Settings = Settings(), id_col: str
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; perplexity besides."""
     chunks = written(id_and_text(docs, id_col, text_col).mapInArrow(_chunks(s), _CHUNK), "chunks", "zstd")
     n = int(chunks.agg(F.sum("train_tokens")).first()[0] or 0)
-    sums = lambda column, width: chunks.select(column).mapInArrow(_bytes_table(column, width), "key long, n long, ending long").groupBy("key").agg(F.sum("n").alias("n"), F.first("ending").alias("ending"))
-    endings = {r["key"]: r["n"] for r in sums("sums", 2).collect()}  # at most 65,536
-    hot = {r["key"] % (1 << 64): (r["n"], r["ending"]) for r in sums("hot", 3).where(F.col("n") > s.shard_tokens).collect()}  # at most one for each shard
-    plan = Plan.of(endings, hot, s.shard_tokens)
+    endings = chunks.select("sums").mapInArrow(_endings, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    plan = Plan.of({r["key"]: r["n"] for r in endings.collect()}, s.shard_tokens)  # at most 65,536
     shards = plan.shards_total
-    pieces = chunks.select("chunk", "n_tokens", "held", "stream", "words", "endings").mapInArrow(_pieces(plan), _PIECE)
-    asked = pieces.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(_own_sweeps(plan, s), _ASKED)
-    roots = written(asked.repartition(shards, "owner").sortWithinPartitions("owner", "shard").mapInArrow(_seat_root(shards, s), _ROOTS), "roots", "zstd")
-    totals = roots.where("totals is not null").agg(*[F.sum(F.get("totals", F.lit(i))).alias(x) for i, x in enumerate(_TOTALS)]).first().asDict()
-    totals = {k: v or 0 for k, v in totals.items()}
+    pieces = chunks.select("chunk", "n_tokens", "held", "stream", "words", "endings").mapInArrow(_pieces(plan), _ROW)
+    by_shard = lambda rows: rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "kind", "of")
+
+    def summed(asking: DataFrame, turn: Turn | None) -> tuple[DataFrame, dict[str, int]]:
+        """What owners send back to the shards that ask, and the sums of all owners."""
+        asked = asking.where(F.col("kind") == ASKED).repartitionById(plan.owners, F.col("of").cast("int")).sortWithinPartitions("of", "shard")
+        back = written(asked.mapInArrow(_add(turn, s), _SUMMED), "sums", "zstd")
+        totals = back.where("totals is not null").agg(*[F.sum(F.get("totals", F.lit(i))).alias(x) for i, x in enumerate(_TOTALS)]).first().asDict()
+        return back, {k: v or 0 for k, v in totals.items()}
+
+    begun = written(by_shard(pieces).mapInArrow(_begin(plan), _ROW), "begun")
+    wholes = begun.where(F.col("kind") == PIECE)
+    back, totals = summed(begun, None)
+    given, done, d = back.drop("totals"), [back], s.discounts
+    for number in range(last := s.own_sweeps + s.burn_in + s.kept):
+        d = discounts(totals, s) if number == s.own_sweeps else d
+        turn = Turn(number, totals, d, number > last - s.kept)
+        swept = written(by_shard(wholes.union(given)).mapInArrow(_sweep(plan, turn, s), _ROW), "swept")
+        removed(*done)
+        back, totals = summed(swept, turn)
+        given, done = swept.where(F.col("kind") == STATE).union(back.drop("totals")), [swept, back]
+    removed(begun)
+    answers = written(by_shard(pieces.union(given)).mapInArrow(_answers(plan, Turn(last, totals, d, True), s), _ANSWER), "answers")
+    removed(*done)
     none = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
-    back = roots.select("shard", F.col("owner").alias("chunk"), *none("contexts", "endings", "sizes", "words", "pair_word", "counts"), "roots")
-    answers = pieces.union(back).repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(_answers(plan, totals, discounts(totals, s), s), _ANSWER)
     heads = chunks.select("chunk", F.lit(-1).cast("long").alias("shard"), *none("logs", "counts"), "docs", "n_tokens", "held", "stream", "words", "endings")
     scored = answers.union(heads).repartition(shards, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_scores(plan, n, totals["known"]), _SCORE)
     scored = written(scored.withColumn("train_tokens", F.lit(n).cast("long")), "scores")
-    removed(chunks, roots)
+    removed(chunks, answers)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
