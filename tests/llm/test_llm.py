@@ -130,6 +130,19 @@ def test_bpe_is_the_library_s(spark):
     coder.close()
 
 
+def test_bpe_learns_several_steps_together(monkeypatch):
+    """New pre-tokens of several steps share a query; each step's results are as by itself."""
+    rng, queries = random.Random(9), []
+    steps = [pa.array([" ".join("".join(rng.choice("abcdé") for _ in range(7)) for _ in range(30)).encode() for _ in range(4)], pa.binary()) for _ in range(3)]
+    contract = bpe.Coder._contract
+    monkeypatch.setattr(bpe.Coder, "_contract", lambda self, *x: queries.append(len(x[0])) or contract(self, *x))
+    together, alone = (bpe.Coder(P("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN) for _ in range(2))
+    found = [(n.tolist(), ids.to_pylist(), plain.to_pylist()) for n, ids, plain in together.encoded(steps)]
+    assert len(queries) == 1 and [x[2] for x in found] == [x.to_pylist() for x in steps]
+    assert found == [(n.tolist(), ids.to_pylist(), plain.to_pylist()) for n, ids, plain in map(alone.encode, steps)]
+    together.close(), alone.close()
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -23,6 +23,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,11 @@ from .segments import Known, begin_in_space, binary, content, cut
 #: Bytes of a pre-token up to which all steps' rows are kept until the end.
 SHORT = 48
 #: Rows that the steps of one query may make, about; bytes of long pre-tokens in one query.
-ROWS, LONG_BYTES = 600_000, 32 << 10
+ROWS, LONG_BYTES = 1_000_000, 32 << 10
 #: Segments and pre-tokens that a worker remembers, and bytes of their results, before it starts anew.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 48 << 20
-#: Text bytes of one step.
-STEP = 3 << 19
+#: Text bytes of one step, and steps whose new pre-tokens are learnt together.
+STEP, TOGETHER = 3 << 19, 3
 
 _WHOLE = "SELECT w, id AS tok FROM pieces JOIN vocabulary USING (piece)"
 _STEPWISE = """
@@ -200,18 +201,28 @@ class Coder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """For each text its number of tokens, decimal ids each with a comma after it, and the bytes that they decode to."""
+        return next(self.encoded([texts]))
+
+    def encoded(self, steps: list[pa.Array]) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
+        """The same for each of several steps, whose new pre-tokens are learnt together: a query's fixed cost is shared by more of them."""
         for store in (self.segments, self.pieces):
             if store.full():
                 store.clear()
-        found, counts = cut(texts)
-        numbers, new = self.segments.known.number(found)
+        places, lacking = [], []
+        for texts in steps:
+            found, counts = cut(texts)
+            numbers, new = self.segments.known.number(found)
+            places.append((numbers, counts))
+            lacking.append(new)
+        new = pa.concat_arrays(lacking)
         if len(new):
             pieces, sizes = self._split(new)
             of, unknown = self.pieces.known.number(pieces)
             if len(unknown):
                 self.learn(unknown)
             self.segments.add(*self.pieces.joined(of, sizes))
-        return self.segments.joined(numbers, counts)
+        for numbers, counts in places:
+            yield self.segments.joined(numbers, counts)
 
 
 def _large(column: pa.Array) -> pa.Array:
@@ -231,16 +242,17 @@ def _encode(ranks_path: str, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
         try:
-            for part, texts in arrow_steps(batches, limit=STEP):
-                counts, *columns = own.encode(texts)
-                out = []
-                for column, cut_off in zip(columns, (1, 0), strict=True):
-                    raw, at = content(column)
-                    view = memoryview(raw)
-                    spans = [view[a : max(a, b - cut_off)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                    out.append([hashlib.sha256(x).hexdigest() for x in spans] if digests else [bytes(x).decode("utf-8", "replace") for x in spans])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *(pa.array(x, pa.string()) for x in out)], names=["doc_id", "n_tokens", "ids", "decoded"])
-                del counts, columns, column, raw, at, view, spans, out
+            steps = arrow_steps(batches, limit=STEP)
+            while some := list(islice(steps, TOGETHER)):
+                for (part, _), (counts, *columns) in zip(some, own.encoded([texts for _, texts in some]), strict=True):
+                    out = []
+                    for column, cut_off in zip(columns, (1, 0), strict=True):
+                        raw, at = content(column)
+                        view = memoryview(raw)
+                        spans = [view[a : max(a, b - cut_off)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                        out.append([hashlib.sha256(x).hexdigest() for x in spans] if digests else [bytes(x).decode("utf-8", "replace") for x in spans])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *(pa.array(x, pa.string()) for x in out)], names=["doc_id", "n_tokens", "ids", "decoded"])
+                    del part, counts, columns, column, raw, at, view, spans, out
                 release()
         finally:
             own.close()
