@@ -36,11 +36,11 @@ from .segments import Known, begin_in_space, binary, content, cut
 #: Bytes of a pre-token up to which all steps' rows are kept until the end.
 SHORT = 48
 #: Rows that the steps of one query may make, about; bytes of long pre-tokens in one query.
-ROWS, LONG_BYTES = 1_000_000, 32 << 10
+ROWS, LONG_BYTES = 800_000, 32 << 10
 #: Segments and pre-tokens that a worker remembers, and bytes of their results, before it starts anew.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 48 << 20
 #: Text bytes of one step, and steps whose new pre-tokens are learnt together.
-STEP, TOGETHER = 3 << 19, 3
+STEP, TOGETHER = 1 << 20, 4
 
 _WHOLE = "SELECT w, id AS tok FROM pieces JOIN vocabulary USING (piece)"
 _STEPWISE = """
