@@ -143,6 +143,29 @@ def test_bpe_learns_several_steps_together(monkeypatch):
     together.close(), alone.close()
 
 
+def test_bpe_joins_certain_byte_pairs_at_the_start(tmp_path):
+    """The recursion begins with fewer rows than bytes, with the library's results also where ranks don't rise."""
+    import base64
+
+    import tiktoken
+
+    rng = random.Random(3)
+    falling = [*(bytes([i]) for i in range(256)), *(b"abc", b"da", b"bc", b"cdab", b"ab", b"cd", b"dd", b"abcd")]
+    made = tmp_path / "falling.tiktoken"
+    made.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(falling)))
+    texts = [f"{a}{''.join(rng.choice(b) for _ in range(rng.randrange(1, 30)))}" for a in ("", " ") for b in ("abcd", "etaonihr", "éèñaou", "AbC", "日本語の") for _ in range(80)]
+    for path, fewer in ((P("byte_bpe_multi_50k.tiktoken"), True), (str(made), False)):
+        coder = bpe.Coder(path, public_tokenizers.PATTERN)
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+        counts, ids, plain = coder.encode(pa.array([t.encode() for t in texts], pa.binary()))
+        for text, *got in zip(texts, counts.tolist(), ids.to_pylist(), plain.to_pylist(), strict=True):
+            expected = library.encode_ordinary(text)
+            assert got == [len(expected), "".join(f"{i}," for i in expected).encode(), text.encode()]
+        raw = np.frombuffer(b"".join(map(str.encode, texts)), np.uint8)
+        assert (bpe.certain(raw, np.array([0]), coder.byte_pairs).mean() > 0.2) == fewer
+        coder.close()
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -6,7 +6,8 @@ goes through DuckDB. A pre-token that joins the vocabulary as a whole is its tok
 pre-token's leftmost pair of least rank, until none is left. Longer ones go through a recursive query that is keyed by
 position, keeps only the rows' latest state, and contracts all places of the pair of least rank in one step (of
 overlapping ones every other, from the left), which comes to the same: a pair that a contraction makes has a higher rank
-than the contracted one. Ordered aggregations give ids and decoded bytes. Batches are bounded by the rows that their
+than the contracted one. Byte pairs that are contracted whatever else is are joined in the rows that the queries start
+from. Ordered aggregations give ids and decoded bytes. Batches are bounded by the rows that their
 steps may make, not by a count of pre-tokens.
 
 A step of the keyed query rewrites the rows of the pre-tokens that still change, so a pre-token without any repetition
@@ -94,6 +95,54 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: No rank of a pair.
+NONE = 1 << 30
+
+
+def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, ...]:
+    """The pair whose contraction gives a token when its own bytes are encoded: no other pair of this sum ever comes up, in whatever text."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        rank, at = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == NONE:
+            return ()
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return tuple(parts)
+
+
+def byte_pairs(ranks: dict[bytes, int], left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By two bytes: the rank of their pair; the least rank of the first one with any token that begins with the second; and of any token that ends with the first with the second."""
+    of = np.full(1 << 16, -1)
+    of[[ranks[bytes([i])] for i in range(256)]] = range(256)
+    ends = np.zeros((2, 1 << 16), np.int64)
+    ends[:, list(ranks.values())] = np.array([(t[0], t[-1]) for t in ranks]).T
+    out = np.full((3, 256, 256), NONE)
+    for table, a, b in zip(out, (of[left], of[left], ends[1][left]), (of[right], ends[0][right], of[right]), strict=True):
+        here = (a >= 0) & (b >= 0)
+        np.minimum.at(table, (a[here], b[here]), merged[here])
+    return tuple(out)
+
+
+def certain(raw: np.ndarray, firsts: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Marks the bytes that are joined to the next one whatever else is contracted.
+
+    Whatever the bytes beside a pair grow into, its contraction comes first if its rank is below that of either byte with
+    any token on its other side; and as a contraction makes pairs of higher rank only, it may be done at the start.
+    """
+    rank, after, before = tables
+    out = np.zeros(len(raw), bool)
+    if len(raw) < 2:
+        return out
+    pair = rank[raw[:-1], raw[1:]]
+    inner = np.ones(len(raw) + 1, bool)
+    inner[firsts] = inner[-1] = False  # False where a pre-token begins
+    least = np.full((2, len(raw) - 1), NONE)
+    least[0, :-1] = np.where(inner[2:-1], after[raw[1:-1], raw[2:]], NONE)
+    least[1, 1:] = np.where(inner[1:-2], before[raw[:-2], raw[1:-1]], NONE)
+    out[:-1] = inner[1:-1] & (pair < least[0]) & (pair < least[1])
+    return out
+
+
 class Results:
     """For numbered pieces of text: numbers of tokens, decimal ids (each with a comma after it) and decoded bytes."""
 
@@ -129,10 +178,19 @@ class Coder:
         if max(self.ranks.values()) >= 65536:
             raise ValueError("pairs are packed with 16 bits for an id")
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        entries = list(self.ranks.items())
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        # a rank below a part's: such pairs don't come up where ranks are in the order of training
+        falls = merged < np.maximum(left, right)
+        tokens = {i: t for t, i in entries}
+        real = [last_pair(tokens[m], self.ranks) == (tokens[a], tokens[b]) for a, b, m in zip(*(x[falls].tolist() for x in (left, right, merged)), strict=True)]
+        falls[falls] = ~np.array(real, bool)
+        left, right, merged = left[~falls], right[~falls], merged[~falls]
         self.merges = pa.table({"pair": left * 65536 + right, "merged": merged})
-        entries = list(self.ranks.items())
+        self.byte_pairs = byte_pairs(self.ranks, left, right, merged)
+        if any(real):
+            self.byte_pairs[0][:] = NONE  # certain() asks for ranks that rise
         self.vocabulary = pa.table({"id": pa.array([i for _, i in entries], pa.int64()), "number": [f"{i}," for _, i in entries], "hex": [b.hex() for b, _ in entries], "piece": pa.array([b for b, _ in entries], pa.binary())})
         self.db = None
         self.pieces, self.segments = Results(), Results()
@@ -158,7 +216,10 @@ class Coder:
         sizes = np.diff(at)
         where = np.repeat(np.arange(len(sizes)), sizes)
         self.db.register("pieces", pa.table({"w": np.arange(len(sizes)), "piece": pieces}))
-        self.db.register("start", pa.table({"w": where, "pos": np.arange(len(raw)) - at[where], "tok": self.of_byte[raw]}))
+        joined = certain(raw, at[:-1], self.byte_pairs)
+        token, kept = self.of_byte[raw], np.append(True, ~joined[:-1])[: len(raw)]
+        token[joined] = self.byte_pairs[0][raw[joined], raw[np.flatnonzero(joined) + 1]]
+        self.db.register("start", pa.table({"w": where[kept], "pos": (np.arange(len(raw)) - at[where])[kept], "tok": token[kept]}))
         out = self.db.sql(_query(steps)).to_arrow_table()
         self.db.unregister("start")
         self.db.unregister("pieces")
@@ -208,21 +269,17 @@ class Coder:
         for store in (self.segments, self.pieces):
             if store.full():
                 store.clear()
-        places, lacking = [], []
-        for texts in steps:
-            found, counts = cut(texts)
-            numbers, new = self.segments.known.number(found)
-            places.append((numbers, counts))
-            lacking.append(new)
-        new = pa.concat_arrays(lacking)
+        found, counts = zip(*map(cut, steps), strict=True)
+        # once for all steps: a look among the known ones costs as much as there are of these
+        numbers, new = self.segments.known.number(pa.concat_arrays(found))
         if len(new):
             pieces, sizes = self._split(new)
             of, unknown = self.pieces.known.number(pieces)
             if len(unknown):
                 self.learn(unknown)
             self.segments.add(*self.pieces.joined(of, sizes))
-        for numbers, counts in places:
-            yield self.segments.joined(numbers, counts)
+        for own, sizes in zip(np.split(numbers, np.cumsum([len(x) for x in found])[:-1]), counts, strict=True):
+            yield self.segments.joined(own, sizes)
 
 
 def _large(column: pa.Array) -> pa.Array:
