@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from weftlink.llm import bpe, decontamination, near_dedup, pitman_yor, quality_classifier, quality_rules, secret_scan, sharding, token_files, toxicity
+from weftlink.llm import bpe, common, decontamination, near_dedup, pitman_yor, quality_classifier, quality_rules, secret_scan, sharding, token_files, toxicity
 
 P = public_tokenizers.path
 SCHEMA = "doc_id long, text string, kept string, score string"
@@ -431,6 +431,28 @@ def test_language_model_does_not_depend_on_shards(spark):
     assert len(found[0]) == 200 and max(abs(found[0][i] - found[1][i]) for i in found[0]) < 1e-3
 
 
+def test_small_dishes_are_drawn_together_as_one_by_one():
+    """Dishes of few customers draw by one pass for each number, as each does from its own weights; others and large weights as before."""
+    rng = np.random.default_rng(4)
+    n = np.append(rng.integers(2, pitman_yor.SMALL + 9, 3000), [5, 30])
+    weight, drawn = np.append(10.0 ** rng.uniform(-8, 7, 3000), [1e12, 1e12]), rng.random(3002)
+    table, expected = pitman_yor._stirling(0.7), []
+    for c, w, u in zip(n.tolist(), weight.tolist(), drawn.tolist(), strict=True):
+        logs = table[c * (c - 1) // 2 :][:c] + np.log(w) * np.arange(1, c + 1)
+        sums = np.cumsum(np.exp(logs - logs.max()))
+        expected.append(1 + int((sums[:-1] <= u * sums[-1]).sum()))
+    assert pitman_yor.seated(n, weight, 0.7, drawn).tolist() == expected
+    numbers = [np.exp(table[c * (c - 1) // 2 :][:c]) for c in (2, 9)]
+    assert [pitman_yor._together(x, weight[n == c], drawn[n == c]).tolist() for x, c in zip(numbers, (2, 9), strict=True)] == [np.array(expected)[n == c].tolist() for c in (2, 9)]
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(0, 1 << 63, 99).astype(np.uint64), rng.integers(-9, 9, 50), rng.integers(0, 300, 70).astype(np.uint32), np.zeros(5, np.uint16), rng.integers(0, 2, 9).astype(bool), np.empty(0, np.uint32)):
+        back = common.unpacked(common.packed(x), x.dtype)
+        assert back.dtype == x.dtype and back.tolist() == x.tolist()
+
+
 def test_a_sweep_seats_every_customer():
     """Table counts of large and small dishes follow their exact weights, from whatever start."""
     s, rng = pitman_yor.Settings(), np.random.default_rng(5)

@@ -54,6 +54,8 @@ from .segments import Known, content, words
 #: Customers of a dish up to which its number of tables is drawn from exact weights; weights in memory at once, about;
 #: nodes of the others' weights; tables up to which each has its weight instead; terms of the series.
 EXACT, DRAWN, NODES, FEW, TERMS = 1024, 1 << 19, 65, 64, 80
+#: Customers up to which all dishes of one number are drawn together, and the weight up to which its powers stay finite.
+SMALL, LARGE_WEIGHT = 32, 1e9
 #: The end's hash, and the hash of the context of a text's first token.
 END, START = 1, 0
 #: Answers are decimal logarithms in steps of one in so many.
@@ -374,6 +376,20 @@ def _many(c: np.ndarray, weight: np.ndarray, d: float, drawn: np.ndarray) -> np.
     return np.clip(np.rint(t[row, at] + share * (t[row, at + 1] - t[row, at])), 1, c).astype(np.int64)
 
 
+def _together(numbers: np.ndarray, weight: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """seated() for dishes of one number of customers, whose Stirling numbers are given."""
+    sums, power, so_far = [], np.ones(len(weight)), np.zeros(len(weight))
+    for number in numbers.tolist():
+        power = power * weight
+        so_far = so_far + number * power
+        sums.append(so_far)
+    out = np.ones(len(weight), np.int64)
+    wanted = drawn * so_far
+    for x in sums[:-1]:
+        out += x <= wanted
+    return out
+
+
 def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator | np.ndarray) -> np.ndarray:
     """The number of tables at which each dish's customers sit when all are seated anew.
 
@@ -383,8 +399,16 @@ def seated(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.r
     """
     drawn = rng if isinstance(rng, np.ndarray) else rng.random(len(customers))
     out = np.minimum(customers, 1)
-    rows = np.flatnonzero((customers > 1) & (customers <= EXACT))
-    table, ends = _stirling(discount), np.cumsum(customers[rows])
+    table = _stirling(discount)
+    small = (customers > 1) & (customers <= SMALL) & (weight < LARGE_WEIGHT)
+    rows = np.flatnonzero(small)
+    rows = rows[np.argsort(customers[rows].astype(np.uint8), kind="stable")]
+    edges = np.searchsorted(customers[rows], np.arange(2, SMALL + 2))
+    for n, a, b in zip(range(2, SMALL + 1), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = rows[a:b]
+        out[own] = _together(np.exp(table[n * (n - 1) // 2 :][:n]), weight[own], drawn[own])
+    rows = np.flatnonzero((customers > 1) & (customers <= EXACT) & ~small)
+    ends = np.cumsum(customers[rows])
     at = 0
     while at < len(rows):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DRAWN, side="right")))
@@ -421,6 +445,7 @@ class Shard:
         self.contexts, self.classes = len(parts), int(group.max()) + 1 if len(group) else 0
         self.split, self.split_classes = np.flatnonzero(parts > 1), np.unique(group[parts > 1])
         self.whole: list[np.ndarray] | None = None
+        self.customers: np.ndarray | None = None
         self.seat(np.minimum(self.c, 1))
 
     def seat(self, tables: np.ndarray, above_tables: np.ndarray | None = None) -> None:
@@ -434,7 +459,9 @@ class Shard:
     def own_totals(self) -> list[np.ndarray]:
         """Customers and tables of each context, and of each class, as far as they are here."""
         n, m = self.contexts, self.classes
-        return [np.bincount(self.context, self.c, n), np.bincount(self.context, self.t, n), np.bincount(self.group, self.above, m), np.bincount(self.group, self.above_t, m)]
+        if self.customers is None:  # these stay as they are
+            self.customers = np.bincount(self.context, self.c, n)
+        return [self.customers.copy(), np.bincount(self.context, self.t, n), np.bincount(self.group, self.above, m), np.bincount(self.group, self.above_t, m)]
 
     def _totals(self) -> list[np.ndarray]:
         return self.own_totals() if self.whole is None else self.whole
