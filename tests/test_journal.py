@@ -1,7 +1,13 @@
 """The review journal: one run's commands in order, as the product's rules have them."""
 
+from hashlib import sha256
+from types import SimpleNamespace
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from weftlink import journal_queries
 from weftlink.operators import decide, journal
 from weftlink.plans.model import Invalid
 
@@ -66,3 +72,43 @@ def test_doubled_claims_are_refused(spark):
             decide.checked_links(kept, decide.legacy(kept), wrong)
     found = {(r.side, r.row_id, r.candidates) for r in decide.violations(kept, made("c1", "c2", "c3")).collect()}
     assert found == {("A", "A1", "c1,c2"), ("B", "B1", "c1,c3")}
+
+
+def test_batch_of_the_log_is_collected_once(spark):
+    """Not once for each of its pairs, which is the square of a run's batch."""
+    ids = [(f"candidate-{sha256(str(i).encode()).hexdigest()[:20]}", f"A-{i:09d}", f"B-{i:09d}") for i in range(2000)]
+    kept = spark.createDataFrame(ids, "candidate_id string, a_row_id string, b_row_id string")
+    log = journal_queries.log(SimpleNamespace(m=SimpleNamespace(a=kept, kept=kept)))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window" in line and "collect_list" in line]
+    want = {f"run-{d}": sorted(c for c, a, _ in ids if a[-1] == str(d) and c[11] == "0") for d in range(10)}
+    got = log.where(F.size("targets") > 1).collect()
+    assert {r.run_id: r.targets for r in got} == want and len(got) == 10 and all(r.seq >= 1 and r.decision == SAME for r in got)
+
+
+def test_commands_without_row_or_conflict_are_spread_over_tasks(spark):
+    kept = spark.createDataFrame(KEPT, "candidate_id string, a_row_id string, b_row_id string")
+    log = spark.createDataFrame([("run-1", i, "decide", [f"x{i % 25}"], None, SAME, None) for i in range(400)] + [("run-1", 400, "defer", [], "A1", None, None), ("run-1", 401, "clear", [], None, None, "conflict-c1-name")], journal.COMMANDS)
+    conflicts = spark.createDataFrame([("conflict-c1-name", "c1")], "conflict_id string, candidate_id string")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        rows = journal.with_facts(log, kept, kept.where("candidate_id = 'c4'"), conflicts).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    known = {r.seq: r for r in rows}
+    assert len(rows) == len(known) == 402 and known[400].row.candidates == 2 and known[401].conflict.id == "c1"
+    assert [t.id for t in known[7].targets] == ["x7"] and known[7].row is None and known[7].conflict is None and known[400].targets == []
+    tasks = [r.task for r in rows]
+    assert max(map(tasks.count, set(tasks))) < 200
+
+
+def test_commands_are_read_as_they_are():
+    target = pa.struct([("id", pa.string()), ("a", pa.string()), ("auto", pa.bool_())])
+    targets = pa.array([[{"id": "1", "a": None, "auto": False}], [], None, [{"id": "2", "a": "é", "auto": None}, None]] * 2, pa.list_(target))
+    rows = pa.array([None, {"candidates": 2, "auto": True}, {"candidates": None, "auto": None}], pa.struct([("candidates", pa.int64()), ("auto", pa.bool_())]))
+    for column in (targets, targets.slice(1, 5), targets.slice(3), rows, rows.slice(1), rows.slice(0, 1), pa.array([], target), pa.array([None, "é"]), pa.array([1, 2])):
+        assert journal._values(column) == column.to_pylist()

@@ -15,8 +15,7 @@ SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY pos, step) AS seq
   SELECT concat('run-', substr(a_row_id, 11, 1)) AS run_id, p.candidate_id AS pos, step, action, CASE WHEN action = 'decide' THEN array(CASE WHEN digit = 'f' THEN 'candidate-unknown' ELSE p.candidate_id END) ELSE array() END AS targets,
     CASE WHEN action IN ('defer', 'restore') THEN a_row_id END AS a_row_id, CASE WHEN action = 'decide' THEN decision END AS decision, CASE WHEN action IN ('resolve', 'replace', 'clear') THEN concat('conflict-', p.candidate_id, '-contact') END AS conflict_id
   FROM (SELECT candidate_id, a_row_id, substr(candidate_id, 11, 1) AS digit FROM {kept}) p JOIN (VALUES {steps}) s(digits, step, action, decision) ON instr(digits, digit) > 0
-  UNION ALL SELECT DISTINCT concat('run-', substr(a_row_id, 11, 1)), 'candidate-8', 0, 'decide', collect, '', 'same_entity', ''
-  FROM (SELECT a_row_id, array_sort(collect_list(candidate_id) OVER (PARTITION BY substr(a_row_id, 11, 1))) AS collect FROM {kept} WHERE substr(candidate_id, 12, 1) = '0')
+  UNION ALL SELECT concat('run-', substr(a_row_id, 11, 1)), 'candidate-8', 0, 'decide', array_sort(collect_list(candidate_id)), '', 'same_entity', '' FROM {kept} WHERE substr(candidate_id, 12, 1) = '0' GROUP BY substr(a_row_id, 11, 1)
   UNION ALL SELECT concat('run-', CAST(r AS STRING)), 'x', n, 'undo', array(), '', '', '' FROM (VALUES (3), (4)) v(r) CROSS JOIN (SELECT explode(sequence(1, 25)) AS n) w)
 """
 _STEPS = [
@@ -37,7 +36,7 @@ def fold(w: Work) -> DataFrame:
     if "journal" not in w.__dict__:
         pairs = w.m.kept.select("candidate_id", "a_row_id", "b_row_id", F.lit("kept").alias("source"))
         differing = survive.conflicts(survive.linked_values(pairs, w.m.a, w.m.b, [m for m in MAPPINGS if m.mapping_id == "contact"]))
-        w.__dict__["journal"] = w.m._shared(journal.folded(log(w), w.m.kept, w.m.automatic, differing))
+        w.__dict__["journal"] = w.m._shared(journal.folded(w.m._shared(log(w)), w.m.kept, w.m.automatic, differing))
     return w.__dict__["journal"]
 
 

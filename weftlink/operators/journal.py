@@ -13,8 +13,10 @@ from __future__ import annotations
 
 from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,13 +136,29 @@ class Run:
         yield from (("resolution", x, c) for x, c in self.resolved.items())
 
 
+def _values(column: pa.Array) -> list:
+    """What to_pylist gives, read child by child and in bulk: most commands have one target and no more."""
+    if pa.types.is_struct(column.type):
+        names = [f.name for f in column.type]
+        rows = zip(*map(_values, column.drop_null().flatten()), strict=True)
+        return [dict(zip(names, next(rows), strict=True)) if there else None for there in _values(column.is_valid())]
+    if pa.types.is_list(column.type):
+        items = iter(_values(column.flatten()))
+        return [None if n is None else list(islice(items, n)) for n in pc.list_value_length(column).to_pylist()]
+    if pa.types.is_string(column.type) or pa.types.is_boolean(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("run_id", pa.string()), ("kind", pa.string()), ("seq", pa.int64()), ("key", pa.string()), ("value", pa.string())])
 
     def rows() -> Iterator[tuple]:
         now, run = None, None
         for batch in batches:
-            for c in batch.to_pylist():
+            names = batch.schema.names
+            for values in zip(*map(_values, batch.columns), strict=True):
+                c = dict(zip(names, values, strict=True))
                 if run is None or c["run_id"] != now:
                     if run:
                         yield from ((now, kind, None, key, value) for kind, key, value in run.rows())
@@ -168,7 +186,11 @@ def with_facts(log: DataFrame, kept: DataFrame, auto: DataFrame, conflicts: Data
     unknown = F.struct(F.col("candidate_id").alias("id"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(False).alias("auto"))
     asked = asked.groupBy("run_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("pair", unknown).alias("pair")))), lambda x: x["pair"]).alias("pairs"))
     differing = conflicts.select("conflict_id", "candidate_id").join(pairs, "candidate_id").select("conflict_id", F.col("pair").alias("conflict"))
-    out = log.drop("targets").join(asked, ["run_id", "seq"], "left").join(rows, "a_row_id", "left").join(differing, "conflict_id", "left")
+    # most commands name no row and no conflict: only those that do are looked up, or all the others' nulls would meet in one task
+    named = lambda c, facts: log.where(F.col(c).isNotNull()).select("run_id", "seq", c).join(facts, c).drop(c)
+    out = log.drop("targets")
+    for facts in (asked, named("a_row_id", rows), named("conflict_id", differing)):
+        out = out.join(facts, ["run_id", "seq"], "left")
     return out.select("run_id", "seq", "action", F.coalesce("pairs", F.array().cast("array<struct<id:string,a:string,b:string,auto:boolean>>")).alias("targets"), "a_row_id", "row", "decision", "conflict_id", "conflict")
 
 
